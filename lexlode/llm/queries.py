@@ -5,9 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lexlode.llm.near_duplicates import near_duplicates
+from lexlode.llm.rendering import furniture_lines, main_content
 from lexlode.sources.tables import table
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return furniture_lines(table(spark, sf_dir, "documents")).select("doc_id", "line_no")
+
+
+def p4_main_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_content(table(spark, sf_dir, "documents"))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = near_duplicates(table(spark, sf_dir, "documents")).pairs()
     return pairs.withColumnsRenamed({"a": "doc_id_a", "b": "doc_id_b"})
@@ -18,6 +27,8 @@ def p7_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "p4_found": p4_found,
+    "p4_main_content": p4_main_content,
     "p7_found": p7_found,
     "p7_classes": p7_classes,
 }
