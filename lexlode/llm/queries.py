@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lexlode.llm.near_duplicates import near_duplicates
 from lexlode.llm.rendering import furniture_lines, main_content
+from lexlode.llm.sentences import sentence_units
 from lexlode.sources.tables import table
 
 
@@ -17,6 +18,10 @@ def p4_main_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_content(table(spark, sf_dir, "documents"))
 
 
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_units(table(spark, sf_dir, "documents"))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = near_duplicates(table(spark, sf_dir, "documents")).pairs()
     return pairs.withColumnsRenamed({"a": "doc_id_a", "b": "doc_id_b"})
@@ -31,6 +36,7 @@ QUERIES = {
     "p4_main_content": p4_main_content,
     "p7_found": p7_found,
     "p7_classes": p7_classes,
+    "p10_found": p10_found,
 }
 
 ORACLE: dict[str, str] = {}
