@@ -5,11 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lexlode.llm.near_duplicates import near_duplicates
+from lexlode.llm.pair_defects import pair_defects
 from lexlode.llm.rendering import furniture_lines, main_content
 from lexlode.llm.sentences import sentence_units
 from lexlode.sources.tables import table
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pair_defects(table(spark, sf_dir, "eval_inputs"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return furniture_lines(table(spark, sf_dir, "documents")).select("doc_id", "line_no")
 
@@ -32,6 +37,7 @@ def p7_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "p1_found": p1_found,
     "p4_found": p4_found,
     "p4_main_content": p4_main_content,
     "p7_found": p7_found,

@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexlode.llm.sampling import hashed_sample
 from lexlode.session import spread
 
 SAMPLE_DOCS = 2000
@@ -267,13 +268,10 @@ def _evidence(batches):
 
 
 def train(docs: DataFrame, id_col: str, text_col: str, type_col: str, sample: int = SAMPLE_DOCS) -> Model:
-    """Fit the model on at most ``sample`` documents, those whose ids hash lowest."""
+    """Fit the model on about ``sample`` documents, those whose ids hash lowest."""
     from ast import literal_eval
 
-    picked = (
-        docs.where(F.col(text_col).isNotNull()).select(text_col, type_col, F.xxhash64(id_col).alias("h"))
-        .orderBy("h").limit(sample).select(text_col, type_col)
-    )
+    picked = hashed_sample(docs.select(id_col, text_col, type_col), id_col, sample).where(F.col(text_col).isNotNull()).select(text_col, type_col)
     rows = picked.mapInArrow(_evidence, "key string, n long, sure long").groupBy("key").agg(F.sum("n").alias("n"), F.sum("sure").alias("sure")).orderBy("key").collect()
     return fit([(literal_eval(r.key), r.n, r.sure) for r in rows])
 
