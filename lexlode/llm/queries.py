@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from lexlode.llm.names import entity_names, name_pairs
 from lexlode.llm.near_duplicates import near_duplicates
 from lexlode.llm.pair_defects import pair_defects
 from lexlode.llm.rendering import furniture_lines, main_content
@@ -15,6 +17,18 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pair_defects(table(spark, sf_dir, "eval_inputs"))
 
 
+def _typed_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "triples").select(F.explode(F.array("subject", "object")).alias("name"))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return name_pairs(entity_names(_typed_names(spark, sf_dir)))
+
+
+def p5_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return entity_names(_typed_names(spark, sf_dir))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return furniture_lines(table(spark, sf_dir, "documents")).select("doc_id", "line_no")
 
@@ -38,6 +52,8 @@ def p7_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "p1_found": p1_found,
+    "p5_found": p5_found,
+    "p5_entities": p5_entities,
     "p4_found": p4_found,
     "p4_main_content": p4_main_content,
     "p7_found": p7_found,
