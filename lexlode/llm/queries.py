@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexlode.llm.distinctive import distinctive_terms
+from lexlode.llm.mixing import mix_sources
 from lexlode.llm.names import entity_names, name_pairs
 from lexlode.llm.near_duplicates import near_duplicates
+from lexlode.llm.packing import fill_report, pack_texts
 from lexlode.llm.pair_defects import pair_defects
 from lexlode.llm.percentiles import merge, percentiles, sketch
 from lexlode.llm.rendering import furniture_lines, main_content
@@ -79,6 +81,28 @@ def p4_main_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_content(table(spark, sf_dir, "documents"))
 
 
+def _capacities(spark: SparkSession, sf_dir: str) -> list[tuple[str, int]]:
+    """Containers of size_limits, a fixed table."""
+    rows = table(spark, sf_dir, "size_limits").where("unit = 'tokens' and item_kind like 'container%'").orderBy("item_kind").collect()
+    return [(r.item_kind, r.max_size) for r in rows]
+
+
+def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_texts(table(spark, sf_dir, "documents"), _capacities(spark, sf_dir))
+
+
+def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_report(p8_containers(spark, sf_dir), _capacities(spark, sf_dir))
+
+
+def p9_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[0]
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[1]
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_units(table(spark, sf_dir, "documents"))
 
@@ -106,6 +130,10 @@ QUERIES = {
     "p6_percentiles": p6_percentiles,
     "p6_sketches": p6_sketches,
     "p7_classes": p7_classes,
+    "p8_containers": p8_containers,
+    "p8_fill": p8_fill,
+    "p9_selection": p9_selection,
+    "p9_shares": p9_shares,
     "p10_found": p10_found,
 }
 
