@@ -1,6 +1,12 @@
-"""All registered queries and their SQL twins."""
+"""All registered queries of the core and their SQL twins."""
 
 from __future__ import annotations
 
+from lexlode.plans import chunking, text
+
+_MODULES = (text, chunking)
 QUERIES: dict = {}
 ORACLE: dict = {}
+for _m in _MODULES:
+    QUERIES |= _m.QUERIES
+    ORACLE |= _m.ORACLE
