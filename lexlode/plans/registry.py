@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lexlode.plans import chunking, text
+from lexlode.plans import chunking, retrieval, text
 
-_MODULES = (text, chunking)
+_MODULES = (text, chunking, retrieval)
 QUERIES: dict = {}
 ORACLE: dict = {}
 for _m in _MODULES:
