@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lexlode.plans import chunking, retrieval, text
+from lexlode.plans import chunking, reporting, retrieval, text
 
-_MODULES = (text, chunking, retrieval)
+_MODULES = (text, chunking, retrieval, reporting)
 QUERIES: dict = {}
 ORACLE: dict = {}
 for _m in _MODULES:
