@@ -123,7 +123,7 @@ def human_size(n: Column | str) -> Column:
 def number_or_dash(c: Column | str, digits: int = 2) -> Column:
     """Fixed decimals; null and zero show as a dash."""
     c = _col(c)
-    return F.when(c.isNull() | (c == 0), "—").otherwise(F.format_string(f"%.{digits}f", c))
+    return F.when(c.isNull() | (c == 0), "—").otherwise(F.format_string(f"%.{digits}f", F.bround(c, digits)))
 
 
 def score_percent(c: Column | str) -> Column:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lexlode.plans import chunking, reporting, retrieval, text
+from lexlode.plans import answering, chunking, graph, reporting, retrieval, text
 
-_MODULES = (text, chunking, retrieval, reporting)
+_MODULES = (text, chunking, retrieval, reporting, graph, answering)
 QUERIES: dict = {}
 ORACLE: dict = {}
 for _m in _MODULES:
