@@ -45,6 +45,9 @@ CLOSING = re.compile(r"please contact|you may want to consult|something else you
 REFUSALS = ("I'm sorry, but I can't help with that.", "I must decline this request.", "As an assistant I am not able to discuss this topic.",
             "Diese Anfrage muss ich leider ablehnen.", "Je dois refuser cette demande.", "Debo rechazar esta petición.", "我无法回答这个问题。", "お答えできません。",
             "Я вынужден отклонить этот запрос.", "Please contact the support desk.", "Is there something else you would like to know?")
+# Sound answers that look odd, and ends that are none, for training.
+ODD = ("v4.4", "18.1", "120 ms", "Yes.", "- x1\n- x2", "1. x1\n2. x2", "```\nrun(x)\n```", "42", "X7.", "- 3.5 MB")
+UNFINISHED = ("1. x1\n2.", "```\nrun(x, ", "- x1\n-", "x1 (", "x1,")
 LANGUAGES = {
     "en": "english|englisch|anglais|inglés|英語|英文|英语|английск|अंग्रेज|الإنجليزية|อังกฤษ", "de": "german|deutsch|allemand|alemán|ドイツ語|德语|немецк|जर्मन|الألمانية|เยอรมัน",
     "fr": "french|französisch|français|francés|フランス語|法语|французск|फ़्रेंच|फ्रेंच|الفرنسية|ฝรั่งเศส", "es": "spanish|spanisch|espagnol|español|スペイン語|西班牙语|испанск|स्पेनिश|الإسبانية|สเปน",
@@ -272,20 +275,28 @@ def training_sequences(pairs: list[tuple[str, str]], seed: int = 7) -> list[tupl
         if 0 < len(parts) <= 14:
             data.append((feats, [label(i, len(parts)) for i in range(len(parts))]))
 
-    for q, a in whole:
+    for at, (q, a) in enumerate(whole):
         plant(q, a, lambda i, n: 0)
         plant(q, f"{q}\n{a}", lambda i, n: 2 if i == 0 else 0)
         other = [k for k in by_lang if k != language(q)]
-        plant(q, by_lang[k][rng.integers(len(by_lang[k]))] if (k := other[rng.integers(len(other))]) else a, lambda i, n: 3)
+        pool = by_lang[other[rng.integers(len(other))]]
+        foreign = pool[rng.integers(len(pool))]
+        plant(q, foreign, lambda i, n: 3)
+        plant(q, clauses(foreign)[0], lambda i, n: 3)
         echo = [q, f"Q: {q}", f"{q}\n{q.lower()}", q.upper(), q.rstrip("?.")][rng.integers(5)]
         plant(q, echo, lambda i, n: 2)
         r = REFUSALS[rng.integers(len(REFUSALS) - 2)]
         plant(q, r + (" " + REFUSALS[-1 - rng.integers(2)] if rng.integers(2) else ""), lambda i, n: 1)
+        odd = ODD[at % len(ODD)]
+        plant(q, odd, lambda i, n: 0)
+        plant(q, f"{a}\n{odd}", lambda i, n: 0)
+        cut_off = UNFINISHED[at % len(UNFINISHED)]
+        plant(q, f"{a}\n{cut_off}", lambda i, n: 4 if i == n - 1 else 0)
         last = clauses(a)[-1]
         if len(last.strip()) > 8:
-            at = int(rng.integers(4, len(last.rstrip()) - 3))
+            end = int(rng.integers(4, len(last.rstrip()) - 3))
             head = a[: a.rfind(last.strip()[:20])]
-            plant(q, head + last.strip()[:at].rstrip(".!?。！？। "), lambda i, n: 4 if i == n - 1 else 0)
+            plant(q, head + last.strip()[:end].rstrip(".!?。！？। "), lambda i, n: 4 if i == n - 1 else 0)
     return data
 
 

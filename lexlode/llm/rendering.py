@@ -86,7 +86,7 @@ _FOOTER = re.compile(
     r"^(powered by .{2,40} cms|registered office: .{2,60}, po box \d+|[^.!?,]{3,40}, \d+ [^.!?,]{3,40}, floor \d+"
     r"|(©|\(c\)|copyright) ?\d{4}\b.{0,80}|page \d+ of \d+|seite \d+ von \d+|page \d+ sur \d+|página \d+ de \d+|第 ?\d+ ?页.{0,12}|стр(аница|\.) \d+ из \d+)$"
 )
-_ITEM = re.compile(r"^\s*([-*•‣◦·–]|\(?\d{1,3}[.)]|\(?[a-zA-Z][.)])\s+\S")
+_ITEM = re.compile(r"^\s*([-*•‣◦·–]|\(?\d{1,3}[.)]|\(?[a-zA-Z]\))\s+\S")
 _CODE = re.compile(r"^\s*([\w.]+\(.*\)|[\w.]+\s*[=:]\s*\S+|```.*|[{}<>$#].*)\s*$")
 _END = re.compile(r"[.!?…。！？।؟;:,，、；：]\W{0,2}$")
 
@@ -194,12 +194,14 @@ class _Builder(HTMLParser):
         self.open = [self.root]
 
     def _close(self, tags: set[str], stop: set[str]) -> None:
+        at = 0
         for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i].tag in tags:
-                del self.open[i:]
-                return
             if self.open[i].tag in stop:
-                return
+                break
+            if self.open[i].tag in tags:
+                at = i
+        if at:
+            del self.open[at:]
 
     def handle_starttag(self, tag, attrs):
         if tag in BLOCK:
@@ -253,7 +255,8 @@ def render_node(n: _Node, main_only: bool, depth: int = 0, pre: bool = False) ->
 
     for c in n.kids:
         if isinstance(c, str):
-            out.append(c if pre else _SPACE.sub(" ", c) if c.strip() or not out or not out[-1].endswith("\n") else "")
+            new_line = not out or out[-1].endswith("\n")
+            out.append(c if pre else (_SPACE.sub(" ", c).lstrip() if new_line else _SPACE.sub(" ", c)))
         elif not _seen(c, main_only):
             continue
         elif c.tag == "br":
@@ -298,7 +301,7 @@ def render_markup(html: str, main_only: bool = True) -> str:
     if main_only:
         top = _find(top, "main") or _find(top, "article") or _find(top, "body") or top
     text = re.sub(r"[ \t]+\n", "\n", render_node(top, main_only))
-    return re.sub(r"\n{3,}", "\n\n", re.sub(r"\n[ \t]+(?=[^\s\-\d])", "\n", text)).strip()
+    return re.sub(r"\n{3,}", "\n\n", text).strip()
 
 
 def main_text(text: str) -> str:

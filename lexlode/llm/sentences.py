@@ -41,7 +41,7 @@ sra srta aprox núm pág ud uds ej
 _ABBR = ABBREVIATIONS
 _OPEN = {"“": "”", "„": "“", "«": "»", "「": "」", "『": "』", '"': '"'}
 _EVENT = re.compile(r"[.!?。！？।؟॥]+|[“”„\"«»「」『』]")
-_ITEM = re.compile(r"\s*(?:[-*•‣◦–]|\(?\d{1,3}[.)]|\(?[A-Za-z][.)])\s")
+_ITEM = re.compile(r"\s*(?:[-*•‣◦–]|\(?\d{1,3}[.)]|\(?[A-Za-z]\))\s")
 _BLANK = re.compile(r"\n[^\S\n]*(?:\n[^\S\n]*)+")
 _THAI = re.compile("[฀-๿]")
 _THAI_GAP = re.compile("(?<=[฀-๿\\d»”\"])\\s+(?=[฀-๿\\d«“\"])")
@@ -176,6 +176,11 @@ def _prior():
             for mark in "!?":
                 yield ("T", mark, "", "", True, n, False, False, script), 1
             yield ("T", "。", "", "", False, n, False, False, script), 1
+        for token in ("it", "old", "here", "table", "system", "~"):
+            for n in (up, "q", "d", "E"):
+                yield ("T", ".", token, "l", True, n, False, False, script), 1
+            yield ("T", ".", token, "l", False, up, False, False, script), 1
+            yield ("T", ".", token.title(), "U", True, up, False, False, script), 1
         if low:
             for mark in ".!?":
                 yield ("T", mark, "~" if mark == "." else "", "l" if mark == "." else "", True, low, False, False, script), 0
@@ -193,6 +198,8 @@ def _prior():
         for a in sorted(_ABBR):
             for n in (up, "d"):
                 yield ("T", ".", a, "1" if len(a) == 1 else "U", True, n, False, False, script), 0
+    for _ in range(3):
+        yield ("T", ".", "3.9", "d", True, "U", False, False, "latin"), 1
     for n in ("U", "l"):
         yield ("T", ".", "4", "1", True, n, False, False, "latin"), 0
         yield ("T", ".", "14", "d", True, n, False, False, "latin"), 0
