@@ -117,8 +117,9 @@ def distinctive_terms(records: DataFrame, id_col: str = "chunk_id", text_col: st
     total, pairs = stats.agg(F.sum("cf"), F.sum("df")).first()
     bound = max(1, (pairs or 0) / SHARE)
     hot = {r.term: (r.df, r.cf) for r in stats.where(F.col("df") > bound).collect()}  # at most SHARE rows
+    known = F.broadcast(stats.where(F.col("df") > bound).select("term"))  # the same rows: hot terms never reach the shuffle
     rare = (
-        counted.select("id", F.explode("terms").alias("term"))
+        counted.select("id", F.explode("terms").alias("term")).join(known, "term", "left_anti")
         .join(stats.where(F.col("df") <= bound), "term").groupBy("id")
         .agg(F.collect_list(F.struct("term", "df", "cf")).alias("own"))
     )
