@@ -85,7 +85,7 @@ def grade_by_score(found: DataFrame, queries: DataFrame, cfg: Settings = Setting
 def rewrite_by_rule(query: Column | str) -> Column:
     """A query without its question words: the offline rewriter; the query itself if nothing is left."""
     q = F.col(query) if isinstance(query, str) else query
-    bare = strip(F.regexp_replace(q, r"(?i)^(who|what|which|how|why|when|where|can|does|do|is|list the steps to|give me a short summary of|explain|compare)\b\s*|[?.!]+$", ""))
+    bare = strip(F.regexp_replace(q, r"(?i)^((who|what|which|how|why|when|where|can|does|do|is|list the steps to|give me a short summary of|explain|compare)\b\s*)+|[?.!]+$", ""))
     return F.coalesce(F.nullif(bare, F.lit("")), q)
 
 

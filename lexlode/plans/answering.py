@@ -128,7 +128,7 @@ _STRAT = "CASE intent " + " ".join(f"WHEN '{k}' THEN '{','.join(v)}'" for k, v i
 _GRADES = f"""{RERANK_SQL}, b AS (SELECT query_id, max(score) AS best, max(CASE WHEN score > 0.2 THEN score END) AS again, count(*) AS n, sum((score > 0.2)::INT) AS n_again FROM final GROUP BY 1),
 g AS (SELECT q.query_id, q.query, best, again, coalesce(n, 0) AS n, coalesce(n_again, 0) AS n_again, CASE WHEN n IS NULL OR best <= 0 THEN 'ABSENT' WHEN best < {CFG.crag_relevance_threshold} THEN 'POOR' ELSE 'GOOD' END AS grade FROM q LEFT JOIN b USING (query_id)),
 d AS (SELECT *, CASE WHEN grade = 'POOR' THEN CASE WHEN again IS NULL THEN 'ABSENT' WHEN again < {CFG.crag_relevance_threshold} THEN 'POOR' ELSE 'GOOD' END ELSE grade END AS final_grade FROM g)"""
-_REWRITE = """coalesce(nullif(trim(regexp_replace(query, '(?i)^(who|what|which|how|why|when|where|can|does|do|is|list the steps to|give me a short summary of|explain|compare)\\b\\s*|[?.!]+$', '', 'g')), ''), query)"""
+_REWRITE = """coalesce(nullif(trim(regexp_replace(query, '(?i)^((who|what|which|how|why|when|where|can|does|do|is|list the steps to|give me a short summary of|explain|compare)\\b\\s*)+|[?.!]+$', '', 'g')), ''), query)"""
 ORACLE = {
     "route_queries": f"WITH {_L}, r AS (SELECT id, {_CASE} AS intent FROM l WHERE query IS NOT NULL) SELECT id, intent, {_STRAT} AS strategies FROM r",
     "parse_routing": f"""WITH {_L}, r AS (SELECT id, CASE WHEN id % 5 = 1 THEN 'factual_lookup' WHEN id % 5 = 2 OR intent IS NULL THEN 'none' ELSE intent END AS intent, id % 5 AS m FROM l)
