@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lexlode.plans import answering, chunking, graph, ingest, reporting, retrieval, text
+from lexlode.plans import answering, chunking, graph, ingest, judging, reporting, retrieval, text
 
-_MODULES = (text, chunking, retrieval, reporting, graph, answering, ingest)
+_MODULES = (text, chunking, retrieval, reporting, graph, answering, ingest, judging)
 QUERIES: dict = {}
 ORACLE: dict = {}
 for _m in _MODULES:
