@@ -41,10 +41,11 @@ REFUSAL = re.compile(r"""
 |не\ могу\ (помочь|ответить|предоставить)|вынужден\w*\ отклонить|отказ\w*\ (отвечать|ответить)
 |उत्तर\ नहीं\ दे\ सकत|मदद\ नहीं\ कर\ सकत|لا\ يمكنني\ (الإجابة|المساعدة|تقديم)|أعتذر.{0,20}لا|ไม่สามารถ(ตอบ|ให้|ช่วย)
 """, re.X | re.I)
-CLOSING = re.compile(r"please contact|you may want to consult|something else you would like|may involve restricted|ask an expert|wenden sie sich|puis-je vous aider|puedo ayudar en otra|kann ich sonst|je vous invite|póngase en contacto|consulte a|请(联系|咨询)|还有.*(帮|问)|お問い合わせ|他に.*(ご質問|お手伝い)|обратитесь|чем-?то ещё|संपर्क करें|يرجى الاتصال|โปรดติดต่อ", re.I)
+CLOSING = re.compile(r"^\W*(thank you for asking|vielen dank für|merci (de|pour)|gracias por)|please contact|you may want to consult|something else you would like|may involve restricted|ask an expert|wenden sie sich|puis-je vous aider|puedo ayudar en otra|kann ich sonst|je vous invite|póngase en contacto|consulte a|请(联系|咨询)|还有.*(帮|问)|お問い合わせ|他に.*(ご質問|お手伝い)|обратитесь|чем-?то ещё|संपर्क करें|يرجى الاتصال|โปรดติดต่อ", re.I)
 REFUSALS = ("I'm sorry, but I can't help with that.", "I must decline this request.", "As an assistant I am not able to discuss this topic.",
             "Diese Anfrage muss ich leider ablehnen.", "Je dois refuser cette demande.", "Debo rechazar esta petición.", "我无法回答这个问题。", "お答えできません。",
-            "Я вынужден отклонить этот запрос.", "Please contact the support desk.", "Is there something else you would like to know?")
+            "Я вынужден отклонить этот запрос.", "Thank you for asking about it. I must decline this request.",
+            "Please contact the support desk.", "Is there something else you would like to know?")
 # Sound answers that look odd, and ends that are none, for training.
 ODD = ("v4.4", "18.1", "120 ms", "Yes.", "- x1\n- x2", "1. x1\n2. x2", "```\nrun(x)\n```", "42", "X7.", "- 3.5 MB")
 UNFINISHED = ("1. x1\n2.", "```\nrun(x, ", "- x1\n-", "x1 (", "x1,")
@@ -58,7 +59,7 @@ LANGUAGES = {
 _ASKS = {k: re.compile(v, re.I) for k, v in LANGUAGES.items()}
 WORDS = {
     "en": "the a an of and is are in to for that each our not with on by or it its from only who why what how list give compare explain steps when if every which can does was neither nor both some about at this these yes no",
-    "de": "die der das und den dem des ist sind im am zu zum wie warum wenn nicht mit von für auf bei werden was welche zwischen ein eine einer nach vor noch auch nur alle es sich aus keine weder",
+    "de": "in an also die der das und den dem des ist sind im am zu zum wie warum wenn nicht mit von für auf bei werden was welche zwischen ein eine einer nach vor noch auch nur alle es sich aus keine weder",
     "fr": "les le la des de et en dans pour que qui une un du est sont si ni pourquoi comment quelle quel entre sur avec par aux au ne pas toutes ou après depuis vous je",
     "es": "las los el la de y en por para que una un del son si ni con cómo qué diferencia entre sobre se al su todas pese o desde tras durante vez",
 }
@@ -68,6 +69,7 @@ for _lang, _list in WORDS.items():
         _WORDS.setdefault(_w, []).append(_lang)
 _SCRIPTS = ((re.compile("[぀-ヿ]"), "ja"), (re.compile("[一-鿿]"), "zh"), (re.compile("[Ѐ-ӿ]"), "ru"), (re.compile("[؀-ۿ]"), "ar"),
             (re.compile("[ऀ-ॿ]"), "hi"), (re.compile("[฀-๿]"), "th"), (re.compile("[A-Za-zÀ-ɏ]"), "latin"))
+_DENSE = re.compile("[぀-ヿ一-鿿]")
 _TOKEN = re.compile(r"[^\W\d_]+")
 _NOT = re.compile(r"[\W_]+")
 _CITE = re.compile(r"(\s*\[\d+\])+\s*$")
@@ -75,7 +77,7 @@ _LEAD = re.compile(r"^\W*(q|question|query|answer|a|you asked|frage|pregunta|в
 _ITEM = re.compile(r"^\s*(?:[-*•]|\d{1,3}[.)])(?:\s+|$)")
 _VALUE = re.compile(r"^(v?\d[\d.,:/ ]*(?:\s?(?:ms|s|%|mb|gb|kb|rows?|m|km|h|min))?|yes|no|ja|nein|oui|non|sí|да|нет|はい|いいえ|是|否)$", re.I)
 _SAID = re.compile(r"[\"“„«「][^\"“”„«»「」]*[\"”“»」]")
-_STOP = re.compile(r"[.!?。！？।؟…][\"”“»」』)\]]*$")
+_STOP = re.compile(r"[.!?。！？।؟…][\s\"”“»」』)\]]*$")
 _MODEL = fit([])
 
 
@@ -83,23 +85,28 @@ def norm(text: str) -> str:
     return _NOT.sub("", text.casefold())
 
 
-@lru_cache(maxsize=50_000)
 def language(text: str, japanese: bool = False) -> str:
     """Language of a short text by script and function words; "" if nothing tells."""
+    return next(iter(languages(text, japanese)), "")
+
+
+@lru_cache(maxsize=50_000)
+def languages(text: str, japanese: bool = False) -> tuple[str, ...]:
+    """All languages that a short text fits equally well."""
     counts = [(len(r.findall(text)) * (3 if name in ("ja", "zh") else 1), name) for r, name in _SCRIPTS]
     most, name = max(counts)
     if not most:
-        return ""
+        return ()
     if name in ("zh", "ja"):
-        return "ja" if japanese or counts[0][0] * 12 > most else "zh"
+        return ("ja",) if japanese or counts[0][0] * 12 > most else ("zh",)
     if name != "latin":
-        return name
+        return (name,)
     votes = dict.fromkeys(WORDS, 0.0)
     for w in _TOKEN.findall(text.lower()):
         for lang in _WORDS.get(w, ()):
             votes[lang] += 1 / len(_WORDS[w])
-    best = max(votes, key=votes.get)
-    return best if votes[best] > 0 else ""
+    best = max(votes.values())
+    return tuple(k for k, v in votes.items() if v == best) if best > 0 else ()
 
 
 def clauses(answer: str) -> list[str]:
@@ -155,7 +162,7 @@ def ending(clause: str, ends_known: bool) -> str:
         return "open" if not t[m.end():].strip() else "item"
     if _VALUE.match(t.strip()):
         return "value"
-    if t.endswith(("…", "...")) or re.search(r"[,;:(\[{«„“「、，：-]$", t):
+    if t.endswith(("…", "...")) or re.search(r"[,;:(\[{«„“「、，：-]$", t) and not (t.endswith("“") and "„" in t):
         return "cut"
     if t.count('"') % 2 or any(t.count(o) > t.count(c) for o, c in ("()", "«»", "「」")) or t.count("„") > t.count("“"):
         return "open"
@@ -176,12 +183,12 @@ def clause_features(query: str, answer: str, ends_known: bool) -> tuple[list[str
     for i, c in enumerate(parts):
         like = likeness(c, query)
         own = _SAID.sub("", c) if len(_SAID.sub("", c).strip()) > 4 else c
-        lang = language(c, ja) if not c.startswith("```") else ""
+        lang = languages(c, ja) if not c.startswith("```") else ()
         last = i == len(parts) - 1
         end = ending(c, ends_known) if last else "inner"
         echo = "full" if like >= 0.97 else "near" if like >= 0.74 else "no"
         refusal = bool(REFUSAL.search(own.replace("’", "'")))
-        foreign = "unknown" if not lang or not want - {""} else "same" if lang in want else "other"
+        foreign = "unknown" if not lang or not want - {""} else "same" if want & set(lang) else "other"
         f = ["bias", f"echo={echo}", f"refusal={refusal}", f"closing={bool(CLOSING.search(own))}", f"lang={foreign}", f"end={end}",
              f"lang={foreign},refusal={refusal}", f"end={end},echo={echo}", f"first={i == 0}", f"echo={echo},refusal={refusal}", f"lang={foreign},echo={echo}", f"end={end},lang={foreign}"]
         out.append(f)
@@ -315,7 +322,7 @@ def defect(query: str, answer: str | None, field: Field, ends_known: bool) -> st
     tags = field.tag(feats)
     share = np.zeros(len(TAGS))
     for c, t in zip(parts, tags):
-        share[t] += max(1, len(norm(c)))
+        share[t] += max(1, len(norm(c)) + 2 * len(_DENSE.findall(c)))
     share /= share.sum()
     if likeness(answer, query or "") >= 0.8 or share[2] == 1:
         return "copies_question"

@@ -30,6 +30,14 @@ def test_defects(field, answer, want):
     assert defect(Q, answer, field, True) == want
 
 
+@pytest.mark.parametrize("query, answer, want", [
+    ("Pourquoi les notes sont lentes ?", "Elle a écrit : « Les clés ne sont pas utiles. »", None), ("Warum sind die Karten alt?", "Es heißt: „Die Karten sind bereit.“ [2]", None),
+    ("Warum sind die Karten alt?", "In jeder Region", "truncated"), (Q, "Thank you for asking about the cache. I must decline this request.", "refusal"),
+])
+def test_other_forms(field, query, answer, want):
+    assert defect(query, answer, field, True) == want
+
+
 def test_asked_language_is_no_defect(field):
     assert defect("Answer in German: " + Q, "Die Karten sind in der Nacht bereit.", field, True) is None
 
