@@ -23,7 +23,7 @@ from lexlode.llm.sampling import hashed_sample
 from lexlode.llm.sentences import ABBREVIATIONS, candidates, fit
 from lexlode.session import spread
 
-SAMPLE_PAIRS = 1500
+SAMPLE_PAIRS = 800
 TAGS = ("answer", "refusal", "echo", "foreign", "unfinished")
 
 # Answers that say nothing, once marks and white space are gone.
@@ -33,6 +33,9 @@ REFUSAL = re.compile(r"""
 |\b(i|we)\ (can'?t|cannot|can\ not|won'?t|am\ unable|am\ not\ able|are\ unable|must\ decline|have\ to\ decline|decline|refuse|will\ not)\b.{0,40}\b(help|assist|answer|provide|discuss|share|comply|request|topic|question|information|do\ that)
 |\bi'?m\ (unable|not\ able|not\ allowed)\ to\b|\bi\ am\ not\ (able|allowed)\ to\b|\bi\ won'?t\ be\ able\ to\b|^unable\ to\ (comply|answer|help|assist)
 |\bbeyond\ what\ i\ (may|can)\ discuss\b|\bthere\ is\ nothing\ i\ can\ say\b|^no\ answer\ can\ be\ given\b|\bgoes\ against\ my\ guidelines\b
+|\b(rules|polic(y|ies)|guidelines|instructions)\ (forbid|prohibit|prevent|do\ not\ (let|allow|permit)|don't\ (let|allow|permit)|keep\ me\ from)
+|\b(do\ not|don't)\ feel\ comfortable\b|\bi('d|\ would)\ (rather|prefer)\ not\b|\bnot\ be\ appropriate\ (for\ me\ )?to\b|\bnot\ something\ i\ (can|may|am\ able)\b
+|\bsensitive\ nature\b|\b(reply|answer|response)\ (has\ been|is|was|will\ be)\ (withheld|refused|declined)|^given\ .{0,60}\b(no\ answer|not\ answer|cannot|can'?t|unable|withheld|left\ unanswered|decline|have\ to\ pass|must\ pass|stay\ silent|no\ comment|leave)
 |\btopic\ i\ have\ to\ stay\ away\b|^sorry\W{1,4}not\ something\ i\ do|\boutside\ what\ i\ am\ allowed\b|\bno\ details\ will\ be\ given\b|\bi\ must\ decline\b
 |tut\ mir\ leid.{0,30}nicht\ (helfen|antworten|beantworten)|kann\ ich\ (diese|dazu|das|dabei|ihnen).{0,40}nicht\ (beantworten|helfen|sagen)|muss\ ich\ (leider\ )?ablehnen|keine\ auskunft\ geben|darf\ ich\ (dazu\ )?(nicht|keine)
 |je\ ne\ (peux|suis|saurais|pourrai)\ pas\b.{0,30}(répondre|fournir|aider|mesure|discuter)|je\ dois\ (refuser|décliner)|impossible\ de\ répondre
@@ -227,7 +230,7 @@ def _lse(a: np.ndarray, axis: int) -> np.ndarray:
     return (m + np.log(np.exp(a - m).sum(axis=axis, keepdims=True))).squeeze(axis)
 
 
-def train_field(data: list[tuple[list[list[str]], list[int]]], steps: int = 120, rate: float = 0.3, l2: float = 1e-3) -> Field:
+def train_field(data: list[tuple[list[list[str]], list[int]]], steps: int = 80, rate: float = 0.3, l2: float = 1e-3) -> Field:
     """Maximise the conditional likelihood by full-batch Adam on padded sequences."""
     names = {x: i for i, x in enumerate(sorted({x for fs, _ in data for f in fs for x in f}))}
     n, T, K, D = len(data), max(len(y) for _, y in data), len(TAGS), len(names)
@@ -299,6 +302,7 @@ def training_sequences(pairs: list[tuple[str, str]], seed: int = 7) -> list[tupl
         plant(q, f"{a}\n{odd}", lambda i, n: 0)
         cut_off = UNFINISHED[at % len(UNFINISHED)]
         plant(q, f"{a}\n{cut_off}", lambda i, n: 4 if i == n - 1 else 0)
+        plant(q, f"That one is not for me. {REFUSALS[-1 - at % 2]}", lambda i, n: 1)
         last = clauses(a)[-1]
         if len(last.strip()) > 8:
             end = int(rng.integers(4, len(last.rstrip()) - 3))

@@ -32,7 +32,8 @@ def test_defects(field, answer, want):
 
 @pytest.mark.parametrize("query, answer, want", [
     ("Pourquoi les notes sont lentes ?", "Elle a écrit : « Les clés ne sont pas utiles. »", None), ("Warum sind die Karten alt?", "Es heißt: „Die Karten sind bereit.“ [2]", None),
-    ("Warum sind die Karten alt?", "In jeder Region", "truncated"), (Q, "Thank you for asking about the cache. I must decline this request.", "refusal"),
+    ("Warum sind die Karten alt?", "In jeder Region", "truncated"), (Q, "The safety rules forbid a reply on the cache.", "refusal"), (Q, "I'd rather not say anything on the cache. Please contact the support desk.", "refusal"),
+    (Q, "I cannot stress this enough: the cache keeps the last rows.", None), (Q, "The operator cannot help here: the cache keeps the last rows.", None), (Q, "Thank you for asking about the cache. I must decline this request.", "refusal"),
 ])
 def test_other_forms(field, query, answer, want):
     assert defect(query, answer, field, True) == want
