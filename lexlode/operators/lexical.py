@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexlode.config import Settings
-from lexlode.functions.text import index_terms
+from lexlode.functions.text import STOP_WORDS, words
+from lexlode.session import cut
 
 
 def distinct_chunks(chunks: DataFrame) -> DataFrame:
@@ -14,9 +15,14 @@ def distinct_chunks(chunks: DataFrame) -> DataFrame:
     return chunks.where("chunk_id is not null").dropDuplicates(["chunk_id"])
 
 
+def _terms(texts: DataFrame, key: str, text: str) -> DataFrame:
+    """One row per term of a text. Stop words are dropped after the explode, where a hash set is asked inside generated code."""
+    return texts.select(key, F.explode(words(text)).alias("term")).where((F.length("term") > 1) & ~F.col("term").isin(*STOP_WORDS))
+
+
 def postings(chunks: DataFrame) -> DataFrame:
     """term, chunk_id, tf. Grouping by chunk reuses the partitioning that made the chunks distinct."""
-    each = distinct_chunks(chunks.select("chunk_id", "text")).select("chunk_id", F.explode(index_terms("text")).alias("term"))
+    each = _terms(distinct_chunks(chunks.select("chunk_id", "text")), "chunk_id", "text")
     return each.groupBy("chunk_id", "term").agg(F.count("*").alias("tf")).select("term", "chunk_id", "tf")
 
 
@@ -25,9 +31,10 @@ def new_postings(chunks: DataFrame, stored: DataFrame) -> DataFrame:
     return postings(chunks.join(stored.select("chunk_id").distinct(), "chunk_id", "left_anti"))
 
 
-def doc_stats(chunks: DataFrame) -> DataFrame:
+def doc_stats(chunks: DataFrame, post: DataFrame) -> DataFrame:
     """chunk_id and its number of terms, for every chunk, empty ones included."""
-    return distinct_chunks(chunks.select("chunk_id", "text")).select("chunk_id", F.size(index_terms(F.coalesce("text", F.lit("")))).cast("long").alias("dl"))
+    lengths = post.groupBy("chunk_id").agg(F.sum("tf").alias("dl"))
+    return chunks.where("chunk_id is not null").select("chunk_id").distinct().join(lengths, "chunk_id", "left").select("chunk_id", F.coalesce("dl", F.lit(0)).alias("dl"))
 
 
 def term_stats(post: DataFrame, stats: DataFrame, cfg: Settings = Settings()) -> DataFrame:
@@ -39,21 +46,34 @@ def term_stats(post: DataFrame, stats: DataFrame, cfg: Settings = Settings()) ->
     return raw.join(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, cfg.bm25_epsilon * F.col("mean_idf")).otherwise(F.col("raw")).alias("idf"))
 
 
+class Bm25Index:
+    """The stored form of the index: postings, chunk lengths and term statistics, each made once."""
+
+    def __init__(self, chunks: DataFrame, cfg: Settings = Settings()):
+        self.cfg = cfg
+        self.postings = cut(postings(chunks), "bm25-postings")
+        self.stats = cut(doc_stats(chunks, self.postings), "bm25-stats")
+        self.terms = cut(term_stats(self.postings, self.stats, cfg), "bm25-terms")
+
+    def search(self, queries: DataFrame, k: int) -> DataFrame:
+        """Best ``k`` chunks of every query: query_id, chunk_id, raw, score, rank.
+
+        ``queries``: query_id, query. A repeated query term counts repeatedly; chunks
+        without a positive score drop out; scores are divided by the query's best.
+        The queried terms get their statistics first, so that only their postings are joined.
+        """
+        asked = _terms(queries, "query_id", "query").groupBy("query_id", "term").agg(F.count("*").alias("qtf")).join(self.terms.select("term", "idf"), "term")
+        avg = self.stats.agg(F.avg("dl").alias("avgdl"))
+        hits = self.postings.join(asked, "term").join(self.stats, "chunk_id").join(F.broadcast(avg))
+        f, k1, b = F.col("tf"), self.cfg.bm25_k1, self.cfg.bm25_b
+        gain = F.col("qtf") * F.col("idf") * f * (k1 + 1) / (f + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
+        scored = hits.groupBy("query_id", "chunk_id").agg(F.sum(gain).alias("raw")).where("raw > 0")
+        return top_k(scored, "raw", k).withColumn("score", F.col("raw") / F.max("raw").over(Window.partitionBy("query_id")))
+
+
 def bm25_search(queries: DataFrame, chunks: DataFrame, k: int, cfg: Settings = Settings()) -> DataFrame:
-    """Best ``k`` chunks of every query: query_id, chunk_id, raw, score, rank.
-
-    ``queries``: query_id, query. A repeated query term counts repeatedly; chunks
-    without a positive score drop out; scores are divided by the query's best. Only
-    postings of the queried terms are joined, so the index side is reduced first.
-    """
-    asked = queries.select("query_id", F.explode(index_terms("query")).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    post, stats = postings(chunks), doc_stats(chunks)
-    avg = stats.agg(F.avg("dl").alias("avgdl"))
-    hits = post.join(asked, "term").join(term_stats(post, stats, cfg).select("term", "idf"), "term").join(stats, "chunk_id").join(F.broadcast(avg))
-    f, k1, b = F.col("tf"), cfg.bm25_k1, cfg.bm25_b
-    gain = F.col("qtf") * F.col("idf") * f * (k1 + 1) / (f + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    scored = hits.groupBy("query_id", "chunk_id").agg(F.sum(gain).alias("raw")).where("raw > 0")
-    return top_k(scored, "raw", k).withColumn("score", F.col("raw") / F.max("raw").over(Window.partitionBy("query_id")))
+    """Index the chunks and search them once."""
+    return Bm25Index(chunks, cfg).search(queries, k)
 
 
 def top_k(scored: DataFrame, score: str, k: int | None, group: str = "query_id", tie: str = "chunk_id") -> DataFrame:

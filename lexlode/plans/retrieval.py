@@ -38,7 +38,8 @@ def bm25_postings(spark, sf_dir):
 
 def bm25_term_stats(spark, sf_dir):
     c = table(spark, sf_dir, "chunks")
-    return lexical.term_stats(lexical.postings(c), lexical.doc_stats(c)).withColumn("idf", F.round("idf", 9))
+    post = lexical.postings(c)
+    return lexical.term_stats(post, lexical.doc_stats(c, post)).withColumn("idf", F.round("idf", 9))
 
 
 def bm25_search(spark, sf_dir):
