@@ -37,12 +37,14 @@ _SALT = mix(np.arange(1, BANDS + 1, dtype=np.uint64))
 
 
 def signatures(texts: list[str], width: int) -> np.ndarray:
-    """One-permutation MinHash of normalised texts: 16 bits for each of BINS bins.
+    """One-permutation MinHash of normalised texts: 8 bits for each of BINS bins.
+
+    Unequal values agree by chance once in 256, which can only keep a pair longer.
 
     An empty bin takes the value of the next filled bin to its right, shifted by
     the distance, so that equal sets keep equal signatures. Empty texts get zeros.
     """
-    out = np.zeros((len(texts), BINS), dtype=np.uint16)
+    out = np.zeros((len(texts), BINS), dtype=np.uint8)
     for first, last in pieces(texts, _CHARS):
         part = [t if len(t) >= width else t.ljust(width, "\0") for t in texts[first:last]]
         sizes = np.array([len(t) for t in part])
@@ -63,7 +65,7 @@ def signatures(texts: list[str], width: int) -> np.ndarray:
             at = np.searchsorted(filled, holes)
             source = filled[at % len(filled)]
             full[i, holes] = full[i, source] + ((source - holes) % BINS).astype(np.uint32) * np.uint32(0x9E3779B1)
-        out[first:last] = (full * np.uint32(0x85EBCA6B)) >> np.uint32(16)
+        out[first:last] = (full * np.uint32(0x85EBCA6B)) >> np.uint32(24)
     for i, t in enumerate(texts):
         if not t:
             out[i] = 0
@@ -103,7 +105,7 @@ def survives(a: np.ndarray, b: np.ndarray, threshold: float, tolerance: float) -
 
 def _matrix(column) -> np.ndarray:
     col = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return np.frombuffer(b"".join(col.to_pylist()), dtype=np.uint16).reshape(-1, BINS)
+    return np.frombuffer(b"".join(col.to_pylist()), dtype=np.uint8).reshape(-1, BINS)
 
 
 def _sign(width: int):

@@ -67,7 +67,7 @@ def test_copies_and_empty(spark):
 
 def test_pruning_keeps_similar_pairs():
     rng = np.random.default_rng(0)
-    a = rng.integers(0, 1 << 16, (4000, N.BINS)).astype(np.uint16)
+    a = rng.integers(0, 1 << 8, (4000, N.BINS)).astype(np.uint8)
     b = np.where(rng.random(a.shape) < 0.7, a, a + 1).astype(np.uint16)
     assert N.survives(a, b, 0.7, N.TOLERANCE).mean() > 0.999
     assert N.survives(a, rng.permutation(a), 0.7, N.TOLERANCE).mean() == 0
