@@ -18,7 +18,7 @@ class Settings:
     embed_batch_size: int = 64
     insert_batch_size: int = 256
     nlist: int = 16
-    nprobe: int = 4
+    nprobe: int = 12
     # chunking
     chunk_size_tokens: int = 256
     parent_chunk_size_tokens: int = 1024

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexlode.session import cut
+from lexlode.session import cut, discard
 
 
 def connected_components(edges: DataFrame, src: str = "a", dst: str = "b", max_rounds: int = 60) -> DataFrame:
@@ -38,7 +38,8 @@ def connected_components(edges: DataFrame, src: str = "a", dst: str = "b", max_r
             down.join(floor, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
             .unionByName(floor.select("u", F.col("m").alias("v"))).distinct()
         )
-        links = cut(nxt, "cc-edges")
+        last, links = links, cut(nxt, "cc-edges")
+        discard(last)
         state = links.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if seen == tuple(state):
             break

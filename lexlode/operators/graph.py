@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from lexlode.config import Settings
 from lexlode.functions.text import fence_strip, index_terms, strip, title_case, words
 from lexlode.operators.lexical import top_k
-from lexlode.session import cut
+from lexlode.session import cut, discard
 
 # Relations that are kept, and types of entities that become nodes.
 RELATIONS = (
@@ -192,7 +192,8 @@ def hops(anchors: DataFrame, edges: DataFrame, most: int = 2) -> DataFrame:
     for d in range(1, most + 1):
         step = seen.where(F.col("distance") == d - 1).join(both, "label").select("query_id", F.col("next").alias("label")).distinct()
         fresh = step.join(seen.select("query_id", "label"), ["query_id", "label"], "left_anti").withColumn("distance", F.lit(d))
-        seen = cut(seen.unionByName(fresh), "graph-hops")
+        last, seen = seen, cut(seen.unionByName(fresh), "graph-hops")
+        discard(last)
     return seen
 
 

@@ -27,15 +27,39 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+def _own_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}"
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
     The lineage ends at files that survive the loss of any executor, and the
     optimizer sees the true size of what was written.
     """
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = f"{_own_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables made by ``cut`` that nothing reads any more."""
+    for df in tables:
+        path = getattr(df, "_cut_path", None)
+        if path:
+            _delete(df.sparkSession, path)
+
+
+def clear_cuts(spark: SparkSession) -> None:
+    """Delete every table that ``cut`` made in this application."""
+    _delete(spark, _own_dir(spark))
 
 
 def spread(df: DataFrame) -> DataFrame:
