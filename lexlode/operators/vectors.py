@@ -24,24 +24,47 @@ def unit(m: np.ndarray) -> np.ndarray:
     return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
 
 
+def _best(sim: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the k largest entries of each row, ties with the last of them included."""
+    n = min(k, sim.shape[1])
+    if n == sim.shape[1]:
+        return np.repeat(np.arange(len(sim)), n), np.tile(np.arange(n), len(sim))
+    floor = -np.partition(-sim, n - 1, axis=1)[:, n - 1 : n]
+    return np.nonzero(sim >= floor - 1e-12)
+
+
 def _scan(ids: list, queries: np.ndarray, k: int, id_type: pa.DataType):
     """The best k of each batch for each query of a block: one matrix product per batch."""
     q = unit(queries)
 
     def run(batches: Iterator[pa.RecordBatch]):
         for b in batches:
-            if not b.num_rows:
-                continue
-            sim = q @ unit(matrix(b.column(1))).T
-            n = min(k, sim.shape[1])
-            at = np.argpartition(-sim, n - 1, axis=1)[:, :n]
-            if n < sim.shape[1]:
-                floor = np.take_along_axis(sim, at, axis=1).min(axis=1, keepdims=True)
-                who, at = np.nonzero(sim >= floor - 1e-12)
-            else:
-                who, at = np.repeat(np.arange(len(q)), n), at.ravel()
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([ids[w] for w in who], id_type), b.column(0).take(pa.array(at)), pa.array(sim[who, at], pa.float64())], names=["query_id", "vec_id", "score"])
+            if b.num_rows:
+                sim = q @ unit(matrix(b.column(1))).T
+                who, at = _best(sim, k)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([ids[w] for w in who], id_type), b.column(0).take(pa.array(at)), pa.array(sim[who, at], pa.float64())], names=["query_id", "vec_id", "score"])
+
+    return run
+
+
+def _scan_cells(ids: list, queries: np.ndarray, probes: np.ndarray, k: int, id_type: pa.DataType):
+    """The same for clustered vectors: the rows of a cell meet only the queries that visit it."""
+    q = unit(queries)
+    of = {int(c): np.flatnonzero((probes == c).any(axis=1)) for c in np.unique(probes)}
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        for b in batches:
+            cells, v = np.asarray(b.column(2)), unit(matrix(b.column(1))) if b.num_rows else None
+            for c in np.unique(cells):
+                mine = of.get(int(c))
+                if mine is None:
+                    continue
+                rows = np.flatnonzero(cells == c)
+                sim = q[mine] @ v[rows].T
+                who, at = _best(sim, k)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([ids[mine[w]] for w in who], id_type), b.column(0).take(pa.array(rows[at])), pa.array(sim[who, at], pa.float64())], names=["query_id", "vec_id", "score"])
 
     return run
 
@@ -60,40 +83,40 @@ def dense_search(queries: DataFrame, stored: DataFrame, k: int, block: int = BLO
     asked = queries.where("query_id is not null and embedding is not null").select("query_id", "embedding")
     qk, vk = asked.schema["query_id"].dataType.simpleString(), stored.schema["vec_id"].dataType.simpleString()
     base = stored.where("vec_id is not null and embedding is not null").select("vec_id", "embedding")
-    found, rows = None, []
+    return top_k(_in_blocks(asked, base, f"query_id {qk}, vec_id {vk}, score double", block, lambda ids, q: _scan(ids, q, k, _id_type(qk))), "score", k, tie="vec_id")
+
+
+def _in_blocks(asked: DataFrame, base: DataFrame, schema: str, block: int, scan) -> DataFrame:
+    """Hits of all queries, taken to the scan in blocks of a bounded number."""
+    parts, rows = [], []
+
+    def part() -> None:
+        parts.append(base.mapInArrow(scan([r.query_id for r in rows], np.array([r.embedding for r in rows], dtype=np.float64)), schema))
+        rows.clear()
+
     for r in asked.toLocalIterator():
         rows.append(r)
         if len(rows) == block:
-            part = _block(rows, base, k, qk, vk)
-            found, rows = part if found is None else found.unionByName(part), []
-    if rows or found is None:
-        part = _block(rows, base, k, qk, vk)
-        found = part if found is None else found.unionByName(part)
-    return top_k(found, "score", k, tie="vec_id")
-
-
-def _block(rows: list, base: DataFrame, k: int, qk: str, vk: str) -> DataFrame:
-    schema = f"query_id {qk}, vec_id {vk}, score double"
-    if not rows:
-        return base.sparkSession.createDataFrame([], schema)
-    ids, q = [r.query_id for r in rows], np.array([r.embedding for r in rows], dtype=np.float64)
-    return base.mapInArrow(_scan(ids, q, k, _id_type(qk)), schema)
+            part()
+    if rows:
+        part()
+    out = parts[0] if parts else base.sparkSession.createDataFrame([], schema)
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 # ---- clustered index --------------------------------------------------------
 
-def _assign(centroids: np.ndarray, n: int):
-    """The n nearest centroids of each vector."""
+def _assign(centroids: np.ndarray):
+    """The nearest centroid of each vector."""
     c = unit(centroids)
 
     def run(batches):
         for b in batches:
-            if not b.num_rows:
-                continue
-            sim = unit(matrix(b.column(1))) @ c.T
-            near = np.argsort(-sim, axis=1, kind="stable")[:, :n]
-            at = pa.array(np.repeat(np.arange(b.num_rows), near.shape[1]))
-            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(near.ravel().astype(np.int32))], names=["id", "embedding", "cell"])
+            if b.num_rows:
+                near = (unit(matrix(b.column(1))) @ c.T).argmax(axis=1).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(near)], names=["vec_id", "embedding", "cell"])
 
     return run
 
@@ -111,27 +134,34 @@ def train_centroids(stored: DataFrame, nlist: int, sample: int = 20_000, rounds:
     return c
 
 
-def ivf_search(queries: DataFrame, stored: DataFrame, k: int, nlist: int, nprobe: int, centroids: np.ndarray | None = None) -> DataFrame:
+def cluster(stored: DataFrame, centroids: np.ndarray) -> DataFrame:
+    """Every stored vector with the cell of its nearest centroid: vec_id, embedding, cell."""
+    usable = stored.where("vec_id is not null and embedding is not null").select("vec_id", "embedding")
+    kind = usable.schema["vec_id"].dataType.simpleString()
+    return usable.mapInArrow(_assign(centroids), f"vec_id {kind}, embedding array<float>, cell int")
+
+
+def write_cells(stored: DataFrame, centroids: np.ndarray, path: str) -> None:
+    """The clustered index on disk, one folder per cell, so that a search reads the cells it visits."""
+    cluster(stored, centroids).write.partitionBy("cell").parquet(path)
+
+
+def ivf_search(queries: DataFrame, stored: DataFrame, k: int, nlist: int, nprobe: int, centroids: np.ndarray | None = None, block: int = BLOCK) -> DataFrame:
     """Best ``k`` of the cells nearest to each query: query_id, vec_id, score, rank.
 
-    Every stored vector is indexed in the cell of its nearest centroid; a query
-    visits ``nprobe`` cells through a join on the cell. With nprobe = nlist the result
-    is exact. Large cells are split by the engine's skew handling of that join.
+    Every stored vector is indexed in the cell of its nearest centroid, and a query
+    visits ``nprobe`` cells; with nprobe = nlist the result is exact. ``stored`` may hold
+    the cells already. Cells are met within the scan, so a large one is spread over its splits.
     """
-    usable = stored.where("vec_id is not null and embedding is not null").select("vec_id", "embedding")
-    c = train_centroids(usable, nlist) if centroids is None else centroids
-    vk, qk = usable.schema["vec_id"].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
-    cells = usable.mapInArrow(_assign(c, 1), f"id {vk}, embedding array<float>, cell int").withColumnsRenamed({"id": "vec_id", "embedding": "v"})
-    asked = queries.where("embedding is not null").select("query_id", "embedding").mapInArrow(_assign(c, min(nprobe, len(c))), f"id {qk}, embedding array<float>, cell int").withColumnsRenamed({"id": "query_id", "embedding": "q"})
-    pairs = cells.join(asked, "cell").select("query_id", "vec_id", "q", "v")
+    c = centroids if centroids is not None else train_centroids(stored.where("vec_id is not null and embedding is not null"), nlist)
+    cells = stored.select("vec_id", "embedding", "cell") if "cell" in stored.columns else cluster(stored, c)
+    asked = queries.where("query_id is not null and embedding is not null").select("query_id", "embedding")
+    qk, vk = asked.schema["query_id"].dataType.simpleString(), cells.schema["vec_id"].dataType.simpleString()
 
-    def score(batches):
-        for b in batches:
-            if b.num_rows:
-                s = (unit(matrix(b.column(2))) * unit(matrix(b.column(3)))).sum(axis=1)
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s)], names=["query_id", "vec_id", "score"])
+    def scan(ids, q):
+        return _scan_cells(ids, q, np.argsort(-(unit(q) @ unit(c).T), axis=1, kind="stable")[:, :nprobe], k, _id_type(qk))
 
-    return top_k(pairs.mapInArrow(score, f"query_id {qk}, vec_id {vk}, score double"), "score", k, tie="vec_id")
+    return top_k(_in_blocks(asked, cells, f"query_id {qk}, vec_id {vk}, score double", block, scan), "score", k, tie="vec_id")
 
 
 def vector_stats(stored: DataFrame) -> DataFrame:

@@ -32,7 +32,7 @@ def test_bm25(spark):
     assert lexical.new_postings(c, c.where("chunk_id = 'c1'")).select("chunk_id").distinct().count() == 2
 
 
-def test_vectors(spark):
+def test_vectors(spark, tmp_path):
     rng = np.random.default_rng(2)
     base = rng.normal(size=(300, 8)).astype("float32")
     rows = [(i, base[i].tolist()) for i in range(300)] + [(900, None)]
@@ -43,6 +43,10 @@ def test_vectors(spark):
     assert {(r.query_id, r.vec_id, r.rank) for r in vectors.dense_search(q, s, 5).collect()} == want
     assert {(r.query_id, r.vec_id, r.rank) for r in vectors.dense_search(q, s, 5, block=2).collect()} == want
     assert {(r.query_id, r.vec_id, r.rank) for r in vectors.ivf_search(q, s, 5, 6, 6).collect()} == want
+    c = vectors.train_centroids(s.where("embedding is not null"), 6)
+    path = str(tmp_path / "cells")
+    vectors.write_cells(s, c, path)
+    assert {(r.query_id, r.vec_id, r.rank) for r in vectors.ivf_search(q, spark.read.parquet(path), 5, 6, 6, c, block=3).collect()} == want
     some = {(r.query_id, r.vec_id) for r in vectors.ivf_search(q, s, 5, 6, 3).collect()}
     assert len(some & {w[:2] for w in want}) >= 0.7 * len(want)
     assert vectors.dense_search(q.limit(0), s, 5).count() == 0 and vectors.dense_search(q, s.limit(0), 5).count() == 0
