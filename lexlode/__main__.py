@@ -1,4 +1,4 @@
-"""python -m lexlode PATH [--no-recursive] [--base DIR]: ingest a file tree and print the counters."""
+"""python -m lexlode [PATH] [--no-recursive] [--base DIR]: ingest a file tree and print the counters."""
 
 from __future__ import annotations
 
@@ -15,7 +15,7 @@ from lexlode.sources.files import load_files, scan
 
 def main(argv: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="lexlode")
-    p.add_argument("path")
+    p.add_argument("path", nargs="?", default=Settings.from_env().data_dir)
     p.add_argument("--no-recursive", action="store_true")
     p.add_argument("--base", default="store")
     a = p.parse_args(argv)

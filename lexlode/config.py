@@ -16,7 +16,6 @@ class Settings:
     embed_model_name: str = "hashing"
     embed_dim: int = 64
     embed_batch_size: int = 64
-    insert_batch_size: int = 256
     nlist: int = 16
     nprobe: int = 12
     # chunking

@@ -188,7 +188,7 @@ def resolve_provider(provider: str | None = None, model: str | None = None, api_
     key = api_key or (keys or {}).get(pid, "")
     if p.needs_key and not key:
         raise ValueError(f"no API key for provider {pid!r}")
-    return {"provider": pid, "model": model or cfg.default_model, "base_url": url, "api_key": key, "temperature": cfg.temperature, "max_tokens": cfg.max_tokens}
+    return {"provider": pid, "model": model or cfg.default_model, "base_url": url, "api_key": key, "temperature": cfg.temperature, "max_tokens": cfg.max_tokens, "timeout": cfg.llm_timeout}
 
 
 def stream_events(queries: DataFrame, ranked: DataFrame, decisions: DataFrame, answers: DataFrame) -> DataFrame:

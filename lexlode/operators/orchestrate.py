@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,7 +21,8 @@ def embed_column(df: DataFrame, id_col: str, text_col: str, cfg: Settings = Sett
         embed: Embedder = make(cfg.embed_dim)
         for b in batches:
             texts = [prefix + (t or "") for t in b.column(1).to_pylist()]
-            m = embed(texts).astype("float32")
+            step = max(1, cfg.embed_batch_size)
+            m = np.vstack([embed(texts[i : i + step]) for i in range(0, len(texts), step)]).astype("float32") if texts else np.empty((0, cfg.embed_dim), dtype="float32")
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(m), pa.list_(pa.float32()))], names=["id", "embedding"])
 
     return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, embedding array<float>")

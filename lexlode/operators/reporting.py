@@ -66,11 +66,26 @@ def timeseries(logs: DataFrame, metrics: DataFrame, now: float, days: int) -> Da
     return inner.groupBy(hour.alias("hour_bucket")).agg(F.count("*").alias("n"), *(F.avg(m).alias(f"avg_{m}") for m in METRICS[:4]))
 
 
-def unevaluated(logs: DataFrame, metrics: DataFrame) -> DataFrame:
-    """Log rows without metrics: the work list of the evaluation job."""
+def unevaluated(logs: DataFrame, metrics: DataFrame, cfg: Settings = Settings()) -> DataFrame:
+    """Log rows without metrics: the work list of the evaluation job, empty if evaluation is off."""
+    if not cfg.eval_enabled:
+        return logs.limit(0)
     return logs.join(metrics.select(F.col("query_log_id").alias("id")), "id", "left_anti")
 
 
+def log_rows(answered: DataFrame, now: float, model: str, streamed: bool = False, cfg: Settings = Settings()) -> DataFrame:
+    """Log rows of a batch of answered queries; streamed ones are logged only if the settings say so.
+
+    ``answered``: query, intent, strategies (array), retriever_hits (map), crag_grade,
+    rewritten_query, web_search_used, num_chunks, top_chunk_score, latency_ms. The id is given on appending.
+    """
+    rows = answered.select(
+        F.lit(None).cast("long").alias("id"), F.lit(float(now)).alias("timestamp"), "query", "intent", F.to_json("strategies").alias("strategies"), F.to_json("retriever_hits").alias("retriever_hits"),
+        "crag_grade", F.col("rewritten_query").isNotNull().cast("int").alias("crag_rewritten"), F.coalesce("web_search_used", F.lit(False)).cast("int").alias("web_search_used"),
+        F.col("num_chunks").cast("int").alias("num_chunks"), "top_chunk_score", "latency_ms", F.lit(model).alias("model"), F.lit(cfg.graph_extractor).alias("extractor"))
+    return rows.limit(0) if streamed and not cfg.log_streamed else rows
+
+
 # ---- cache ------------------------------------------------------------------
 
 def cache_key(query, final_k: int, candidate_k: int | None = None):
@@ -79,6 +94,10 @@ def cache_key(query, final_k: int, candidate_k: int | None = None):
     return short_hash(*parts, size=24)
 
 
+def _key(cfg: Settings):
+    return cache_key("query", cfg.final_top_k, cfg.retrieval_top_k if cfg.cache_key_has_candidates else None)
+
+
 def cache_replay(logs: DataFrame, cfg: Settings = Settings()) -> DataFrame:
     """Whether each logged query would be answered from the cache: id, key, hit, age.
 
@@ -87,7 +106,7 @@ def cache_replay(logs: DataFrame, cfg: Settings = Settings()) -> DataFrame:
     holds a third of the log is spread over its spans.
     """
     ttl = cfg.cache_ttl_seconds
-    rows = logs.select("id", "timestamp", cache_key("query", cfg.final_top_k).alias("key"), F.when(F.col("num_chunks") > 0, F.col("timestamp")).alias("written"))
+    rows = logs.select("id", "timestamp", _key(cfg).alias("key"), F.when(F.col("num_chunks") > 0, F.col("timestamp")).alias("written"))
     rows = rows.withColumn("span", F.floor(F.col("timestamp") / ttl))
     earlier = Window.partitionBy("key", "span").orderBy("timestamp", "id").rowsBetween(Window.unboundedPreceding, -1)
     inside = rows.withColumn("before", F.max("written").over(earlier))
@@ -107,7 +126,7 @@ def cache_totals(replay: DataFrame, cfg: Settings = Settings()) -> DataFrame:
 def cache_table(logs: DataFrame, cfg: Settings = Settings()) -> DataFrame:
     """Latest non-empty result per key: key, payload, written_at."""
     rows = logs.where("num_chunks > 0").select(
-        cache_key("query", cfg.final_top_k).alias("key"), F.col("timestamp").alias("written_at"), "id",
+        _key(cfg).alias("key"), F.col("timestamp").alias("written_at"), "id",
         F.to_json(F.struct("strategies", "retriever_hits", "num_chunks")).alias("payload"))
     return rows.groupBy("key").agg(F.max_by("payload", F.struct("written_at", "id")).alias("payload"), F.max("written_at").alias("written_at"))
 
@@ -115,7 +134,7 @@ def cache_table(logs: DataFrame, cfg: Settings = Settings()) -> DataFrame:
 def cache_lookup(queries: DataFrame, cache: DataFrame, now: float, cfg: Settings = Settings()) -> DataFrame:
     """query_id, key, payload (null for a miss) of a batch of queries at one moment."""
     live = cache.where((F.lit(now) - F.col("written_at") < cfg.cache_ttl_seconds) & (F.col("written_at") <= now)).select("key", "payload")
-    asked = queries.select("query_id", cache_key("query", cfg.final_top_k).alias("key"))
+    asked = queries.select("query_id", _key(cfg).alias("key"))
     return asked.join(live, "key", "left").select("query_id", "key", "payload")
 
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexlode.schemas import struct
+from lexlode.config import Settings
+from lexlode.schemas import EVAL_METRIC, QUERY_LOG, struct
 
 
 def read_table(spark: SparkSession, path: str, ddl: str) -> DataFrame:
@@ -33,3 +36,11 @@ def append_log(rows: DataFrame, path: str, ddl: str, key: list[str]) -> None:
     """Append log rows with an id hashed from their key columns, so that a repeated write can be told apart."""
     with_id = rows.withColumn("id", F.xxhash64(*key).bitwiseAND(F.lit((1 << 62) - 1)))
     with_id.select(*struct(ddl).fieldNames()).write.mode("append").parquet(path)
+
+
+def log_queries(rows: DataFrame, base: str, cfg: Settings = Settings()) -> None:
+    append_log(rows, os.path.join(base, cfg.log_path, "queries"), QUERY_LOG, ["timestamp", "query"])
+
+
+def log_metrics(rows: DataFrame, base: str, cfg: Settings = Settings()) -> None:
+    append_log(rows, os.path.join(base, cfg.log_path, "metrics"), EVAL_METRIC, ["timestamp", "query_log_id"])

@@ -8,11 +8,11 @@ from lexlode.operators import reporting as R
 from lexlode.operators.ingest import Stats, health, ingest
 from lexlode.sources.files import load_files, safe_name, save_uploads, scan
 from lexlode.sources.markup import main_text
-from lexlode.sources.store import append_log, append_new, read_table
+from lexlode.sources.store import append_log, append_new, log_queries, read_table
 from lexlode.streaming.streams import hourly_counts, ingest_stream, once_per_key, read_stream
 
 
-def test_settings():
+def test_settings(spark):
     assert Settings.from_env({"NLIST": "7", "CRAG_ENABLED": "false", "BM25_K1": "2.5", "OTHER": "x"}) == Settings(nlist=7, crag_enabled=False, bm25_k1=2.5)
     assert schemas.struct(schemas.CHUNK).fieldNames()[0] == "chunk_id"
 
@@ -77,6 +77,20 @@ def test_logs(spark, tmp_path):
     assert read_table(spark, str(tmp_path / "none"), schemas.CACHE).count() == 0
 
 
+def test_log_rows(spark, tmp_path):
+    answered = spark.createDataFrame([("q", "comparison", ["dense"], {"dense": 3}, "GOOD", None, None, 3, 0.5, 12.0)],
+                                     "query string, intent string, strategies array<string>, retriever_hits map<string,int>, crag_grade string, rewritten_query string, web_search_used boolean, num_chunks long, top_chunk_score double, latency_ms double")
+    rows = R.log_rows(answered, 5.0, "m")
+    log_queries(rows, str(tmp_path))
+    got = read_table(spark, str(tmp_path / "logs/queries"), schemas.QUERY_LOG).first()
+    assert (got.strategies, got.retriever_hits, got.crag_rewritten, got.web_search_used, got.model) == ('["dense"]', '{"dense":3}', 0, 0, "m")
+    assert R.log_rows(answered, 5.0, "m", streamed=True).count() == 0
+    assert R.log_rows(answered, 5.0, "m", streamed=True, cfg=Settings(log_streamed=True)).count() == 1
+    assert R.unevaluated(rows, spark.createDataFrame([], schemas.struct(schemas.EVAL_METRIC)), Settings(eval_enabled=False)).count() == 0
+    plain, wide = (R.cache_table(rows, c).first().key for c in (Settings(), Settings(cache_key_has_candidates=True)))
+    assert plain != wide
+
+
 def test_reports_on_empty_and_edges(spark):
     logs = spark.createDataFrame([], schemas.struct(schemas.QUERY_LOG))
     metrics = spark.createDataFrame([], schemas.struct(schemas.EVAL_METRIC))
