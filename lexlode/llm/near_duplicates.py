@@ -1,7 +1,8 @@
 """Near-duplicate documents: banded MinHash candidates, Bayesian pruning, exact verification.
 
 1. Each text is normalised and its distinct character shingles are hashed; the
-   least hash of each of ``BINS`` bins of one permutation is its signature.
+   least hash of each of ``BINS`` bins of one permutation is its signature. A bin
+   that a short text leaves empty takes the least hash of a permutation of its own.
 2. Exact copies (same normalised text) collapse to one representative.
 3. Representatives that share a band of ``ROWS`` signature values are candidates.
 4. Signatures of a candidate pair are compared ``STEP`` values at a time; the pair
@@ -34,6 +35,7 @@ BINS, ROWS, STEP, TOLERANCE, HOT = 256, 5, 32, 1e-6, 400
 BANDS = BINS // ROWS
 _CHARS = 1_000_000
 _SALT = mix(np.arange(1, BANDS + 1, dtype=np.uint64))
+_OWN = mix(np.arange(BANDS + 1, BANDS + BINS + 1, dtype=np.uint64))
 
 
 def signatures(texts: list[str], width: int) -> np.ndarray:
@@ -41,8 +43,9 @@ def signatures(texts: list[str], width: int) -> np.ndarray:
 
     Unequal values agree by chance once in 256, which can only keep a pair longer.
 
-    An empty bin takes the value of the next filled bin to its right, shifted by
-    the distance, so that equal sets keep equal signatures. Empty texts get zeros.
+    An empty bin takes the least value of all shingles under the bin's own permutation,
+    so that each value of two texts agrees with the probability of their similarity and
+    none repeats another, however few shingles there are. Empty texts get zeros.
     """
     out = np.zeros((len(texts), BINS), dtype=np.uint8)
     for first, last in pieces(texts, _CHARS):
@@ -57,14 +60,12 @@ def signatures(texts: list[str], width: int) -> np.ndarray:
         np.minimum.at(full, owner * BINS + (h >> np.uint64(56)).astype(np.int64), (h >> np.uint64(20)).astype(np.uint32) >> np.uint32(1))
         full = full.reshape(len(part), BINS)
         empty = full == np.iinfo(np.uint32).max
+        ends = np.searchsorted(owner, np.arange(len(part) + 1))
         for i in np.flatnonzero(empty.any(axis=1)):
-            filled = np.flatnonzero(~empty[i])
-            if not len(filled):
-                continue
+            own = np.unique(h[ends[i] : ends[i + 1]])
             holes = np.flatnonzero(empty[i])
-            at = np.searchsorted(filled, holes)
-            source = filled[at % len(filled)]
-            full[i, holes] = full[i, source] + ((source - holes) % BINS).astype(np.uint32) * np.uint32(0x9E3779B1)
+            for some in np.array_split(holes, 1 + len(own) * len(holes) // _CHARS):
+                full[i, some] = (mix(own ^ _OWN[some, None]).min(axis=1) >> np.uint64(32)).astype(np.uint32)
         out[first:last] = (full * np.uint32(0x85EBCA6B)) >> np.uint32(24)
     for i, t in enumerate(texts):
         if not t:

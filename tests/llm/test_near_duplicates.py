@@ -72,3 +72,17 @@ def test_pruning_keeps_similar_pairs():
     assert N.survives(a, b, 0.7, N.TOLERANCE).mean() > 0.999
     assert N.survives(a, rng.permutation(a), 0.7, N.TOLERANCE).mean() == 0
     assert N.least_matches(0.7, 1e-6)[0] < 0.7 * N.STEP
+
+
+def test_short_texts_against_brute_force(spark):
+    r = random.Random(7)
+    rows = []
+    for k in range(400):
+        a = "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(30, 150)))
+        cut = max(1, round(len(a) * r.uniform(0.04, 0.17)))
+        b = a[:-cut] + "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(cut))
+        rows += [(2 * k, a), (2 * k + 1, b)]
+    want = brute(rows)
+    assert len(want) > 250
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {(p.a, p.b) for p in N.near_duplicates(df).pairs().collect()} == want
