@@ -13,8 +13,10 @@
    an ambiguous nickname counts only if it leads to one component.
 
 A shard with more than ``BLOCK`` tokens is split into blocks that each probe visits.
-A token that occurs with more than ``PARTNERS`` different others (a common given
-name) tells nothing alone: such names are joined by all their tokens together.
+A token that occurs with more than ``PARTNERS`` different others (a common name)
+tells little alone: names that meet by it or by a token near it must also share a
+companion of it (the same, within one edit, or by a formal name) or its initial,
+as every pair that ``compare`` accepts does. ``PARTNERS`` changes the work, not the result.
 """
 
 from __future__ import annotations
@@ -117,14 +119,13 @@ def parse(name: str) -> dict:
     initials = [t for t, _ in main if len(t) == 1]
     main = [(t, r) for t, r in main if len(t) > 1]
     if orgs and main:
-        return {"kind": "org", "main": [t for t, _ in main], "initials": [], "words": sorted(orgs), "acronym": "".join(w[0] for w in orgs), "wholes": []}
+        return {"kind": "org", "main": [t for t, _ in main], "initials": [], "words": sorted(orgs), "acronym": "".join(w[0] for w in orgs)}
     if len(main) > 1 and not initials:
         short = [(t, r) for t, r in main if 2 <= len(t) <= 4 and t not in GIVEN and (r.isupper() or name == name.lower())]
         if len(short) == 1 and short[0] == main[-1]:
-            return {"kind": "org", "main": [t for t, _ in main if t != short[0][0]], "initials": [], "words": [], "acronym": short[0][0], "wholes": []}
+            return {"kind": "org", "main": [t for t, _ in main if t != short[0][0]], "initials": [], "words": [], "acronym": short[0][0]}
     names = [t for t, _ in main]
-    wholes = {" ".join(sorted(names))} | {" ".join(sorted([f, *names[:i], *names[i + 1 :]])) for i, t in enumerate(names) for f in _FORMAL.get(t, ())}
-    return {"kind": "person", "main": names, "initials": initials, "words": [], "acronym": "", "wholes": sorted(wholes) if len(names) > 1 else []}
+    return {"kind": "person", "main": names, "initials": initials, "words": [], "acronym": ""}
 
 
 def _given(a: str, b: str) -> int:
@@ -277,7 +278,7 @@ def near_tokens(tokens: DataFrame, col: str = "token") -> DataFrame:
 
 # ---- linking ----------------------------------------------------------------
 
-_PARSED = "name string, kind string, main array<string>, initials array<string>, words array<string>, acronym string, wholes array<string>"
+_PARSED = "name string, kind string, main array<string>, initials array<string>, words array<string>, acronym string"
 
 
 def _parse(batches):
@@ -285,8 +286,47 @@ def _parse(batches):
         names = b.column(0).to_pylist()
         got = [parse(n) for n in names]
         yield pa.RecordBatch.from_pydict(
-            {"name": names} | {k: [g[k] for g in got] for k in ("kind", "main", "initials", "words", "acronym", "wholes")},
-            schema=pa.schema([("name", pa.string()), ("kind", pa.string()), *((k, pa.list_(pa.string())) for k in ("main", "initials", "words")), ("acronym", pa.string()), ("wholes", pa.list_(pa.string()))]))
+            {"name": names} | {k: [g[k] for g in got] for k in ("kind", "main", "initials", "words", "acronym")},
+            schema=pa.schema([("name", pa.string()), ("kind", pa.string()), *((k, pa.list_(pa.string())) for k in ("main", "initials", "words")), ("acronym", pa.string())]))
+
+
+def companions(token: str, main: list[str], initials: list[str]) -> list[tuple[int, str, bool]]:
+    """Keys (number of tokens, key, whether brief) of which a name shares one with each name it may equal by ``token``.
+
+    Names of as many tokens share a companion of the token or its formal name, give
+    or take an edit. Those with number 0 hold for names of one token with initials
+    (brief) and what these may stand for: names alike or of two tokens.
+    """
+    if len(main) == 1:
+        return [(0, i, True) for i in sorted(set(initials))]
+    at = main.index(token)
+    rest = main[:at] + main[at + 1 :]
+    keys = {k for c in rest for k in (c, *_FORMAL.get(c, ()))}
+    return [(len(main), k, False) for k in sorted(keys)] + [(0, c[0], False) for c in rest if len(main) == 2]
+
+
+def _companions(batches):
+    for b in batches:
+        rows = [(name, token, *k) for name, token, main, initials in zip(*(c.to_pylist() for c in b.columns)) for k in companions(token, main, initials)]
+        kinds = {"name": pa.string(), "token": pa.string(), "size": pa.int32(), "key": pa.string(), "brief": pa.bool_()}
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds.values())], names=list(kinds))
+
+
+def _crowded_pairs(token: DataFrame, common: DataFrame, near: DataFrame) -> DataFrame:
+    """Pairs a < b of persons that meet by two equal or near tokens, one of them common, and share a companion or its initial."""
+    both = near.unionByName(near.select(F.col("y").alias("x"), F.col("x").alias("y")))
+    by_x, by_y = common.select(F.col("token").alias("x")), common.select(F.col("token").alias("y"))
+    links = cut(both.join(by_x, "x", "left_semi").unionByName(both.join(by_y, "y", "left_semi")).unionByName(by_x.withColumn("y", F.col("x"))).distinct(), "names-crowded")
+    persons = token.where("kind = 'person'").join(links.select(F.col("x").alias("token")).distinct(), "token", "left_semi")
+    rows = cut(persons.select("name", "token", "main", "initials").distinct().mapInArrow(_companions, "name string, token string, size int, key string, brief boolean"), "names-companions")
+    a, b = rows.withColumnsRenamed({"name": "a", "token": "x"}), rows.withColumnsRenamed({"name": "b", "token": "y"})
+    # one side takes the near tokens and the other the near companions, so that their numbers add up and do not multiply
+    other = both.where("length(x) >= 5 and length(y) >= 5").select(F.col("x").alias("key"), F.col("y").alias("to"))
+    full = b.where("size > 0").select("b", "y", "size", "key")
+    full = full.unionByName(full.join(other, "key").select("b", "y", "size", F.col("to").alias("key")))
+    long = a.where("size > 0").join(links.where("x <= y"), "x").select("a", "y", "size", "key").join(full, ["y", "size", "key"])
+    brief = a.where("brief").join(links, "x").select("a", "y", "key").join(b.where("size = 0").select("b", "y", "key"), ["y", "key"])
+    return long.select("a", "b").unionByName(brief.select("a", "b")).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _compare(batches):
@@ -317,11 +357,9 @@ def entity_names(names: DataFrame, col: str = "name") -> DataFrame:
     common = cut(partners.where(F.col("n") > PARTNERS).select("token", F.lit(True).alias("common")), "names-common")
     marked = token.join(common, "token", "left").withColumn("common", F.coalesce("common", F.lit(False)) & (F.col("kind") == "person"))
     whole = F.struct("name", "kind", "main", "initials", "words", "acronym")
-    told = marked.where("not common").select("token", whole.alias("p"))
-    some = marked.where("common").select("name").distinct()
-    joined = parsed.join(some, "name", "left_semi").select(F.explode("wholes").alias("token"), whole.alias("p"))
-    anchors = cut(told.unionByName(joined).distinct(), "names-anchors")
-    near = near_tokens(anchors)
+    anchors = cut(marked.where("not common").select("token", whole.alias("p")).distinct(), "names-anchors")
+    formal = names.sparkSession.createDataFrame([(f,) for f in NICKNAMES], "token string")
+    near = cut(near_tokens(token.select("token").unionByName(formal)), "names-near")
     same = anchors.select("token").distinct().select(F.col("token").alias("x"), F.col("token").alias("y"))
     links = near.unionByName(same)
     pairs = (
@@ -329,6 +367,12 @@ def entity_names(names: DataFrame, col: str = "name") -> DataFrame:
         .join(anchors.select(F.col("token").alias("y"), F.col("p").alias("q")), "y").where("x <> y or p.name < q.name")
         .where("p.kind = q.kind").select("p", "q")
     )
+    each_whole = parsed.select(whole.alias("p"))
+    met = (
+        _crowded_pairs(token, common, near).join(each_whole.withColumn("a", F.col("p.name")), "a")
+        .join(each_whole.select(F.col("p").alias("q")).withColumn("b", F.col("q.name")), "b").select("p", "q")
+    )
+    pairs = pairs.unionByName(met)
     edges = cut(pairs.mapInArrow(_compare, "a string, b string, mark int").distinct(), "names-edges")
     sure = edges.where("mark = 0")
     comp = cut(parsed.select("name").join(connected_components(sure).withColumnRenamed("node", "name"), "name", "left")

@@ -72,3 +72,30 @@ def test_common_tokens(spark, monkeypatch):
     got = {(r.name_a, r.name_b) for r in name_pairs(entity_names(spark.createDataFrame([(n,) for n in names], "name string"))).collect()}
     assert {("Anna Meier", "Meier, Anna"), ("Anna Meier", "Anna Meyer"), ("Otto Huber", "Otto Hubre")} <= got
     assert ("Anna Huber", "Anna Meier") not in got
+
+
+def test_common_tokens_lose_nothing(spark, monkeypatch):
+    import lexlode.llm.names as M
+
+    given = ["Anna", "Otto", "Karl", "Jonathan", "William", "Rebecca", "Oliver"]
+    names = [f"{g} {s}" for g in given for s in ("Smithers", "Huberman")]
+    names += ["A. Smithers", "Smithers, A", "A Smitthers", "Jonathon Smitherz", "Bill Smithars", "Smithers, Becka", "Ollie Hubermann", "K. L. Huberman", "Huberman K", "J. Smitherson"]
+    df = spark.createDataFrame([(n,) for n in names], "name string")
+    met = lambda: {(r.a, r.b, r.mark) for r in spark.read.parquet(_edges[-1]).collect()}
+    _edges, real = [], M.cut
+
+    def spy(table, name):
+        got = real(table, name)
+        if name == "names-edges":
+            _edges.append(got._cut_path)
+        return got
+
+    monkeypatch.setattr(M, "cut", spy)
+    both = lambda rows: {(*sorted((a, b)), m) for a, b, m in rows}
+    want = {(*sorted((a, b)), compare(parse(a), parse(b))) for a in names for b in names if a != b}
+    want = {x for x in want if x[2] < 2}
+    assert {("A. Smithers", "Smithers, A", 0), ("A. Smithers", "Anna Smithers", 1), ("Jonathan Smithers", "Jonathon Smitherz", 0), ("Bill Smithars", "William Smithers", 0)} <= want
+    for partners in (1, 3, 10_000):
+        monkeypatch.setattr(M, "PARTNERS", partners)
+        entity_names(df)
+        assert both(met()) == want
