@@ -23,7 +23,6 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from itertools import permutations
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -141,24 +140,42 @@ def _given(a: str, b: str) -> int:
     return 0 if fa and fb and len(fa) == len(fb) == 1 and fa == fb else 1 if fa and fb and fa & fb else 2
 
 
+def _assigned(x: list[str], y: list[str], fits, edits: int, near: bool) -> bool:
+    """Whether each token of ``x`` can take one of ``y`` that fits, at most ``edits`` of them one edit apart; with ``near`` one within an edit at least."""
+    stack = [(0, tuple(sorted(y)), edits, near)]
+    seen = set(stack)
+    while stack:
+        i, left, edits, near = stack.pop()
+        if i == len(x):
+            if not near:
+                return True
+            continue
+        for t in dict.fromkeys(left):
+            if fits(x[i], t):
+                d, at = distance1(x[i], t), left.index(t)
+                state = (i + 1, left[:at] + left[at + 1 :], edits - (d == 1), near and d == 2)
+                if state[2] >= 0 and state not in seen:
+                    seen.add(state)
+                    stack.append(state)
+    return False
+
+
 def compare(a: dict, b: dict) -> int:
     """0: the same entity, 1: the same if nothing else fits, 2: different."""
     if a["kind"] != b["kind"]:
         return 2
     if a["kind"] == "org":
-        if len(a["main"]) != len(b["main"]) or all(sum(map(distance1, a["main"], p)) > 1 for p in permutations(b["main"][:5])):
+        if len(a["main"]) != len(b["main"]) or not _assigned(a["main"], b["main"], lambda s, t: distance1(s, t) < 2, 1, False):
             return 2
         if a["words"] and b["words"]:
             return 0 if a["words"] == b["words"] else 2
         return 2 if a["acronym"] != b["acronym"] else 0 if not a["words"] and not b["words"] else 1
     x, y = a["main"], b["main"]
     if len(x) == len(y) >= 2:
-        best = 2
-        for p in permutations(y[:5]):
-            marks = [0 if distance1(s, t) == 0 or distance1(s, t) == 1 and min(len(s), len(t)) >= 5 else _given(s, t) for s, t in zip(x, p)]
-            if 2 not in marks and sum(distance1(s, t) == 1 for s, t in zip(x, p)) <= 2 and any(distance1(s, t) < 2 for s, t in zip(x, p)):
-                best = min(best, max(marks))
-        return best
+        for mark in (0, 1):
+            if _assigned(x, y, lambda s, t: (0 if distance1(s, t) == 1 and min(len(s), len(t)) >= 5 else _given(s, t)) <= mark, 2, True):
+                return mark
+        return 2
     few, many = (a, b) if len(x) < len(y) else (b, a)
     if len(few["main"]) == 1 and len(many["main"]) == 1:
         near = distance1(x[0], y[0]) <= (len(x[0]) >= 6)

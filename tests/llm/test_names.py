@@ -99,3 +99,12 @@ def test_common_tokens_lose_nothing(spark, monkeypatch):
         monkeypatch.setattr(M, "PARTNERS", partners)
         entity_names(df)
         assert both(met()) == want
+
+
+def test_compare_long_names():
+    same = lambda a, b: compare(parse(a), parse(b))
+    long = "Anna Berta Clara Dorrit Emilia Fabiola"
+    assert same(long, f"{long} Vugrisbrosa") == 2 and same(f"{long} Vugrisbrosa", f"{long} Tumatrirba") == 2
+    assert same(f"{long} Vugrisbrosa", f"Vugrisbrosa, {long}") == 0
+    assert same(f"{long} Research Institute", "Research Institute Fabiola Anna Berta Clara Dorrit Emilia") == 0
+    assert same(f"{long} Research Institute", "Anna Berta Clara Dorrit Emilia Ottokar Research Institute") == 2
