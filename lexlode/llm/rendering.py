@@ -5,166 +5,115 @@ open ``li``, a block ends the open ``p``, cells and rows end each other), applie
 visibility rules (hidden elements, scripts, page furniture) and prints the rest
 with block spacing, list markers and table cells in aligned columns.
 
-Text that was rendered before has lost its tags. For it the builder works on
-lines: each line is given the tag its wording and layout imply (``nav``,
-``notice``, ``aside``, ``footer``, ``li``, ``pre``, ``h``, ``p``), an ``aside``
-heading opens a list that the following title lines belong to, and the same
-visibility rules then decide which lines are the article.
+Text that was rendered before has lost its tags. For it the same builder works on
+lines, whose tags are implied by layout and by repetition; no wording is known to it:
+
+1. Each line is given its shape (title, running text, list item, code, or the rest of
+   a hard-wrapped line) and, if it is a row of short parts with marks between, its parts.
+2. Over the whole collection it is counted in how many different pages of a source, and
+   of a language, each line and part occurs. Pages count as different if their least
+   long line differs, so copies of one page count about once. Digits are alike.
+3. A line that recurs in more than ``SOURCE_RATE`` of the pages of its source or
+   ``LANG_RATE`` of its language, ``LEAST`` pages at least, is site text. A row of parts is
+   a menu or a trail if its first part, or most of its parts, are site text.
+4. Site text that elsewhere is mostly followed by two or more titles opens an ``aside``,
+   which adopts the title lines after it up to running text, a list, code or site text.
+5. The tree of these tags is walked with the visibility rules of markup; the lines of
+   invisible nodes are the furniture.
+
+A source (language) has at most its mean number of lines a page times the inverse rate
+of site texts, so the tables of those that hold more than 1/``GROUPS`` of all pages are
+sent to the workers; pages of smaller ones meet their tables in a join without hot keys.
 """
 
 from __future__ import annotations
 
 import re
-from functools import lru_cache
 from html.parser import HTMLParser
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexlode.session import spread
-
-# Wordings of page furniture, by the tag they imply.
-NAV = """
-home|about us|products|pricing|blog|docs|search|careers|community|downloads|support|status|sign up|log in|contact|menu
-start|über uns|produkte|preise|hilfe|kontakt|suche|presse|anmelden|anleitungen|menü
-accueil|à propos|produits|tarifs|aide|recherche|connexion|guides
-inicio|nosotros|productos|precios|ayuda|contacto|buscar|acceder|guías|menú
-首页|关于我们|产品|价格|帮助|搜索|登录|文档|博客
-ホーム|会社概要|製品|料金|サポート|検索|ログイン|資料|ブログ
-главная|о нас|продукты|цены|помощь|поиск|войти|документы|блог|меню
-skip to main content|zum inhalt springen|aller au contenu|saltar al contenido|跳到正文|本文へ移動|перейти к содержанию
-english deutsch français|previous next|zurück weiter|précédent suivant|anterior siguiente|上一页 下一页|前へ 次へ|назад вперёд|назад далее
-your basket is empty|ihr warenkorb ist leer|votre panier est vide|su cesta está vacía|loading comments ...|log in to leave a comment
-"""
-NOTICE = """
-we use cookies to improve your visit. by staying here you agree to our cookie policy.|cookies help us run this site
-this site stores small files on your device. you can change this in your preferences at any time.
-your privacy matters to us. we and our partners store information on your device to measure traffic and show adverts.
-accept all|reject|reject all|ok|got it|manage choices|cookie settings
-wir verwenden cookies. mit der nutzung stimmen sie unseren hinweisen zu.
-diese seite speichert daten auf ihrem gerät. sie können das jederzeit ändern.
-alle annehmen|ablehnen|verstanden|einstellungen
-nous utilisons des cookies. en continuant, vous acceptez nos conditions.
-ce site enregistre des données sur votre appareil. vous pouvez changer d'avis.
-tout accepter|refuser|paramètres
-usamos cookies propias y de terceros. si continúa, acepta su uso.
-este sitio guarda datos en su equipo. puede cambiarlo cuando quiera.
-aceptar todo|rechazar|configurar
-我们使用cookie改善体验。继续浏览即表示同意。|本站会在您的设备上保存数据。|全部接受|拒绝|设置
-当サイトはクッキーを使用します。閲覧を続けると同意したことになります。|当サイトはクッキーを使用します。|端末に情報を保存します。|すべて許可|拒否|設定
-мы используем файлы cookie. оставаясь на сайте, вы соглашаетесь с этим.|сайт сохраняет данные на вашем устройстве.|принять все|отклонить|настройки
-"""
-PROMPT = """
-share this page|share tweet email print|copy link|was this page helpful? yes no|subscribe to our newsletter
-join 12,000 readers who get our updates|enter your email address|get the weekly digest in your inbox. no spam, unsubscribe at any time.
-seite teilen|link kopieren|drucken|newsletter abonnieren|neuigkeiten jede woche per e-mail
-partager cette page|copier le lien|imprimer|abonnez-vous à la lettre d'information|recevez nos nouvelles chaque semaine
-compartir esta página|copiar enlace|imprimir|suscríbase al boletín|reciba las novedades cada semana
-分享本页|复制链接|打印|订阅我们的周报|输入邮箱获取更新
-このページを共有|リンクをコピー|印刷|メールマガジンに登録|最新情報を受け取る
-поделиться|скопировать ссылку|печать|подпишитесь на рассылку|новости каждую неделю
-advertisement|sponsored|anzeige|publicité|publicidad|广告|広告|реклама
-"""
-ASIDE = """
-related articles|you may also like|recent posts|most read this week|on this site
-ähnliche beiträge|neueste artikel|meistgelesen|articles liés|à lire aussi|les plus lus
-artículos relacionados|también le puede interesar|lo más leído|相关文章|热门阅读|関連記事|人気の記事|похожие статьи|самое читаемое
-"""
-FOOTER = """
-privacy policy|terms of use|imprint|sitemap|follow us|back to top
-datenschutz|impressum|agb|barrierefreiheit|nach oben|confidentialité|mentions légales|plan du site|haut de page
-privacidad|aviso legal|mapa del sitio|volver arriba|隐私政策|网站地图|返回顶部|プライバシー|サイトマップ|先頭へ戻る
-политика конфиденциальности|карта сайта|наверх
-"""
-MAX_ASIDE = 4
+from lexlode.session import cut, spread
+
+SOURCE_RATE, LANG_RATE, LEAST, LEADS, GROUPS = 0.016, 0.004, 4, 0.6, 500
 
 _SPACE = re.compile(r"\s+")
-_BAR = re.compile(r"\s*[|·›»>/•]\s*|\s{2,}|\t")
-_CRUMB = re.compile(r"\s*[>›»/]\s*")
-_FOOTER = re.compile(
-    r"^(powered by .{2,40} cms|registered office: .{2,60}, po box \d+|[^.!?,]{3,40}, \d+ [^.!?,]{3,40}, floor \d+"
-    r"|(©|\(c\)|copyright) ?\d{4}\b.{0,80}|page \d+ of \d+|seite \d+ von \d+|page \d+ sur \d+|página \d+ de \d+|第 ?\d+ ?页.{0,12}|стр(аница|\.) \d+ из \d+)$"
-)
-_ITEM = re.compile(r"^\s*([-*•‣◦·–]|\(?\d{1,3}[.)]|\(?[a-zA-Z]\))\s+\S")
-_CODE = re.compile(r"^\s*([\w.]+\(.*\)|[\w.]+\s*[=:]\s*\S+|```.*|[{}<>$#].*)\s*$")
+_DIGITS = re.compile(r"\d+")
+_PARTS = re.compile(r"\s*[|·›»>/•]\s*|\s{2,}|\t")
+_ITEM = re.compile(r"\s*(?:[-*•‣◦·–]|\(?\d{1,3}[.)]|\(?[a-zA-Z]\))\s+\S")
+_CODE = re.compile(r"(?:[\w.]+\(.*\)|[\w.]+\s*[=:]\s*\S+|```.*|[{}<>$#].*)$")
 _END = re.compile(r"[.!?…。！？।؟;:,，、；：]\W{0,2}$")
+_WIDE = re.compile("[⺀-\U0003ffff]")
+TITLE, RUNNING, ITEM, CODE, REST = range(5)
+PART_CHARS, WRAP_CHARS, LONG_CHARS = 60, 40, 40
 
 
-def _key(line: str) -> str:
-    return _SPACE.sub("", line).casefold()
-
-
-def _keys(block: str) -> frozenset[str]:
-    return frozenset(_key(p) for row in block.strip().split("\n") for p in row.split("|"))
-
-
-_NAV, _ASIDE = _keys(NAV), _keys(ASIDE)
-_TAGS = {k: tag for tag, block in (("nav", NAV), ("notice", NOTICE), ("notice", PROMPT), ("aside", ASIDE), ("footer", FOOTER)) for k in _keys(block)}
-_TAGS |= {re.sub(r"[.。]", "", k): t for k, t in _TAGS.items() if len(k) > 12}
-HIDDEN = frozenset({"nav", "notice", "aside", "footer"})
-
-
-def _edits(word: str) -> set[str]:
-    """The word without each of its characters: two words one edit apart share one or hold each other."""
-    return {word} | {word[:i] + word[i + 1 :] for i in range(len(word))}
+def line_key(line: str) -> str:
+    """What is compared of a line: no white space, no case, each number as one 0."""
+    return _DIGITS.sub("0", _SPACE.sub("", line).casefold())
 
 
-_NEAR: dict[str, list[str]] = {}
-for _k in _TAGS:
-    if len(_k) >= 9:
-        for _e in _edits(_k):
-            _NEAR.setdefault(_e, []).append(_k)
+def line_parts(line: str) -> list[str]:
+    """Parts of a row of short texts with marks, tabs or wide gaps between; none for running text."""
+    parts = [p for p in _PARTS.split(line.strip()) if p]
+    return parts if len(parts) > 1 and max(map(len, parts)) <= PART_CHARS and not _END.search(parts[0]) else []
 
 
-@lru_cache(maxsize=200_000)
-def implied_tag(line: str) -> str:
-    """The tag that the wording and layout of one rendered line imply; "" for a blank line."""
-    text = _SPACE.sub(" ", line).strip()
-    if not text:
-        return ""
-    key = _key(text)
-    if key in _TAGS:
-        return _TAGS[key]
-    low = text.casefold()
-    if _FOOTER.match(low):
-        return "footer"
+def line_shape(line: str, before: str) -> int:
+    """TITLE, RUNNING, ITEM, CODE or REST (of the wrapped line ``before`` it)."""
+    text = line.strip()
+    if len(before) >= WRAP_CHARS and text[0].islower() and not _END.search(before):
+        return REST
     if _ITEM.match(line):
-        return "li"
-    if len(key) < 200:
-        parts = [_key(p) for p in _BAR.split(line.strip()) if p]
-        if len(parts) > 1 and all(p in _NAV for p in parts):
-            return "nav"
-        crumbs = [_key(p) for p in _CRUMB.split(text) if p]
-        if len(crumbs) > 1 and crumbs[0] in _NAV and not _END.search(text):
-            return "nav"
-    if 8 <= len(key) <= 130:
-        for e in _edits(key):
-            if e in _NEAR:
-                return _TAGS[_NEAR[e][0]]
+        return ITEM
     if _CODE.match(text):
-        return "pre"
-    wide = sum(c > "⺀" for c in text[:40]) > 5
-    return "p" if _END.search(text) or len(text) > (40 if wide else 100) else "h"
-
-
-def line_tags(text: str) -> list[str]:
-    """Implied tags of the lines of a rendered text.
-
-    Title lines right after an aside heading belong to its list: up to MAX_ASIDE of
-    them, or one more if the list ends in other furniture or with the text, as a
-    title before running text is that text's heading.
+        return CODE
+    wide = len(_WIDE.findall(text[:40])) > 5
+    return RUNNING if len(text) > (40 if wide else 100) or _END.search(text) else TITLE
+
+
+def _hash(key: str) -> int:
+    return xxhash.xxh3_64_intdigest(key.encode("utf-8", "surrogatepass"))
+
+
+def page_lines(text: str) -> tuple[int, list[tuple[int, int, int, bool, list[int]]]]:
+    """Fingerprint of a page, and for each line that is not blank: number, key, shape, whether two titles follow, keys of its parts."""
+    rows, before = [], ""
+    longest: list[int] = []
+    for no, line in enumerate(text.split("\n")):
+        stripped = line.strip()
+        if stripped:
+            shape = line_shape(line, before)
+            key = _hash(_SPACE.sub("", line).casefold() if shape == ITEM else line_key(line))
+            parts = [] if shape in (REST, ITEM, CODE) or len(stripped) < 3 else [_hash(line_key(p)) for p in line_parts(line)]
+            rows.append((no, key, shape, parts))
+            if len(stripped) >= LONG_CHARS and not parts:
+                longest.append(key)
+        before = stripped
+    shapes = [r[2] for r in rows] + [TITLE, TITLE]
+    leads = [shapes[i + 1] == TITLE and shapes[i + 2] == TITLE and i + 2 < len(rows) for i in range(len(rows))]
+    return min(longest or [r[1] for r in rows], default=0), [(no, key, shape, lead, parts) for (no, key, shape, parts), lead in zip(rows, leads)]
+
+
+def implied_tags(lines: list[tuple[int, int, int, bool, list[int]]], known: dict[int, float]) -> list[str]:
+    """Tag of each line: nav, aside (a heading of a list of other pages), dialog (other site text), or li, pre, h, p of the article.
+
+    ``known`` gives the site texts of the page's source and language with the share of
+    their occurrences that two titles follow.
     """
-    tags = [implied_tag(line) for line in text.split("\n")]
-    for i, tag in enumerate(tags):
-        if tag == "aside":
-            end = i + 1
-            while end < len(tags) and tags[end] == "h":
-                end += 1
-            after = next((t for t in tags[end:] if t), "")
-            most = MAX_ASIDE + (after in HIDDEN or not after)
-            tags[i + 1 : min(end, i + 1 + most)] = ["listed"] * (min(end, i + 1 + most) - i - 1)
-    return ["aside" if t == "listed" else t for t in tags]
+    tags = []
+    for _, key, shape, _, parts in lines:
+        if shape != REST and key in known:
+            tags.append("nav" if parts else "aside" if known[key] >= LEADS and shape == TITLE else "dialog")
+        elif parts and (parts[0] in known or 2 * sum(p in known for p in parts) > len(parts)):
+            tags.append("nav")
+        else:
+            tags.append(("h", "p", "li", "pre", "p")[shape])
+    return tags
 
 
 # ---- markup -----------------------------------------------------------------
@@ -172,7 +121,7 @@ def line_tags(text: str) -> list[str]:
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body details div dl dd dt fieldset figure figcaption footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table tbody thead tfoot tr ul".split())
 UNSEEN = frozenset("script style template noscript head title svg iframe object select button form".split())
-FURNITURE = frozenset("nav footer header aside".split())
+FURNITURE = frozenset("nav footer header aside dialog".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
           "tbody": {"tbody", "thead", "tr", "td", "th"}, "tfoot": {"tbody", "thead", "tr", "td", "th"}, "option": {"option"}}
 SCOPE = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "tbody": {"table"}, "tfoot": {"table"}}
@@ -304,51 +253,191 @@ def render_markup(html: str, main_only: bool = True) -> str:
     return re.sub(r"\n{3,}", "\n\n", text).strip()
 
 
-def main_text(text: str) -> str:
-    """Main body of a page: of its markup if it has any, else of its rendered lines."""
-    if _MARKUP.search(text):
-        text = render_markup(text)
-    lines, tags = text.split("\n"), line_tags(text)
-    kept = "\n".join(x for x, t in zip(lines, tags) if t not in HIDDEN)
-    return re.sub(r"\n{3,}", "\n\n", kept).strip()
+# ---- rendered lines ---------------------------------------------------------
+
+def line_tree(lines: list[tuple], tags: list[str]) -> _Node:
+    """Tree of the lines of a rendered page; its leaves are line numbers.
+
+    Menu lines in a row share a ``nav``. An ``aside`` adopts the titles after it, as
+    ``li`` with implied tags, if there are two at least or the page ends with them;
+    anything else closes it.
+    """
+    root = _Node("html", {})
+    at = 0
+    while at < len(tags):
+        tag = tags[at]
+        node = _Node(tag, {})
+        node.kids.append(lines[at][0])
+        at += 1
+        if tag == "nav" and root.kids and root.kids[-1].tag == "nav":
+            root.kids[-1].kids += node.kids
+            continue
+        if tag == "aside":
+            end = at
+            while end < len(tags) and tags[end] == "h":
+                end += 1
+            if end - at > 1 or end == len(tags):
+                for no, *_ in lines[at:end]:
+                    item = _Node("li", {})
+                    item.kids.append(no)
+                    node.kids.append(item)
+                at = end
+        root.kids.append(node)
+    return root
+
+
+def _leaves(n: _Node):
+    for k in n.kids:
+        if isinstance(k, _Node):
+            yield from _leaves(k)
+        else:
+            yield k
+
+
+def unseen_lines(n: _Node) -> list[tuple[int, str]]:
+    """Numbers of the lines below invisible nodes of a line tree, with the tag that hides them."""
+    out: list[tuple[int, str]] = []
+    for k in n.kids:
+        if isinstance(k, _Node):
+            out += unseen_lines(k) if _seen(k, True) else [(no, k.tag) for no in _leaves(k)]
+    return out
 
 
 # ---- tables -----------------------------------------------------------------
 
-def _furniture(batches):
+_LINES = "source string, lang string, page long, no array<int>, key array<long>, shape array<byte>, lead array<boolean>, n_parts array<int>, parts array<long>"
+
+
+def _signed(values: list[int]) -> np.ndarray:
+    return np.array(values, dtype=np.uint64).view(np.int64)
+
+
+def _lines(batches):
+    """Lines of each page as arrays."""
     for b in batches:
-        ids, nos, tags = [], [], []
-        for i, text in enumerate(b.column(1).to_pylist()):
-            for no, tag in enumerate(line_tags(text)):
-                if tag in HIDDEN:
+        pages, nos, keys, shapes, leads, n_parts, parts, lens, part_lens = [], [], [], [], [], [], [], [], []
+        for text in b.column("text").to_pylist():
+            page, lines = page_lines(text)
+            pages.append(page)
+            lens.append(len(lines))
+            before = len(parts)
+            for no, key, shape, lead, own in lines:
+                nos.append(no)
+                keys.append(key)
+                shapes.append(shape)
+                leads.append(lead)
+                n_parts.append(len(own))
+                parts += own
+            part_lens.append(len(parts) - before)
+        at, at_parts = (pa.array(np.concatenate([[0], np.cumsum(x)]).astype(np.int32)) for x in (lens, part_lens))
+        lists = [pa.ListArray.from_arrays(at, x) for x in (pa.array(nos, pa.int32()), pa.array(_signed(keys)), pa.array(shapes, pa.int8()), pa.array(leads, pa.bool_()), pa.array(n_parts, pa.int32()))]
+        yield pa.RecordBatch.from_arrays(
+            [b.column("id"), b.column("source"), b.column("lang"), pa.array(_signed(pages)), *lists, pa.ListArray.from_arrays(at_parts, pa.array(_signed(parts)))],
+            names=["id", "source", "lang", "page", "no", "key", "shape", "lead", "n_parts", "parts"])
+
+
+def _site_texts(pages: DataFrame, kind: str, rate: float) -> DataFrame:
+    """One row per value of ``kind`` (source or lang): name, n pages, and its site texts (keys and lead shares).
+
+    Keys of lines and parts are counted in different pages, first by page and then
+    by key, so that no key, however common, has its pages in one task.
+    """
+    texts = F.concat(
+        F.transform(F.filter(F.arrays_zip("key", "shape", "lead"), lambda x: x["shape"] != REST), lambda x: F.struct(x["key"].alias("key"), x["lead"].cast("int").alias("lead"))),
+        F.transform("parts", lambda x: F.struct(x.alias("key"), F.lit(None).cast("int").alias("lead"))))
+    each = pages.select(F.col(kind).alias("name"), "page", F.explode(texts).alias("x")).select("name", "page", "x.key", "x.lead")
+    counted = each.groupBy("name", "key").agg(F.countDistinct("page").alias("n"), F.avg("lead").alias("lead")).where(F.col("n") >= LEAST)
+    sizes = pages.groupBy(F.col(kind).alias("name")).agg(F.countDistinct("page").alias("pages"))
+    common = counted.join(sizes, "name").where(F.col("n") >= F.col("pages") * rate)
+    return common.groupBy("name").agg(F.max("pages").alias("pages"), F.collect_list("key").alias("keys"), F.collect_list(F.coalesce("lead", F.lit(0.0))).alias("leads"))
+
+
+def _hide(large: dict[str, dict[str, dict[int, float]]]):
+    """Furniture of pages, given the site texts of large sources and languages; those of small ones come with the rows."""
+    def run(batches):
+        for b in batches:
+            c = {n: b.column(n).to_pylist() for n in b.schema.names if n != "id"}
+            ids, nos, tags = [], [], []
+            for i in range(b.num_rows):
+                own = [large[kind].get(c[kind][i]) or dict(zip(c[f"{kind}_keys"][i] or (), c[f"{kind}_leads"][i] or ())) for kind in ("source", "lang")]
+                lines, at = [], 0
+                for no, key, shape, lead, n in zip(c["no"][i], c["key"][i], c["shape"][i], c["lead"][i], c["n_parts"][i]):
+                    lines.append((no, key, shape, lead, c["parts"][i][at : at + n]))
+                    at += n
+                known = {k: max(o.get(k, 0.0) for o in own) for line in lines for k in (line[1], *line[4]) if k in own[0] or k in own[1]}
+                for no, tag in unseen_lines(line_tree(lines, implied_tags(lines, known))):
                     ids.append(i)
                     nos.append(no)
                     tags.append(tag)
-        yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(ids, pa.int64())), pa.array(nos, pa.int32()), pa.array(tags, pa.string())],
-                                         names=["id", "line_no", "tag"])
+            yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(ids, pa.int64())), pa.array(nos, pa.int32()), pa.array(tags, pa.string())], names=["id", "line_no", "tag"])
+    return run
+
+
+def _furniture(src: DataFrame, kind: str) -> DataFrame:
+    """id, line_no, tag of the furniture of ``src`` (id, source, lang, text)."""
+    pages = cut(spread(src).mapInArrow(_lines, f"id {kind}, {_LINES}"), "pages-lines")
+    large, shown = {}, pages
+    for by, rate in (("source", SOURCE_RATE), ("lang", LANG_RATE)):
+        n = pages.agg(F.countDistinct(by, "page")).first()[0]
+        site = cut(_site_texts(pages, by, rate), f"pages-{by}")
+        hot = F.col("pages") * GROUPS > n
+        large[by] = {r.name: dict(zip(r["keys"], r["leads"])) for r in site.where(hot).collect()}  # fewer than GROUPS rows of bounded size
+        small = site.where(~hot).select(F.col("name").alias(by), F.col("keys").alias(f"{by}_keys"), F.col("leads").alias(f"{by}_leads"))
+        if small.isEmpty():
+            shown = shown.withColumns({f"{by}_keys": F.lit(None).cast("array<long>"), f"{by}_leads": F.lit(None).cast("array<double>")})
+        else:
+            is_large = F.col(by).isin(list(large[by])) if large[by] else F.lit(False)
+            shown = shown.where(is_large).withColumns({f"{by}_keys": F.lit(None).cast("array<long>"), f"{by}_leads": F.lit(None).cast("array<double>")}).unionByName(
+                shown.where(~is_large).join(small, by, "left"))
+    return shown.mapInArrow(_hide(large), f"id {kind}, line_no int, tag string")
 
 
-def _main(batches):
-    for b in batches:
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([main_text(t) for t in b.column(1).to_pylist()], pa.string())], names=["id", "main_text"])
+def _source(docs: DataFrame, id_col: str, text_col: str, source_col: str, lang_col: str) -> tuple[DataFrame, str]:
+    """id, source, lang (two letters), text; a table without these columns is one source, or language."""
+    source = F.coalesce(F.col(source_col).cast("string"), F.lit("")) if source_col in docs.columns else F.lit("")
+    lang = F.lower(F.substring(F.coalesce(F.col(lang_col).cast("string"), F.lit("")), 1, 2)) if lang_col in docs.columns else F.lit("")
+    src = docs.select(F.col(id_col).alias("id"), source.alias("source"), lang.alias("lang"), F.col(text_col).alias("text")).where("text is not null")
+    return src, src.schema["id"].dataType.simpleString()
 
 
-def _source(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str]:
-    src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null")
-    return spread(src), src.schema["id"].dataType.simpleString()
+def furniture_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang") -> DataFrame:
+    """One row per line of a page that is furniture: id, line_no (from 0), tag (nav, aside or dialog).
 
+    Lines are those of the text as it is, which is taken as rendered. What recurs in
+    fewer than LEAST pages of a source and of a language is article, so the menus of a
+    collection of a few pages are found only as far as they recur. Null and empty texts give no rows, a repeated row gives its lines again (and counts as one
+    page), ids may be null, a null source or language is one of its own, other columns are
+    not read, an empty table gives an empty result.
+    """
+    src, kind = _source(docs, id_col, text_col, source_col, lang_col)
+    return _furniture(src, kind).withColumnRenamed("id", id_col)
 
-def furniture_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per line of a rendered text that is page furniture: id, line_no (from 0), tag.
 
-    No shuffle and no state between rows. Null and empty texts give no rows, a
-    repeated row gives its lines again, ids may be null, other columns are not read.
-    """
-    src, kind = _source(docs, id_col, text_col)
-    return src.mapInArrow(_furniture, f"id {kind}, line_no int, tag string").withColumnRenamed("id", id_col)
+def _render(batches):
+    """Markup becomes the text that a reader sees, without the furniture that its tags tell of."""
+    for b in batches:
+        texts = [render_markup(t) if _MARKUP.search(t) else t for t in b.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(texts, pa.string())], names=b.schema.names)
 
 
-def main_content(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row with a text: id and its main body (empty if there is none)."""
-    src, kind = _source(docs, id_col, text_col)
-    return src.mapInArrow(_main, f"id {kind}, main_text string").withColumnRenamed("id", id_col)
+def _main(batches):
+    for b in batches:
+        out = []
+        for text, hidden in zip(b.column("text").to_pylist(), b.column("hidden").to_pylist()):
+            gone = set(hidden or ())
+            kept = "\n".join(x for no, x in enumerate(text.split("\n")) if no not in gone)
+            out.append(re.sub(r"\n{3,}", "\n\n", kept).strip())
+        yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(out, pa.string())], names=["id", "main_text"])
+
+
+def main_content(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang") -> DataFrame:
+    """One row per row with a text: id and its main body (empty if there is none).
+
+    Markup is rendered without the furniture that its tags tell of, and then treated like other pages. The lines hidden by ``furniture_lines`` meet their page by its source and a digest of its text, so null and
+    repeated ids do no harm and equal pages of a source are decided once.
+    """
+    src, kind = _source(docs, id_col, text_col, source_col, lang_col)
+    src = spread(src).mapInArrow(_render, f"id {kind}, source string, lang string, text string")
+    keyed = src.withColumn("digest", F.sha2(F.concat_ws("\x01", "source", "lang", "text"), 256))
+    hidden = _furniture(keyed.select(F.col("digest").alias("id"), "source", "lang", "text"), "string").groupBy(F.col("id").alias("digest")).agg(F.collect_set("line_no").alias("hidden"))
+    return keyed.join(hidden, "digest", "left").select("id", "text", "hidden").mapInArrow(_main, f"id {kind}, main_text string").withColumnRenamed("id", id_col)
