@@ -6,12 +6,20 @@ its likeness to the query, its wording, its language against the query's and how
 it ends. The share of the answer's letters under each tag then gives the pair's
 defect. The field is trained on clause sequences made from a bounded sample of
 the pairs themselves: echoes of their queries, clauses of pairs in another
-language, clauses cut off at a random place, known refusals, and whole answers.
+language, clauses cut off at a random place, refusals, and whole answers.
+
+The wording enters as the logit of a model over hashed character n-grams, in which
+words of the query are one sign. It starts from the labelled texts of ``pair_texts`` against
+the clauses of the sample, and is fitted again, each time with the clauses that a model
+of other clauses took for refusals on the other side. The field is trained on such
+logits of models that did not see the clause.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
@@ -19,36 +27,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexlode.llm.pair_texts import CLOSINGS, COURTESIES, SOUND, WORDS, labelled, refusal_examples
 from lexlode.llm.sampling import hashed_sample
 from lexlode.llm.sentences import ABBREVIATIONS, candidates, fit
+from lexlode.llm.shingles import hashes
 from lexlode.session import spread
 
-SAMPLE_PAIRS = 800
+SAMPLE_PAIRS, SAMPLE_CHARS, WINDOW = 1500, 20_000, 16
+GRAMS, BITS, FOLDS, OFTEN, LOW = (2, 3, 4, 5, 6), 17, 4, 3, (0.1, 0.2, 0.2)
+_STEPS = (-5, -3, -1, 0, 1, 3, 5)
 TAGS = ("answer", "refusal", "echo", "foreign", "unfinished")
 
 # Answers that say nothing, once marks and white space are gone.
 PLACEHOLDERS = frozenset("n/a na none null nil nan tbd todo blank empty noanswer answer nbsp p undefined missing unknown keineantwort sinrespuesta".split())
-REFUSAL = re.compile(r"""
-\b(i'?m|i\ am|we'?re|we\ are)\ (very\ |so\ )?(sorry|afraid)\b.{0,24}\b(can'?t|cannot|can\ not|unable|not\ able|won'?t)\b
-|\b(i|we)\ (can'?t|cannot|can\ not|won'?t|am\ unable|am\ not\ able|are\ unable|must\ decline|have\ to\ decline|decline|refuse|will\ not)\b.{0,40}\b(help|assist|answer|provide|discuss|share|comply|request|topic|question|information|do\ that)
-|\bi'?m\ (unable|not\ able|not\ allowed)\ to\b|\bi\ am\ not\ (able|allowed)\ to\b|\bi\ won'?t\ be\ able\ to\b|^unable\ to\ (comply|answer|help|assist)
-|\bbeyond\ what\ i\ (may|can)\ discuss\b|\bthere\ is\ nothing\ i\ can\ say\b|^no\ answer\ can\ be\ given\b|\bgoes\ against\ my\ guidelines\b
-|\b(rules|polic(y|ies)|guidelines|instructions)\ (forbid|prohibit|prevent|do\ not\ (let|allow|permit)|don't\ (let|allow|permit)|keep\ me\ from)
-|\b(do\ not|don't)\ feel\ comfortable\b|\bi('d|\ would)\ (rather|prefer)\ not\b|\bnot\ be\ appropriate\ (for\ me\ )?to\b|\bnot\ something\ i\ (can|may|am\ able)\b
-|\bsensitive\ nature\b|\b(reply|answer|response)\ (has\ been|is|was|will\ be)\ (withheld|refused|declined)|^given\ .{0,60}\b(no\ answer|not\ answer|cannot|can'?t|unable|withheld|left\ unanswered|decline|have\ to\ pass|must\ pass|stay\ silent|no\ comment|leave)
-|\btopic\ i\ have\ to\ stay\ away\b|^sorry\W{1,4}not\ something\ i\ do|\boutside\ what\ i\ am\ allowed\b|\bno\ details\ will\ be\ given\b|\bi\ must\ decline\b
-|tut\ mir\ leid.{0,30}nicht\ (helfen|antworten|beantworten)|kann\ ich\ (diese|dazu|das|dabei|ihnen).{0,40}nicht\ (beantworten|helfen|sagen)|muss\ ich\ (leider\ )?ablehnen|keine\ auskunft\ geben|darf\ ich\ (dazu\ )?(nicht|keine)
-|je\ ne\ (peux|suis|saurais|pourrai)\ pas\b.{0,30}(répondre|fournir|aider|mesure|discuter)|je\ dois\ (refuser|décliner)|impossible\ de\ répondre
-|no\ puedo\ (ayudar|responder|proporcionar|hablar)|debo\ rechazar|no\ me\ es\ posible\ (responder|ayudar)|lo\ siento,?\ (pero\ )?no\ puedo
-|无法(回答|提供|协助|帮助)|不能(回答|提供|协助|帮助)|拒绝(回答|提供)这|お(応|答)えできません|お手伝いできません|お断り
-|не\ могу\ (помочь|ответить|предоставить)|вынужден\w*\ отклонить|отказ\w*\ (отвечать|ответить)
-|उत्तर\ नहीं\ दे\ सकत|मदद\ नहीं\ कर\ सकत|لا\ يمكنني\ (الإجابة|المساعدة|تقديم)|أعتذر.{0,20}لا|ไม่สามารถ(ตอบ|ให้|ช่วย)
-""", re.X | re.I)
-CLOSING = re.compile(r"^\W*(thank you for asking|vielen dank für|merci (de|pour)|gracias por)|please contact|you may want to consult|something else you would like|may involve restricted|ask an expert|wenden sie sich|puis-je vous aider|puedo ayudar en otra|kann ich sonst|je vous invite|póngase en contacto|consulte a|请(联系|咨询)|还有.*(帮|问)|お問い合わせ|他に.*(ご質問|お手伝い)|обратитесь|чем-?то ещё|संपर्क करें|يرجى الاتصال|โปรดติดต่อ", re.I)
-REFUSALS = ("I'm sorry, but I can't help with that.", "I must decline this request.", "As an assistant I am not able to discuss this topic.",
-            "Diese Anfrage muss ich leider ablehnen.", "Je dois refuser cette demande.", "Debo rechazar esta petición.", "我无法回答这个问题。", "お答えできません。",
-            "Я вынужден отклонить этот запрос.", "Thank you for asking about it. I must decline this request.",
-            "Please contact the support desk.", "Is there something else you would like to know?")
 # Sound answers that look odd, and ends that are none, for training.
 ODD = ("v4.4", "18.1", "120 ms", "Yes.", "- x1\n- x2", "1. x1\n2. x2", "```\nrun(x)\n```", "42", "X7.", "- 3.5 MB")
 UNFINISHED = ("1. x1\n2.", "```\nrun(x, ", "- x1\n-", "x1 (", "x1,")
@@ -60,21 +51,19 @@ LANGUAGES = {
     "hi": "hindi|ヒンディー|印地语|хинди|हिन्दी|हिंदी|الهندية|ฮินดี", "th": "thai|thailändisch|thaï|tailandés|タイ語|泰语|тайск|थाई|التايلاندية|ภาษาไทย",
 }
 _ASKS = {k: re.compile(v, re.I) for k, v in LANGUAGES.items()}
-WORDS = {
-    "en": "the a an of and is are in to for that each our not with on by or it its from only who why what how list give compare explain steps when if every which can does was neither nor both some about at this these yes no",
-    "de": "in an also die der das und den dem des ist sind im am zu zum wie warum wenn nicht mit von für auf bei werden was welche zwischen ein eine einer nach vor noch auch nur alle es sich aus keine weder",
-    "fr": "les le la des de et en dans pour que qui une un du est sont si ni pourquoi comment quelle quel entre sur avec par aux au ne pas toutes ou après depuis vous je",
-    "es": "las los el la de y en por para que una un del son si ni con cómo qué diferencia entre sobre se al su todas pese o desde tras durante vez",
-}
+_ASKS_ANY = re.compile("|".join(LANGUAGES.values()), re.I)
 _WORDS: dict[str, list[str]] = {}
 for _lang, _list in WORDS.items():
     for _w in _list.split():
         _WORDS.setdefault(_w, []).append(_lang)
 _SCRIPTS = ((re.compile("[぀-ヿ]"), "ja"), (re.compile("[一-鿿]"), "zh"), (re.compile("[Ѐ-ӿ]"), "ru"), (re.compile("[؀-ۿ]"), "ar"),
-            (re.compile("[ऀ-ॿ]"), "hi"), (re.compile("[฀-๿]"), "th"), (re.compile("[A-Za-zÀ-ɏ]"), "latin"))
+            (re.compile("[ऀ-ॿ]"), "hi"), (re.compile("[฀-๿]"), "th"), (re.compile("[가-힣ᄀ-ᇿ]"), "ko"), (re.compile("[Ͱ-Ͽ]"), "el"), (re.compile("[֐-׿]"), "he"), (re.compile("[A-Za-zÀ-ɏ]"), "latin"))
 _DENSE = re.compile("[぀-ヿ一-鿿]")
 _TOKEN = re.compile(r"[^\W\d_]+")
 _NOT = re.compile(r"[\W_]+")
+_WORD = re.compile(r"[^\W_]+")
+_MARKED = re.compile("\x01|(?:[^\\W_]|[\u0300-\u036f\u064b-\u065f\u0900-\u0903\u093a-\u094f\u0e31-\u0e3a\u0e47-\u0e4e])+")
+_KANA = re.compile("[぀-ヿ]")
 _CITE = re.compile(r"(\s*\[\d+\])+\s*$")
 _LEAD = re.compile(r"^\W*(q|question|query|answer|a|you asked|frage|pregunta|вопрос)\s*[:：]\s*", re.I)
 _ITEM = re.compile(r"^\s*(?:[-*•]|\d{1,3}[.)])(?:\s+|$)")
@@ -96,8 +85,11 @@ def language(text: str, japanese: bool = False) -> str:
 @lru_cache(maxsize=50_000)
 def languages(text: str, japanese: bool = False) -> tuple[str, ...]:
     """All languages that a short text fits equally well."""
-    counts = [(len(r.findall(text)) * (3 if name in ("ja", "zh") else 1), name) for r, name in _SCRIPTS]
-    most, name = max(counts)
+    if text.isascii():
+        most, name = 1, "latin"
+    else:
+        counts = [(len(r.findall(text)) * (3 if name in ("ja", "zh", "ko") else 1), name) for r, name in _SCRIPTS]
+        most, name = max(counts)
     if not most:
         return ()
     if name in ("zh", "ja"):
@@ -140,8 +132,11 @@ def clauses(answer: str) -> list[str]:
 
 
 def likeness(clause: str, query: str) -> float:
-    """Share of the longer normalised text that is common, counted by trigrams; repeats of the query count as it."""
-    a, b = norm(_LEAD.sub("", clause)), norm(query)
+    """Share of the longer normalised text that is common, counted by pairs of characters; repeats of the query count as it."""
+    return _likeness(norm(_LEAD.sub("", clause)), norm(query))
+
+
+def _likeness(a: str, b: str) -> float:
     if not a or not b:
         return 0.0
     n = round(len(a) / len(b))
@@ -151,10 +146,15 @@ def likeness(clause: str, query: str) -> float:
         return 1.0
     if abs(len(a) - len(b)) > 0.2 * max(len(a), len(b)):
         return 0.0
-    x, y = ({t[i : i + 2] for i in range(len(t) - 1)} for t in (a, b))
+    x, y = _pairs_of(a), _pairs_of(b)
     return len(x & y) / max(1, len(x), len(y))
 
 
+@lru_cache(maxsize=1024)
+def _pairs_of(t: str) -> frozenset[str]:
+    return frozenset(map("".join, zip(t, t[1:])))
+
+
 def ending(clause: str, ends_known: bool) -> str:
     """How a last clause ends: stop, item, value, open (in a fence, quotation or bracket) or cut."""
     t = _CITE.sub("", clause).rstrip()
@@ -178,24 +178,124 @@ def ending(clause: str, ends_known: bool) -> str:
     return "cut"
 
 
-def clause_features(query: str, answer: str, ends_known: bool) -> tuple[list[str], list[list[str]]]:
+def masked(clause: str, query_words: frozenset[str]) -> str:
+    """What the wording is judged by: lower case, words of the query and what is quoted within it as one sign."""
+    own = _SAID.sub(" \x01 ", clause)
+    own = own if len(own.strip()) > 8 else clause
+    return " " + " ".join("_" if w in query_words or w == "\x01" else w for w in _MARKED.findall(own.casefold())) + " "
+
+
+class Wording:
+    """Logits of a linear model over hashed character n-grams of masked clauses."""
+
+    def __init__(self, weights: np.ndarray, bias: float = 0.0):
+        self.weights, self.bias = weights, bias
+
+    @staticmethod
+    def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the n-grams of each text, and the text that each belongs to."""
+        if not texts:
+            return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+        sizes = np.array([len(t) for t in texts])
+        owner, end = np.repeat(np.arange(len(texts)), sizes), np.repeat(np.cumsum(sizes), sizes)
+        joined, ids, owners = "".join(texts), [], []
+        for width in GRAMS:
+            h = hashes(joined, width)
+            inside = np.arange(len(h)) + width <= end[: len(h)]
+            ids.append((h[inside] >> np.uint64(64 - BITS)).astype(np.int64))
+            owners.append(owner[: len(h)][inside])
+        return np.concatenate(ids), np.concatenate(owners)
+
+    def logits(self, texts: list[str]) -> np.ndarray:
+        ids, owners = self.grams(texts)
+        n = np.bincount(owners, minlength=len(texts))
+        return np.bincount(owners, weights=self.weights[ids], minlength=len(texts)) / np.sqrt(np.maximum(n, 1)) + self.bias
+
+    @classmethod
+    def fit(cls, texts: list[str], labels: np.ndarray, weights: np.ndarray, steps: int = 60, rate: float = 0.6, l2: float = 2e-2) -> "Wording":
+        """Weighted logistic regression by full-batch Adam."""
+        ids, owners = cls.grams(texts)
+        scale = 1 / np.sqrt(np.maximum(np.bincount(owners, minlength=len(texts)), 1))
+        own = cls(np.zeros(1 << BITS))
+        m, v, mb, vb = np.zeros(1 << BITS), np.zeros(1 << BITS), 0.0, 0.0
+        for step in range(1, steps + 1):
+            z = np.bincount(owners, weights=own.weights[ids], minlength=len(texts)) * scale + own.bias
+            err = weights * (labels - 1 / (1 + np.exp(-z)))
+            g = np.bincount(ids, weights=(err * scale)[owners], minlength=1 << BITS) - l2 * own.weights
+            gb = err.sum()
+            m, v, mb, vb = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g, 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
+            up, down = 1 - 0.9**step, 1 - 0.999**step
+            own.weights = own.weights + rate * (m / up) / (np.sqrt(v / down) + 1e-6)
+            own.bias += 0.2 * rate * (mb / up) / (np.sqrt(vb / down) + 1e-6)
+        return own
+
+
+def _balanced(labels: np.ndarray, doubt: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """Weights by which refusals and sound clauses of a language count alike, and a language as much as its share of refusals."""
+    weights = np.zeros(len(labels))
+    for g in np.unique(group):
+        of = (group == g) & ~doubt
+        good, bad = of & (labels > 0), of & (labels == 0)
+        weights[good] = 1.0
+        weights[bad] = max(1, good.sum()) / max(1, bad.sum())
+    return weights
+
+
+def train_wording(clauses_: list[str], folds: int = FOLDS) -> tuple[Wording, list[Wording], dict[str, int], set[str]]:
+    """Model of refusing wordings from the labelled texts and masked clauses of the sample.
+
+    Clauses of the sample count as sound, those met OFTEN times as neither; after each round those that a model of other
+    clauses gives a probability above 0.5 count as refusals and those above a bound as
+    neither, so that the next models judge them unseen; the bound rises from 0.02 to 0.2.
+    Equal texts count once. Returns the model of all texts, one without each fold, the
+    fold of each text, and the clauses that were taken for refusals or neither.
+    """
+    good = list(dict.fromkeys(masked(t, frozenset()) for t in refusal_examples() + labelled(CLOSINGS) + labelled(COURTESIES)))
+    bad = list(dict.fromkeys(masked(t, frozenset()) for t in labelled(SOUND)))
+    own = list(dict.fromkeys(t for t in clauses_ if t.strip(" _")))
+    texts = list(dict.fromkeys(good + bad + own))
+    fixed = len(good) + len(bad)
+    fold = np.arange(len(texts)) % folds
+    group = np.array([next(iter(languages(t)), "") for t in texts])
+    labels = np.array([1.0] * len(good) + [0.0] * (len(texts) - len(good)))
+    times = Counter(clauses_)
+    often = np.array([i >= fixed and times[t] >= OFTEN for i, t in enumerate(texts)])
+    doubt = often
+    parts: list[Wording] = []
+    for low in LOW:
+        weights = _balanced(labels, doubt, group)
+        parts = [Wording.fit([t for t, f in zip(texts, fold) if f != k], labels[fold != k], weights[fold != k]) for k in range(folds)]
+        p = np.zeros(len(texts))
+        for k in range(folds):
+            p[fold == k] = 1 / (1 + np.exp(-parts[k].logits([t for t, f in zip(texts, fold) if f == k])))
+        p[:fixed] = labels[:fixed]
+        labels, doubt = (p > 0.5).astype(float), (p <= 0.5) & ((p > low) | often)
+    taken = {t for t, x in zip(texts[fixed:], ((labels > 0) | doubt & ~often)[fixed:]) if x}
+    return Wording.fit(texts, labels, _balanced(labels, doubt, group)), parts, dict(zip(texts, fold.tolist())), taken
+
+
+def clause_features(query: str, answer: str, ends_known: bool) -> tuple[list[str], list[list[str]], list[str]]:
+    """Clauses of an answer, the features of each but for its wording, and its masked text."""
     parts = clauses(answer)
-    ja = bool(re.search("[぀-ヿ]", answer))
-    want = {language(query, bool(re.search("[぀-ヿ]", query)))} | {k for k, r in _ASKS.items() if r.search(query)}
-    out = []
+    ja = bool(_KANA.search(answer))
+    want = ({language(query, bool(_KANA.search(query)))} | ({k for k, r in _ASKS.items() if r.search(query)} if _ASKS_ANY.search(query) else set())) - {""}
+    asked, words = norm(query), frozenset(_MARKED.findall(query.casefold()))
+    out, texts = [], []
     for i, c in enumerate(parts):
-        like = likeness(c, query)
-        own = _SAID.sub("", c) if len(_SAID.sub("", c).strip()) > 4 else c
+        like = _likeness(norm(_LEAD.sub("", c)), asked)
         lang = languages(c, ja) if not c.startswith("```") else ()
-        last = i == len(parts) - 1
-        end = ending(c, ends_known) if last else "inner"
+        end = ending(c, ends_known) if i == len(parts) - 1 else "inner"
         echo = "full" if like >= 0.97 else "near" if like >= 0.74 else "no"
-        refusal = bool(REFUSAL.search(own.replace("’", "'")))
-        foreign = "unknown" if not lang or not want - {""} else "same" if want & set(lang) else "other"
-        f = ["bias", f"echo={echo}", f"refusal={refusal}", f"closing={bool(CLOSING.search(own))}", f"lang={foreign}", f"end={end}",
-             f"lang={foreign},refusal={refusal}", f"end={end},echo={echo}", f"first={i == 0}", f"echo={echo},refusal={refusal}", f"lang={foreign},echo={echo}", f"end={end},lang={foreign}"]
-        out.append(f)
-    return parts, out
+        foreign = "unknown" if not lang or not want else "same" if want & set(lang) else "other"
+        out.append(["bias", f"echo={echo}", f"lang={foreign}", f"end={end}", f"end={end},echo={echo}", f"first={i == 0}", f"lang={foreign},echo={echo}", f"end={end},lang={foreign}"])
+        texts.append(masked(c, words))
+    return parts, out, texts
+
+
+def with_wording(feats: list[str], logit: float) -> list[str]:
+    """The features of a clause and those of its wording: the logit in steps, alone and with its echo and language."""
+    step = f"refusal={bisect(_STEPS, logit)}"
+    return [*feats, step, f"{step},{feats[1]}", f"{step},{feats[2]}", f"{step},{feats[5]}"]
 
 
 # ---- the field --------------------------------------------------------------
@@ -206,23 +306,34 @@ class Field:
     def __init__(self, names: dict[str, int], emit: np.ndarray, move: np.ndarray):
         self.names, self.emit, self.move = names, emit, move
 
-    def scores(self, feats: list[list[str]]) -> np.ndarray:
-        return np.array([self.emit[[self.names[x] for x in f if x in self.names]].sum(axis=0) for f in feats])
-
-    def tag(self, feats: list[list[str]]) -> list[int]:
-        """Most likely tag sequence."""
-        if not feats:
-            return []
-        e = self.scores(feats)
-        best, back = e[0], []
-        for row in e[1:]:
-            total = best[:, None] + self.move
-            back.append(total.argmax(axis=0))
-            best = total.max(axis=0) + row
-        path = [int(best.argmax())]
-        for b in reversed(back):
-            path.append(int(b[path[-1]]))
-        return path[::-1]
+    def tag(self, answers: list[list[list[str]]]) -> list[list[int]]:
+        """Most likely tag sequence of each answer, all answers side by side."""
+        lengths = np.array([len(a) for a in answers], dtype=int)
+        if not lengths.sum():
+            return [[] for _ in answers]
+        rows = [[self.names[x] for x in f if x in self.names] or [-1] for a in answers for f in a]
+        padded = np.vstack([self.emit, np.zeros(len(TAGS))])
+        emitted = np.add.reduceat(padded[np.concatenate(rows)], np.concatenate([[0], np.cumsum([len(r) for r in rows])[:-1]]))
+        order = np.argsort(-lengths, kind="stable")
+        start = (np.cumsum(lengths) - lengths)[order]
+        sizes = lengths[order]
+        best, back = np.zeros((len(answers), len(TAGS))), []
+        some = sizes > 0
+        best[some] = emitted[start[some]]
+        for t in range(1, int(sizes[0])):
+            n = int((sizes > t).sum())
+            total = best[:n, :, None] + self.move
+            back.append(total.argmax(axis=1))
+            best[:n] = total.max(axis=1) + emitted[start[:n] + t]
+        out: list[list[int]] = [[] for _ in answers]
+        last = best.argmax(axis=1)
+        for k, (i, n) in enumerate(zip(order.tolist(), sizes.tolist())):
+            if n:
+                path = [int(last[k])]
+                for t in range(n - 2, -1, -1):
+                    path.append(int(back[t][k, path[-1]]))
+                out[i] = path[::-1]
+        return out
 
 
 def _lse(a: np.ndarray, axis: int) -> np.ndarray:
@@ -230,24 +341,26 @@ def _lse(a: np.ndarray, axis: int) -> np.ndarray:
     return (m + np.log(np.exp(a - m).sum(axis=axis, keepdims=True))).squeeze(axis)
 
 
-def train_field(data: list[tuple[list[list[str]], list[int]]], steps: int = 80, rate: float = 0.3, l2: float = 1e-3) -> Field:
-    """Maximise the conditional likelihood by full-batch Adam on padded sequences."""
+def train_field(data: list[tuple[list[list[str]], list[int]]], steps: int = 120, rate: float = 0.3, l2: float = 1e-3) -> Field:
+    """Maximise the conditional likelihood by full-batch Adam on padded sequences; equal sequences are one with a weight."""
     names = {x: i for i, x in enumerate(sorted({x for fs, _ in data for f in fs for x in f}))}
-    n, T, K, D = len(data), max(len(y) for _, y in data), len(TAGS), len(names)
+    kinds = Counter((tuple(tuple(names[x] for x in f) for f in fs), tuple(ys)) for fs, ys in data)
+    n, T, K, D = len(kinds), max(len(y) for _, y in kinds), len(TAGS), len(names)
     X, Y, mask = np.zeros((n, T, D), dtype=np.float32), np.zeros((n, T), dtype=int), np.zeros((n, T), dtype=bool)
-    for i, (fs, ys) in enumerate(data):
+    weight = np.array([c * n / len(data) for c in kinds.values()])
+    for i, (fs, ys) in enumerate(kinds):
         for t, (f, y) in enumerate(zip(fs, ys)):
-            X[i, t, [names[x] for x in f]] = 1
+            X[i, t, list(f)] = 1
             Y[i, t], mask[i, t] = y, True
     emit, move = np.zeros((D, K)), np.zeros((K, K))
     gold = np.zeros((n, T, K))
     gold[np.arange(n)[:, None], np.arange(T)[None, :], Y] = 1
     gold *= mask[..., None]
-    gold_move = np.einsum("nta,ntb->ab", gold[:, :-1], gold[:, 1:])
+    gold_move = np.einsum("n,nta,ntb->ab", weight, gold[:, :-1], gold[:, 1:])
     m1, m2 = [np.zeros_like(emit), np.zeros_like(move)], [np.zeros_like(emit), np.zeros_like(move)]
     flat = X.reshape(n * T, D)
     for step in range(1, steps + 1):
-        e = (flat @ emit).reshape(n, T, K)
+        e = (flat @ emit.astype(np.float32)).reshape(n, T, K).astype(float)
         alpha, beta = np.zeros((n, T, K)), np.zeros((n, T, K))
         alpha[:, 0] = e[:, 0]
         for t in range(1, T):
@@ -259,7 +372,7 @@ def train_field(data: list[tuple[list[list[str]], list[int]]], steps: int = 80,
         z = _lse(alpha[:, -1], 1)
         post = np.exp(alpha + beta - z[:, None, None]) * mask[..., None]
         pair = np.exp(alpha[:, :-1, :, None] + move + (e[:, 1:] + beta[:, 1:])[:, :, None, :] - z[:, None, None, None]) * mask[:, 1:, None, None]
-        grads = [flat.T @ (gold - post).reshape(n * T, K) / n - l2 * emit, (gold_move - pair.sum(axis=(0, 1))) / n - l2 * move]
+        grads = [flat.T @ (weight[:, None, None] * (gold - post)).reshape(n * T, K).astype(np.float32) / n - l2 * emit, (gold_move - np.einsum("n,ntab->ab", weight, pair)) / n - l2 * move]
         for k, (w, g) in enumerate(zip((emit, move), grads)):
             m1[k] = 0.9 * m1[k] + 0.1 * g
             m2[k] = 0.999 * m2[k] + 0.001 * g * g
@@ -267,25 +380,38 @@ def train_field(data: list[tuple[list[list[str]], list[int]]], steps: int = 80,
     return Field(names, emit, move)
 
 
-def training_sequences(pairs: list[tuple[str, str]], seed: int = 7) -> list[tuple[list[list[str]], list[int]]]:
-    """Labelled clause sequences made from pairs that look whole, by planting one defect in each copy."""
+def training_sequences(pairs: list[tuple[str, str]], seed: int = 7) -> tuple[list[tuple[list[list[str]], list[int]]], Wording]:
+    """Labelled clause sequences made from pairs that look whole, by planting one defect in each copy, and the model of wordings.
+
+    Sequences of more than WINDOW clauses are trained on in windows.
+    """
     rng = np.random.default_rng(seed)
-    whole = [(q, a) for q, a in pairs if q and a and 1 <= len(clauses(a)) <= 12 and ending(clauses(a)[-1], True) == "stop"
-             and likeness(a, q) < 0.5 and not REFUSAL.search(a) and language(q) and language(a[:300]) == language(q)]
-    whole = whole or [("How does the cache work?", "The cache keeps the last rows. It drops the oldest first.")]
+    cut_up = [(q, a, clauses(a)) for q, a in pairs if q and not says_nothing(a)]
+    texts = [[masked(c, frozenset(_MARKED.findall(q.casefold()))) for c in parts] for q, _, parts in cut_up]
+    wording, folds, fold_of, taken = train_wording([t for own in texts for t in own])
+    refused = [any(t in taken for t in own) for own in texts]
+
+    whole = [(q, a, parts) for (q, a, parts), r in zip(cut_up, refused)
+             if not r and parts and ending(parts[-1], True) == "stop" and likeness(a, q) < 0.5 and language(q) and language(q) in languages(a[:300])]
+    whole = whole or [("How does the cache work?", "The cache keeps the last rows. It drops the oldest first.", ["The cache keeps the last rows.", " It drops the oldest first."])]
     by_lang: dict[str, list[str]] = {}
-    for q, a in whole:
+    for q, a, _ in whole:
         by_lang.setdefault(language(q), []).append(a)
     by_lang.setdefault("de", []).append("Die Karten sind in der Nacht nicht bereit.")
     by_lang.setdefault("fr", []).append("Les cartes ne sont pas dans le dossier.")
-    data: list[tuple[list[list[str]], list[int]]] = []
+    planted: list[tuple[list[list[str]], list[str], list[int]]] = []
 
     def plant(q: str, a: str, label) -> None:
-        parts, feats = clause_features(q, a, True)
-        if 0 < len(parts) <= 14:
-            data.append((feats, [label(i, len(parts)) for i in range(len(parts))]))
+        parts, feats, own = clause_features(q, a, True)
+        if parts:
+            planted.append((feats, own, [label(i, len(parts)) for i in range(len(parts))]))
+
+    def spoken(q: str, text: str) -> str:
+        words = _WORD.findall(q)
+        return text.replace("_", " ".join(words[-int(rng.integers(1, 4)):]) or "it")
 
-    for at, (q, a) in enumerate(whole):
+    refusals, closings, courtesies, sound = refusal_examples(), labelled(CLOSINGS), labelled(COURTESIES), labelled(SOUND)
+    for i, (q, a, parts) in enumerate(whole):
         plant(q, a, lambda i, n: 0)
         plant(q, f"{q}\n{a}", lambda i, n: 2 if i == 0 else 0)
         other = [k for k in by_lang if k != language(q)]
@@ -295,20 +421,41 @@ def training_sequences(pairs: list[tuple[str, str]], seed: int = 7) -> list[tupl
         plant(q, clauses(foreign)[0], lambda i, n: 3)
         echo = [q, f"Q: {q}", f"{q}\n{q.lower()}", q.upper(), q.rstrip("?.")][rng.integers(5)]
         plant(q, echo, lambda i, n: 2)
-        r = REFUSALS[rng.integers(len(REFUSALS) - 2)]
-        plant(q, r + (" " + REFUSALS[-1 - rng.integers(2)] if rng.integers(2) else ""), lambda i, n: 1)
-        odd = ODD[at % len(ODD)]
+        for _ in range(4):
+            said = spoken(q, refusals[rng.integers(len(refusals))])
+            if rng.integers(4) == 0:
+                said = spoken(q, courtesies[rng.integers(len(courtesies))]) + "\n" + said
+            if rng.integers(2):
+                said += "\n" + spoken(q, closings[rng.integers(len(closings))])
+            plant(q, said if rng.integers(5) else said.upper(), lambda i, n: 1)
+            if i % 8 == 0:
+                plant("", said, lambda i, n: 1)
+        if i % 8 == 0:
+            plant("", a, lambda i, n: 0)
+        plant(q, spoken(q, sound[rng.integers(len(sound))]), lambda i, n: 0)
+        odd = ODD[i % len(ODD)]
         plant(q, odd, lambda i, n: 0)
         plant(q, f"{a}\n{odd}", lambda i, n: 0)
-        cut_off = UNFINISHED[at % len(UNFINISHED)]
+        cut_off = UNFINISHED[i % len(UNFINISHED)]
         plant(q, f"{a}\n{cut_off}", lambda i, n: 4 if i == n - 1 else 0)
-        plant(q, f"That one is not for me. {REFUSALS[-1 - at % 2]}", lambda i, n: 1)
-        last = clauses(a)[-1]
+        last = parts[-1]
         if len(last.strip()) > 8:
             end = int(rng.integers(4, len(last.rstrip()) - 3))
             head = a[: a.rfind(last.strip()[:20])]
             plant(q, head + last.strip()[:end].rstrip(".!?。！？। "), lambda i, n: 4 if i == n - 1 else 0)
-    return data
+
+    unseen = [t for _, own, _ in planted for t in own]
+    fold = np.array([fold_of.get(t, k % len(folds)) for k, t in enumerate(unseen)], dtype=int)
+    logits = np.zeros(len(unseen))
+    for k, model in enumerate(folds):
+        where = np.flatnonzero(fold == k)
+        logits[where] = model.logits([unseen[w] for w in where])
+    data, at = [], 0
+    for feats, own, ys in planted:
+        full = [with_wording(f, z) for f, z in zip(feats, logits[at : at + len(own)])]
+        at += len(own)
+        data += [(full[k : k + WINDOW], ys[k : k + WINDOW]) for k in range(0, len(ys), WINDOW)]
+    return data, wording
 
 
 def says_nothing(answer: str | None) -> bool:
@@ -318,17 +465,13 @@ def says_nothing(answer: str | None) -> bool:
     return norm(t.replace("```", "")) in PLACEHOLDERS | {""} or answer.strip().lower() in ("n/a", "<empty>", "(blank)")
 
 
-def defect(query: str, answer: str | None, field: Field, ends_known: bool) -> str | None:
-    """The one defect of a pair, or None for a sound one."""
-    if says_nothing(answer):
-        return "empty"
-    parts, feats = clause_features(query or "", answer, ends_known)
-    tags = field.tag(feats)
+def verdict(query: str, answer: str, parts: list[str], tags: list[int]) -> str | None:
+    """The one defect of a pair with a tagged answer, or None for a sound one."""
     share = np.zeros(len(TAGS))
     for c, t in zip(parts, tags):
         share[t] += max(1, len(norm(c)) + 2 * len(_DENSE.findall(c)))
     share /= share.sum()
-    if likeness(answer, query or "") >= 0.8 or share[2] == 1:
+    if share[2] == 1 or likeness(answer, query) >= 0.8:
         return "copies_question"
     if share[1] > 0.5 or tags[0] == 1 and share[1] + share[4] > 0.5:
         return "refusal"
@@ -339,6 +482,21 @@ def defect(query: str, answer: str | None, field: Field, ends_known: bool) -> st
     return "other_language" if share[3] + share[4] > 0.5 and share[3] > share[4] else None
 
 
+def defects(rows: list[tuple[str | None, str | None, bool]], field: Field, wording: Wording) -> list[str | None]:
+    """Defects of (query, answer, whether its end is a known one) rows, all tagged together."""
+    out: list[str | None] = ["empty"] * len(rows)
+    told = [i for i, (_, a, _) in enumerate(rows) if not says_nothing(a)]
+    cut_up = [clause_features(rows[i][0] or "", rows[i][1], rows[i][2]) for i in told]
+    logits = wording.logits([t for _, _, texts in cut_up for t in texts])
+    feats, at = [], 0
+    for parts, own, _ in cut_up:
+        feats.append([with_wording(f, z) for f, z in zip(own, logits[at : at + len(parts)])])
+        at += len(parts)
+    for i, (parts, _, _), tags in zip(told, cut_up, field.tag(feats)):
+        out[i] = verdict(rows[i][0] or "", rows[i][1], parts, tags) if parts else "empty"
+    return out
+
+
 def _thai_ends(batches):
     """Last characters of the Thai sentences that others follow in the same answer."""
     for b in batches:
@@ -346,11 +504,12 @@ def _thai_ends(batches):
         yield pa.RecordBatch.from_pydict({"tail": ends}, schema=pa.schema([("tail", pa.string())]))
 
 
-def _defects(field: Field):
+def _defects(field: Field, wording: Wording):
+    weights, bias = wording.weights.astype(np.float32), wording.bias
+
     def run(batches):
         for b in batches:
-            ids, q, a, known = (c.to_pylist() for c in b.columns)
-            got = [defect(*row) for row in zip(q, a, [field] * len(ids), known)]
+            got = defects(list(zip(*(c.to_pylist() for c in b.columns[1:]))), field, Wording(weights, bias))
             keep = [i for i, d in enumerate(got) if d]
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep, pa.int64())), pa.array([got[i] for i in keep], pa.string())], names=["id", "defect"])
     return run
@@ -362,15 +521,21 @@ def pair_defects(pairs: DataFrame, id_col: str = "pair_id", query_col: str = "qu
     A null answer is empty; a null or empty query has no language and nothing to
     copy, so its answer can only be empty, refusing or truncated; repeated rows
     are judged again; an empty table gives an empty result; other columns are not
-    read. The field is trained on about ``sample`` pairs, those whose ids hash lowest.
+    read. The models are trained on about ``sample`` pairs, those whose ids hash lowest
+    and whose answers have at most SAMPLE_CHARS characters; every pair is judged whole.
     """
     src = pairs.select(F.col(id_col).alias("id"), F.col(query_col).alias("q"), F.col(answer_col).alias("a"))
     kind = src.schema["id"].dataType.simpleString()
-    rows = hashed_sample(src, "id", sample).where("a is not null and length(a) < 4000").orderBy("id").select("q", "a").collect()
-    field = train_field(training_sequences([(r.q, r.a) for r in rows]))
-    thai = src.where(F.col("a").rlike("[\\u0E00-\\u0E7F]"))
-    ends = thai.select("a").mapInArrow(_thai_ends, "tail string").distinct().select("tail", F.lit(True).alias("known"))
+    rows = hashed_sample(src, "id", sample).where(f"a is not null and length(a) <= {SAMPLE_CHARS} and length(q) <= {SAMPLE_CHARS}").orderBy("id").select("q", "a").collect()
+    data, wording = training_sequences([(r.q, r.a) for r in rows])
+    judge, out = _defects(train_field(data), wording), f"id {kind}, defect string"
+    is_thai = F.coalesce(F.col("a").rlike("[\\u0E00-\\u0E7F]"), F.lit(False))
     bare = F.regexp_replace(F.col("a"), "(\\s*\\[\\d+\\])+\\s*$|\\s+$", "")
-    src = src.withColumn("tail", F.when(F.col("a").rlike("[\\u0E00-\\u0E7F]"), F.right(bare, F.lit(4)))).join(ends, "tail", "left")
-    judged = spread(src.select("id", "q", "a", F.coalesce("known", F.lit(False)).alias("known")))
-    return judged.mapInArrow(_defects(field), f"id {kind}, defect string").withColumnRenamed("id", id_col)
+    thai = src.where(is_thai).withColumn("tail", F.right(bare, F.lit(4)))
+    ends = thai.select("a").mapInArrow(_thai_ends, "tail string").distinct().select("tail", F.lit(True).alias("known"))
+    judged = spread(src.where(~is_thai).select("id", "q", "a", F.lit(False).alias("known"))).mapInArrow(judge, out)
+    if not ends.isEmpty():  # only Thai answers need the ends of other sentences, and only they are joined
+        judged = judged.unionByName(thai.join(ends, "tail", "left").select("id", "q", "a", F.coalesce("known", F.lit(False)).alias("known")).mapInArrow(judge, out))
+    else:
+        judged = judged.unionByName(thai.select("id", "q", "a", F.lit(False).alias("known")).mapInArrow(judge, out))
+    return judged.withColumnRenamed("id", id_col)

@@ -1,6 +1,8 @@
+import pyarrow.parquet as pq
 import pytest
 
-from lexlode.llm.pair_defects import clauses, defect, ending, language, likeness, pair_defects, says_nothing, train_field, training_sequences
+from lexlode.llm.pair_defects import clauses, defects, ending, language, likeness, pair_defects, says_nothing, train_field, training_sequences
+from lexlode.llm.pair_texts import refusal_examples
 
 Q = "How does the cache affect the queue?"
 A = "The cache keeps the last rows. It drops the oldest first. Neither the queue nor the table is read."
@@ -8,10 +10,14 @@ A = "The cache keeps the last rows. It drops the oldest first. Neither the queue
 
 @pytest.fixture(scope="module")
 def field():
-    pairs = [(Q, A), ("Why is the index slow?", "The index is read twice. Dr. Orvane reported that the table fills it."),
-             ("Wie verbinden die Karten die Tabellen?", "Die Karten sind in der Nacht bereit. Die Tabellen werden nicht gelesen."),
-             ("Pourquoi les notes sont lentes ?", "Les notes sont dans le dossier. Les clés ne sont pas utiles.")] * 12
-    return train_field(training_sequences(pairs))
+    rows = pq.read_table("/root/testdata/sf0.01/eval_inputs.parquet", columns=["query", "answer"]).to_pylist()
+    pairs = [(r["query"], r["answer"]) for r in rows]
+    data, wording = training_sequences(pairs)
+    return train_field(data), wording
+
+
+def defect(query, answer, field, ends_known):
+    return defects([(query, answer, ends_known)], *field)[0]
 
 
 @pytest.mark.parametrize("answer, want", [
@@ -39,13 +45,33 @@ def test_other_forms(field, query, answer, want):
     assert defect(query, answer, field, True) == want
 
 
+# Refusals in wordings that neither the module nor the tables hold.
+UNSEEN = """I'd love to, but that falls outside my remit.|My hands are tied on this subject.|You'll have to look elsewhere for that, I can't say.|I'm going to have to say no to this one.|I am not in a position to respond to that.
+It is against the rules for me to reveal this information.|I must turn down your request.|Das kann und will ich nicht kommentieren.|Hierzu gebe ich grundsätzlich keine Antwort.|Ich möchte dazu lieber nichts sagen.
+Je ne souhaite pas en parler.|Je n'ai pas le droit de vous le dire.|No me corresponde opinar sobre esa cuestión.|No tengo permiso para contestarle.|这个问题我实在不能回答。|その点についてはコメントできません。|Об этом я говорить не могу.|Non posso rispondere a questa domanda."""
+
+
+def test_unseen_refusals(field):
+    texts = [t for line in UNSEEN.split("\n") for t in line.split("|")]
+    assert not set(texts) & set(refusal_examples())
+    got = [defect(Q, t, field, True) for t in texts]
+    assert got.count("refusal") >= 0.85 * len(texts), [t for t, g in zip(texts, got) if g != "refusal"]
+
+
+def test_batches_and_long_answers(field):
+    long = "\n".join(f"The cache keeps row {i} of the table." for i in range(3000))
+    rows = [(Q, long, True), (Q, None, True), (Q, A, True), (Q, long + "\nThe cache keeps the", True), (None, A, True), ("", "I'm sorry, but I can't help with that.", True)]
+    assert defects(rows, *field) == [None, "empty", None, "truncated", None, "refusal"]
+    assert defects([], *field) == [] and defects([(Q, " ", False)], *field) == ["empty"]
+
+
 def test_asked_language_is_no_defect(field):
     assert defect("Answer in German: " + Q, "Die Karten sind in der Nacht bereit.", field, True) is None
 
 
 def test_parts():
     assert clauses("A line. Dr. Tesk came. [1]") == ["A line.", " Dr. Tesk came."]
-    assert language("the cache of the row") == "en" and language("las filas de la red") == "es" and language("12") == ""
+    assert language("the cache of the row") == "en" and language("las filas de la red") == "es" and language("12") == "" and language("il gatto e la rete che non è nella lista") == "it" and language("캐시는 행을 보관합니다") == "ko"
     assert language("図では疎な経路") == "ja" and language("如果队列缺失") == "zh"
     assert ending("see e.g.", True) == "cut" and ending("3.", True) == "open" and ending('He said: "Stop!', True) == "open"
     assert likeness("abc def", "abc def") == 1 and likeness("", "x") == 0
