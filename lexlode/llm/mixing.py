@@ -6,9 +6,10 @@ ones are likelier to. A source's budget is its share of the total: it is used in
 complete epochs as often as they fit, and the rest is taken from the front of the
 key order up to the budget.
 
-The order is never sorted as a whole: keys fall into ``BUCKETS`` ranges, the tokens
-of each range are added up, and only the one range per source in which the
-budget ends is sorted.
+The order is never sorted as a whole: the keys of a source fall into ``BUCKETS`` ranges, the
+tokens of each are added up, and the range in which the budget ends is cut into
+ranges again until it holds at most ``EDGE`` documents, or documents of one key. Only these are
+sorted, equal rows among them as one.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from lexlode.llm.tokens import UNIT, VOCABULARY, Counter
 from lexlode.session import cut, spread
 
-BUCKETS = 1 << 16
+BUCKETS, EDGE = 1 << 12, 20_000
 SEED = 20240101
 
 
@@ -44,6 +45,26 @@ def quality(units: list[str]) -> float:
     return max(0.05, min(1.0, len(units) / 50) * min(1.0, 1.5 * len(set(units)) / len(units) + 0.25))
 
 
+def _edges(keyed: DataFrame, state: DataFrame) -> DataFrame:
+    """For each source the least range of keys lo to hi in which its budget ends, with the tokens before it.
+
+    ``state``: source, rest, lo, hi, before, docs; one row per source with a budget to fill.
+    Each round is one pass with an aggregate of at most BUCKETS rows a source.
+    """
+    state = cut(state, "mix-edges")
+    while not state.where((F.col("docs") > EDGE) & (F.col("lo") < F.col("hi"))).isEmpty():
+        own = F.broadcast(state.select("source", "rest", "lo", "hi", "before"))
+        bucket = F.when(F.col("hi") > F.col("lo"), F.least(F.lit(BUCKETS - 1), F.floor((F.col("key") - F.col("lo")) / (F.col("hi") - F.col("lo")) * BUCKETS))).otherwise(0)
+        parts = keyed.join(own, "source").where("key between lo and hi").groupBy("source", "rest", "before", bucket.alias("bucket")).agg(
+            F.sum("n_tokens").alias("tokens"), F.count("*").alias("docs"), F.min("key").alias("lo"), F.max("key").alias("hi"))
+        run = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+        parts = parts.withColumn("upto", F.col("before") + F.coalesce(F.sum("tokens").over(run), F.lit(0)))
+        first = F.row_number().over(Window.partitionBy("source").orderBy("bucket"))
+        at = parts.where(F.col("upto") + F.col("tokens") >= F.col("rest")).withColumn("first", first).where("first = 1")
+        state = cut(at.select("source", "rest", "lo", "hi", F.col("upto").alias("before"), "docs"), "mix-edges")
+    return state
+
+
 def mix_sources(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None, id_col: str = "doc_id", text_col: str = "text",
                 source_col: str = "source", seed: int = SEED, vocabulary: str = VOCABULARY) -> tuple[DataFrame, DataFrame]:
     """Select documents so that each source has its target share; returns (selection, report).
@@ -67,12 +88,9 @@ def mix_sources(docs: DataFrame, targets: DataFrame, total_tokens: int | None =
     kind = src.schema["id"].dataType.simpleString()
     sized = spread(listed).mapInArrow(_size(vocabulary), f"id {kind}, source string, n_tokens long, weight double").where("n_tokens > 0")
     u = (F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 52)) + 0.5) / F.lit(float(1 << 52))
-    key = -F.log(u) / F.col("weight")
-    keyed = cut(sized.withColumn("key", key).withColumn("bucket", F.floor((1 - F.exp(-F.col("key"))) * (BUCKETS - 1)).cast("int")), "mix-keyed")
+    keyed = cut(sized.withColumn("key", -F.log(u) / F.col("weight")), "mix-keyed")
 
-    ranges = keyed.groupBy("source", "bucket").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("docs"))
-    ranges = cut(ranges, "mix-ranges")
-    have = ranges.groupBy("source").agg(F.sum("tokens").alias("available_tokens"))
+    have = cut(keyed.groupBy("source").agg(F.sum("n_tokens").alias("available_tokens"), F.min("key").alias("lo"), F.max("key").alias("hi"), F.count("*").alias("docs")), "mix-have")
     plan = want.join(have, "source", "left").withColumn("available_tokens", F.coalesce("available_tokens", F.lit(0)))
     able = plan.where("available_tokens > 0 and target_share > 0 and max_repeats > 0")
     total = float(total_tokens) if total_tokens is not None else able.agg(F.min(F.col("available_tokens") * F.col("max_repeats") / F.col("target_share"))).first()[0] or 0.0
@@ -82,18 +100,17 @@ def mix_sources(docs: DataFrame, targets: DataFrame, total_tokens: int | None =
     plan = plan.withColumn("epochs", F.when(F.col("available_tokens") > 0, F.floor(F.col("budget_tokens") / F.col("available_tokens"))).otherwise(F.lit(0)).cast("int"))
     plan = cut(plan.withColumn("rest", F.col("budget_tokens") - F.col("epochs") * F.col("available_tokens")), "mix-plan")
 
-    run = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    before = ranges.withColumn("before", F.coalesce(F.sum("tokens").over(run), F.lit(0)))
-    edge = before.join(F.broadcast(plan), "source").where((F.col("rest") > 0) & (F.col("before") < F.col("rest")) & (F.col("before") + F.col("tokens") >= F.col("rest")))
-    edge = edge.groupBy("source").agg(F.min("bucket").alias("edge"), F.min("before").alias("before"))
-    rows = keyed.join(F.broadcast(plan.select("source", "epochs", "rest").join(edge, "source", "left")), "source")
-    order = Window.partitionBy("source").orderBy("key", "id", "n_tokens").rowsBetween(Window.unboundedPreceding, 0)
-    inside = rows.where(F.col("bucket") < F.coalesce("edge", F.lit(-1))).select("id", "source", "n_tokens", (F.col("epochs") + 1).alias("times_used"))
+    edge = _edges(keyed, plan.where("rest > 0").select("source", "rest", "lo", "hi", F.lit(0).cast("long").alias("before"), "docs"))
+    rows = keyed.join(F.broadcast(plan.select("source", "epochs", "rest").join(edge.select("source", "lo", "hi", "before"), "source", "left")), "source")
+    inside = rows.where("key < lo").select("id", "source", "n_tokens", (F.col("epochs") + 1).alias("times_used"))
+    outside = rows.where("lo is null or key > hi").select("id", "source", "n_tokens", F.col("epochs").alias("times_used"))
+    order = Window.partitionBy("source").orderBy("key", "id", "n_tokens").rowsBetween(Window.unboundedPreceding, -1)
+    at_edge = rows.where("key between lo and hi").groupBy("source", "key", "id", "n_tokens", "epochs", "rest", "before").agg(F.count("*").alias("copies"))
+    earlier = F.col("before") + F.coalesce(F.sum(F.col("n_tokens") * F.col("copies")).over(order), F.lit(0))
     at_edge = (
-        rows.where(F.col("bucket") == F.col("edge")).withColumn("upto", F.col("before") + F.sum("n_tokens").over(order))
-        .select("id", "source", "n_tokens", (F.col("epochs") + (F.col("upto") - F.col("n_tokens") / 2 <= F.col("rest")).cast("int")).alias("times_used"))
+        at_edge.withColumn("earlier", earlier).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+        .select("id", "source", "n_tokens", (F.col("epochs") + (F.col("earlier") + F.col("n_tokens") * (F.col("copy") - 0.5) <= F.col("rest")).cast("int")).alias("times_used"))
     )
-    outside = rows.where(F.col("edge").isNull() | (F.col("bucket") > F.col("edge"))).select("id", "source", "n_tokens", F.col("epochs").alias("times_used"))
     chosen = inside.unionByName(at_edge).unionByName(outside).where("times_used > 0")
 
     used = chosen.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("times_used")).alias("used_tokens"), F.count("*").alias("n_docs"), F.max("times_used").alias("most_repeats"))

@@ -1,10 +1,12 @@
 from collections import defaultdict
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 from lexlode.llm.mixing import mix_sources, quality
-from lexlode.llm.packing import Index, Terms, fill, fill_report, pack_texts
+from lexlode.llm import mixing, packing
+from lexlode.llm.packing import Index, Terms, fill, fill_report, numbered, pack_texts
 from lexlode.llm.tokens import UNIT, Counter, encoder
 
 
@@ -21,8 +23,7 @@ def test_counts_are_exact(count):
 def test_bm25_against_brute_force():
     texts = ["the map of the rail", "the sea", "rail rail map", "sky"]
     t = Terms()
-    vectors = [t.vector(UNIT.findall(x)) for x in texts]
-    index = Index(vectors, len(t.ids))
+    index = Index(*numbered([t.vector(UNIT.findall(x)) for x in texts]))
     words = [x.split() for x in texts]
     n, avg = len(texts), np.mean([len(w) for w in words])
     for s in range(n):
@@ -40,7 +41,7 @@ def test_bm25_against_brute_force():
 def test_fill():
     t = Terms()
     texts = ["rail map"] * 3 + ["sea sky"] * 3
-    index = Index([t.vector(UNIT.findall(x)) for x in texts], len(t.ids))
+    index = Index(*numbered([t.vector(UNIT.findall(x)) for x in texts]))
     sizes = np.array([5, 3, 3, 5, 3, 3])
     groups = fill(sizes, np.arange(6), index, 8)
     assert sorted(i for g in groups for i in g) == list(range(6)) and all(sizes[g].sum() <= 8 for g in groups)
@@ -72,6 +73,35 @@ def test_packing(spark, count):
         pack_texts(df, [("none", 0)])
 
 
+def test_packing_does_not_depend_on_the_layout(spark, monkeypatch):
+    """The same rows for two layouts, over many shards, with a hot group of copies split."""
+    monkeypatch.setattr(packing, "SHARD_TEXTS", 40)
+    rows = [(i, f"{'map rail stop' if i % 2 else 'sea sky wave'} {i % 17} and {i % 13} of row {i} " * (i % 5 + 1)) for i in range(400)] + [(1000 + i, "the same text again") for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    caps = [("small", 64)]
+    got = [sorted(map(tuple, pack_texts(df.repartition(n), caps).collect())) for n in (1, 7)]
+    assert got[0] == got[1] and len(got[0]) == 600
+    shards = {r[1] >> packing.ORDINAL for r in got[0]}
+    assert len({s >> packing.SALT for s in shards}) > 5 and len(shards) > len({s >> packing.SALT for s in shards})
+
+
+def test_neighbours_come_from_the_collection():
+    """Shards by content keep the best neighbours together: of the given documents in any order, against all of them."""
+    texts = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"])["text"].to_pylist()
+    own = Terms()
+    vectors = [own.vector(UNIT.findall(t)) for t in texts]
+    index = Index(*numbered(vectors))
+    idf, main, middle = packing.directions(vectors[::2])
+    codes = np.array([int(((main @ packing.weighted(t, c, idf)) > middle) @ (1 << np.arange(packing.BITS - 1, -1, -1))) for t, c in vectors])
+    shard = np.argsort(np.argsort(codes, kind="stable")) // 125
+    found = []
+    for seed in range(0, len(texts), 5):
+        score = index.scores(seed)
+        score[seed] = 0
+        found.append(score[shard == shard[seed]].max() / max(score.max(), 1e-9))
+    assert np.mean(found) > 0.9
+
+
 def test_mixing(spark):
     rows = [(i, "a" if i < 400 else "b" if i < 460 else "c", f"some words of row {i} " * (i % 5 + 1)) for i in range(500)] + [(900, "z", "unlisted"), (901, None, "none"), (902, "a", None), (903, "a", ""), (None, "a", "x")]
     df = spark.createDataFrame(rows, "doc_id long, source string, text string").selectExpr("*", "1 as bucket", "2 as weight")
@@ -93,5 +123,21 @@ def test_mixing(spark):
     assert mix_sources(df.limit(0), targets)[0].count() == 0 and mix_sources(df, targets.limit(0))[0].count() == 0
 
 
+def test_mixing_narrows_the_edge(spark, monkeypatch):
+    """All weights at their least, and a document stored over and over: the sorted range stays bounded, the result the same."""
+    rows = [(i, "a", "word") for i in range(3000)] + [(7, "b", "word")] * 2000 + [(8, "b", "other words")]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    targets = spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 2)], "source string, target_share double, max_repeats int")
+    want = sorted(mix_sources(df, targets, total_tokens=2001)[0].collect())
+    assert sum(r.n_tokens * r.times_used for r in want if r.source == "a") in (1000, 1001) and len([r for r in want if r.source == "b" and r.doc_id == 7]) >= 990
+    seen = []
+    edges = mixing._edges
+    monkeypatch.setattr(mixing, "EDGE", 50)
+    monkeypatch.setattr(mixing, "BUCKETS", 8)
+    monkeypatch.setattr(mixing, "_edges", lambda *a: seen.append(edges(*a)) or seen[-1])
+    assert sorted(mix_sources(df, targets, total_tokens=2001)[0].collect()) == want
+    assert all(r.docs <= 50 or r.lo == r.hi for r in seen[0].collect())
+
+
 def test_weights_favour_quality():
     assert quality([]) < quality(["a"] * 100) < quality([f"w{i}" for i in range(100)])
