@@ -12,7 +12,7 @@
 4. Links that leave no doubt make components; a link by an initial, an acronym or
    an ambiguous nickname counts only if it leads to one component.
 
-A shard with more than ``BLOCK`` tokens is split into blocks that each probe visits.
+A shard with more than ``BLOCK`` stored tokens or probes is split into blocks, and each pair of blocks is a task.
 A token that occurs with more than ``PARTNERS`` different others (a common name)
 tells little alone: names that meet by it or by a token near it must also share a
 companion of it (the same, within one edit, or by a formal name) or its initial,
@@ -88,17 +88,17 @@ def distance1(a: str, b: str) -> int:
 
 _ORG_BY_LENGTH: dict[int, list[str]] = {}
 for _o in ORG_WORDS:
-    if len(_o) >= 6:
+    if len(_o) >= 4:
         _ORG_BY_LENGTH.setdefault(len(_o), []).append(_o)
 
 
-def org_word(token: str) -> str | None:
-    """One form of an organisation word, typing errors of the longer ones included."""
+def org_word(token: str, least: int = 6) -> str | None:
+    """One form of an organisation word, typing errors of words from ``least`` letters on included."""
     if token in ORG_WORDS:
         return ORG_WORDS[token]
-    if len(token) >= 6:
+    if len(token) >= least:
         for n in (len(token) - 1, len(token), len(token) + 1):
-            for o in _ORG_BY_LENGTH.get(n, ()):
+            for o in _ORG_BY_LENGTH.get(n, ()) if n >= least else ():
                 if distance1(token, o) == 1:
                     return ORG_WORDS[o]
     return None
@@ -110,6 +110,8 @@ def parse(name: str) -> dict:
     tokens = [fold(t) for t in raw]
     keep = [(t, r) for t, r in zip(tokens, raw) if t not in TITLES and t]
     words = [(org_word(t), t, r) for t, r in keep]
+    if any(w for w, _, _ in words):  # beside an organisation word, and not in front, a short token may be one with an error
+        words = words[:1] + [(w or org_word(t, 4), t, r) for w, t, r in words[1:]]
     main = [(t, r) for w, t, r in words if w is None and t not in SMALL]
     orgs: list[str] = []
     for w, _, _ in words:
@@ -165,7 +167,7 @@ def compare(a: dict, b: dict) -> int:
     if a["kind"] != b["kind"]:
         return 2
     if a["kind"] == "org":
-        if len(a["main"]) != len(b["main"]) or not _assigned(a["main"], b["main"], lambda s, t: distance1(s, t) < 2, 1, False):
+        if len(a["main"]) != len(b["main"]) or not _assigned(a["main"], b["main"], lambda s, t: distance1(s, t) <= (min(len(s), len(t)) >= 5), 1, False):
             return 2
         if a["words"] and b["words"]:
             return 0 if a["words"] == b["words"] else 2
@@ -284,9 +286,12 @@ def _walk(batches):
 def near_tokens(tokens: DataFrame, col: str = "token") -> DataFrame:
     """Pairs x, y of different distinct tokens at most one edit apart, each once (shorter or lesser first)."""
     shards = tokens.select(col).where(F.length(col) >= 3).distinct().mapInArrow(_shards, "key string, side int, token string")
-    sizes = shards.where("side = 0").groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nb"))
-    placed = shards.join(sizes, "key").withColumn(
-        "block", F.explode(F.when(F.col("side") == 0, F.array(F.pmod(F.hash("token"), F.col("nb")))).otherwise(F.sequence(F.lit(0), F.col("nb") - 1))))
+    count = lambda side: F.ceil(F.sum((F.col("side") == side).cast("int")) / BLOCK).cast("int")
+    sizes = shards.groupBy("key").agg(count(0).alias("nb"), count(1).alias("mb")).where("nb > 0 and mb > 0")
+    # stored tokens and probes both are in blocks, and every pair of blocks is a task of its own
+    own, others = F.pmod(F.hash("token"), F.when(F.col("side") == 0, F.col("nb")).otherwise(F.col("mb"))), F.when(F.col("side") == 0, F.col("mb")).otherwise(F.col("nb"))
+    block = F.when(F.col("side") == 0, F.col("own") * F.col("mb") + F.col("other")).otherwise(F.col("other") * F.col("mb") + F.col("own"))
+    placed = shards.join(sizes, "key").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), others - 1))).withColumn("block", block)
     return (
         placed.select("key", "block", "side", "token").repartition("key", "block").sortWithinPartitions("key", "block", "side")
         .mapInArrow(_walk, "x string, y string").distinct()
@@ -307,41 +312,45 @@ def _parse(batches):
             schema=pa.schema([("name", pa.string()), ("kind", pa.string()), *((k, pa.list_(pa.string())) for k in ("main", "initials", "words")), ("acronym", pa.string())]))
 
 
-def companions(token: str, main: list[str], initials: list[str]) -> list[tuple[int, str, bool]]:
+def companions(token: str, kind: str, main: list[str], initials: list[str], words: list[str], acronym: str) -> list[tuple[int, str, bool]]:
     """Keys (number of tokens, key, whether brief) of which a name shares one with each name it may equal by ``token``.
 
     Names of as many tokens share a companion of the token or its formal name, give
-    or take an edit. Those with number 0 hold for names of one token with initials
-    (brief) and what these may stand for: names alike or of two tokens.
+    or take an edit. Those with number 0 hold for persons of one token with initials
+    (brief) and what these may stand for: names alike or of two tokens. Organisations of
+    one telling token share their words or their acronym.
     """
-    if len(main) == 1:
-        return [(0, i, True) for i in sorted(set(initials))]
     at = main.index(token)
     rest = main[:at] + main[at + 1 :]
+    if kind == "org":
+        told = [f" {' '.join(words)}"] * bool(words) + [f" {acronym}."] * bool(acronym)
+        return [(-len(main), k, False) for k in (sorted(set(rest)) or told)]
+    if not rest:
+        return [(0, i, True) for i in sorted(set(initials))]
     keys = {k for c in rest for k in (c, *_FORMAL.get(c, ()))}
     return [(len(main), k, False) for k in sorted(keys)] + [(0, c[0], False) for c in rest if len(main) == 2]
 
 
 def _companions(batches):
     for b in batches:
-        rows = [(name, token, *k) for name, token, main, initials in zip(*(c.to_pylist() for c in b.columns)) for k in companions(token, main, initials)]
+        rows = [(name, token, *k) for name, token, *parts in zip(*(c.to_pylist() for c in b.columns)) for k in companions(token, *parts)]
         kinds = {"name": pa.string(), "token": pa.string(), "size": pa.int32(), "key": pa.string(), "brief": pa.bool_()}
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds.values())], names=list(kinds))
 
 
 def _crowded_pairs(token: DataFrame, common: DataFrame, near: DataFrame) -> DataFrame:
-    """Pairs a < b of persons that meet by two equal or near tokens, one of them common, and share a companion or its initial."""
+    """Pairs a < b of names that meet by two equal or near tokens, one of them common, and share a companion, its initial, or their other words."""
     both = near.unionByName(near.select(F.col("y").alias("x"), F.col("x").alias("y")))
     by_x, by_y = common.select(F.col("token").alias("x")), common.select(F.col("token").alias("y"))
     links = cut(both.join(by_x, "x", "left_semi").unionByName(both.join(by_y, "y", "left_semi")).unionByName(by_x.withColumn("y", F.col("x"))).distinct(), "names-crowded")
-    persons = token.where("kind = 'person'").join(links.select(F.col("x").alias("token")).distinct(), "token", "left_semi")
-    rows = cut(persons.select("name", "token", "main", "initials").distinct().mapInArrow(_companions, "name string, token string, size int, key string, brief boolean"), "names-companions")
+    crowded = token.join(links.select(F.col("x").alias("token")).distinct(), "token", "left_semi")
+    rows = cut(crowded.select("name", "token", "kind", "main", "initials", "words", "acronym").distinct().mapInArrow(_companions, "name string, token string, size int, key string, brief boolean"), "names-companions")
     a, b = rows.withColumnsRenamed({"name": "a", "token": "x"}), rows.withColumnsRenamed({"name": "b", "token": "y"})
     # one side takes the near tokens and the other the near companions, so that their numbers add up and do not multiply
     other = both.where("length(x) >= 5 and length(y) >= 5").select(F.col("x").alias("key"), F.col("y").alias("to"))
-    full = b.where("size > 0").select("b", "y", "size", "key")
+    full = b.where("size <> 0").select("b", "y", "size", "key")
     full = full.unionByName(full.join(other, "key").select("b", "y", "size", F.col("to").alias("key")))
-    long = a.where("size > 0").join(links.where("x <= y"), "x").select("a", "y", "size", "key").join(full, ["y", "size", "key"])
+    long = a.where("size <> 0").join(links.where("x <= y"), "x").select("a", "y", "size", "key").join(full, ["y", "size", "key"])
     brief = a.where("brief").join(links, "x").select("a", "y", "key").join(b.where("size = 0").select("b", "y", "key"), ["y", "key"])
     return long.select("a", "b").unionByName(brief.select("a", "b")).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
@@ -362,17 +371,17 @@ def entity_names(names: DataFrame, col: str = "name") -> DataFrame:
     """One row per distinct name: name, entity (the least name of its component).
 
     Null and blank names take no part; repeated rows count once; names of which
-    no telling token is left are their own entity; strings that never occur with
-    a capital letter in any spelling are concepts and are left out. An empty table
+    no telling token is left are their own entity; strings of scripts with capital letters that never occur
+    with one in any spelling are concepts and are left out. An empty table
     gives an empty result.
     """
     each = names.select(F.col(col).alias("name")).where("name is not null and trim(name) <> ''").distinct()
     parsed = cut(each.mapInArrow(_parse, _PARSED), "names-parsed").where("size(main) > 0")
     rest = F.array_remove(F.col("main"), F.col("token"))
     token = parsed.withColumn("token", F.explode("main"))
-    partners = token.where("kind = 'person'").groupBy("token").agg(F.countDistinct(F.array_join(F.concat(rest, "initials"), " ")).alias("n"))
+    partners = token.groupBy("token").agg(F.countDistinct(F.array_join(F.concat(rest, "initials", "words", F.array("acronym")), " ")).alias("n"))
     common = cut(partners.where(F.col("n") > PARTNERS).select("token", F.lit(True).alias("common")), "names-common")
-    marked = token.join(common, "token", "left").withColumn("common", F.coalesce("common", F.lit(False)) & (F.col("kind") == "person"))
+    marked = token.join(common, "token", "left").withColumn("common", F.coalesce("common", F.lit(False)))
     whole = F.struct("name", "kind", "main", "initials", "words", "acronym")
     anchors = cut(marked.where("not common").select("token", whole.alias("p")).distinct(), "names-anchors")
     formal = names.sparkSession.createDataFrame([(f,) for f in NICKNAMES], "token string")
@@ -405,7 +414,7 @@ def entity_names(names: DataFrame, col: str = "name") -> DataFrame:
     single = aimed.groupBy("doubtful").agg(F.min("target").alias("target"), F.max("target").alias("other")).where("target = other")
     joins = connected_components(single.select(F.col("doubtful").alias("a"), F.col("target").alias("b")))
     final = comp.join(joins.withColumnRenamed("node", "root"), "root", "left").select("name", F.coalesce("component", "root").alias("group"))
-    cased = final.groupBy("group").agg(F.min("name").alias("entity"), F.max(F.col("name") != F.lower("name")).alias("cased")).where("cased")
+    cased = final.groupBy("group").agg(F.min("name").alias("entity"), F.max((F.col("name") != F.lower("name")) | (F.lower("name") == F.upper("name"))).alias("cased")).where("cased")
     return cut(final.join(cased, "group").select("name", "entity"), "names-entities")
 
 

@@ -101,6 +101,41 @@ def test_common_tokens_lose_nothing(spark, monkeypatch):
         assert both(met()) == want
 
 
+def test_common_first_words_of_organisations(spark, monkeypatch):
+    """A frequent word of organisations is no hot key, and loses no pair that compare accepts."""
+    import lexlode.llm.names as M
+
+    names = [f"National {p} {w}" for p in ("Barvik", "Dolmer", "Fennig", "Gorlan") for w in ("Bank", "Research Institute", "Energy Company")]
+    names += ["Nationl Barvik Bank", "National Barvick Bank", "National Bank Dolmer", "NATIONAL FENNIG RI", "National Gorlan Res. Inst.", "National Bank", "National Energy Co", "Natioanl Bank", "National EC", "National Dolmer Enrgy Company", "National Gorlan Rseearch Institute"]
+    df = spark.createDataFrame([(n,) for n in names], "name string")
+    edges, real = [], M.cut
+
+    def spy(table, name):
+        got = real(table, name)
+        if name == "names-edges":
+            edges.append(got._cut_path)
+        return got
+
+    monkeypatch.setattr(M, "cut", spy)
+    want = {(*sorted((a, b)), compare(parse(a), parse(b))) for a in names for b in names if a != b}
+    want = {x for x in want if x[2] < 2}
+    assert {("National Dolmer Energy Company", "National Dolmer Enrgy Company", 0), ("National Barvik Bank", "Nationl Barvik Bank", 0), ("National EC", "National Energy Co", 1)} <= want
+    for partners, block in ((1, 2), (10_000, 2000)):
+        monkeypatch.setattr(M, "PARTNERS", partners)
+        monkeypatch.setattr(M, "BLOCK", block)
+        entity_names(df)
+        assert {(*sorted((r.a, r.b)), r.mark) for r in spark.read.parquet(edges[-1]).collect()} == want
+
+
+def test_frequent_surnames_and_other_scripts(spark):
+    """Initials still meet their name beside a hundred bearers of the surname; scripts without case are kept."""
+    first = [a + b for a in ("Kal", "Mob", "Rin", "Tep", "Luc", "Bas", "Dov", "Fez", "Gim", "Hur") for b in ("lander", "mberto", "nnigus", "ppinos", "rvidan", "stolka", "ttimer", "vvoral", "xxulin", "bbigor")]
+    names = [f"{f} Harrington" for f in first] + ["Zvenislav Harrington", "Z. Harrington", "王伟", "国立研究所", "cold cache"]
+    got = {r.name: r.entity for r in entity_names(spark.createDataFrame([(n,) for n in names], "name string")).collect()}
+    assert got["Z. Harrington"] == got["Zvenislav Harrington"] and len({got[f"{f} Harrington"] for f in first}) == 100
+    assert got["王伟"] == "王伟" and got["国立研究所"] == "国立研究所" and "cold cache" not in got
+
+
 def test_compare_long_names():
     same = lambda a, b: compare(parse(a), parse(b))
     long = "Anna Berta Clara Dorrit Emilia Fabiola"
