@@ -3,7 +3,10 @@
 The terms of a record are explained by a mixture of the record's own model and the
 background of the whole collection. Expectation maximisation moves the mass of
 terms that the background explains out of the record's model; what is left ranks
-the terms. Background counts cover all records.
+the terms. Background counts cover all records. From the raw shares the iteration nears
+its limit ever more slowly where a term's mass vanishes, so it starts at the point that
+the conditions of the limit name, and ends once no probability moves any more. A
+record's scores thus depend on its own terms alone.
 
 Terms in more than a 1/``SHARE`` part of all (record, term) pairs number at most
 ``SHARE``, whatever the collection: they are sent to the workers. All others are
@@ -22,7 +25,7 @@ from pyspark.sql import functions as F
 
 from lexlode.session import cut
 
-SHARE, WEIGHT, ROUNDS, SETTLED = 20_000, 0.1, 50, 1e-6
+SHARE, WEIGHT, ROUNDS, SETTLED = 20_000, 0.1, 50, 1e-12
 _NOT_TERM = re.compile(r"[^\w\s\-]")
 _TERMS = pa.list_(pa.string())
 _COUNTS = pa.list_(pa.int32())
@@ -55,16 +58,26 @@ def _background(batches):
 
 
 def parsimonious(tf: np.ndarray, background: np.ndarray, starts: np.ndarray, weight: float = WEIGHT, rounds: int = ROUNDS) -> np.ndarray:
-    """Probabilities of terms in the models of their records; ``starts`` marks where records begin.
+    """Converged probabilities of terms in the models of their records; ``starts`` marks where records begin.
 
-    Every record has at least one term. All records of a batch are iterated together
-    until no probability moves by more than SETTLED.
+    Every record has at least one term. In the limit a term that keeps mass has the
+    expected share tf / mu - c * background with c = (1 - weight) / weight and one mu for
+    the record; terms keep mass in the order of tf / background, down to where it would be negative.
     """
     sizes = np.diff(np.append(starts, len(tf)))
-    p = tf / np.repeat(np.add.reduceat(tf, starts), sizes)
+    record = np.repeat(np.arange(len(starts)), sizes)
+    c = (1 - weight) / weight
+    lead = tf / background
+    order = np.lexsort((-lead, record))
+    runs = lambda x: (lambda s: s - np.concatenate([[0.0], s])[starts][record])(np.cumsum(x))
+    mu = runs(tf[order]) / (1 + c * runs(background[order]))
+    keeps = lead[order] > c * mu
+    last = np.maximum.reduceat(np.where(keeps, np.arange(len(tf)), starts[record]), starts)
+    limit = np.maximum(0.0, tf / mu[last][record] - c * background)
+    p = limit / np.add.reduceat(limit, starts)[record]
     for _ in range(rounds):
         e = tf * (weight * p) / ((1 - weight) * background + weight * p)
-        new = e / np.repeat(np.maximum(np.add.reduceat(e, starts), 1e-300), sizes)
+        new = e / np.maximum(np.add.reduceat(e, starts), 1e-300)[record]
         moved = np.abs(new - p).max()
         p = new
         if moved < SETTLED:

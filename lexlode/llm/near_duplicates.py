@@ -23,6 +23,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -146,22 +147,22 @@ def _prune(threshold: float, tolerance: float):
     return run
 
 
-def _block_pairs(threshold: float, tolerance: float, id_type: pa.DataType):
+def _block_pairs(threshold: float, tolerance: float):
     """Pairs of one or two blocks of a hot bucket that survive the pruning."""
     def run(t: pa.Table) -> pa.Table:
         t = t.combine_chunks()
         side, ids, m = np.asarray(t["side"]), t["id"].combine_chunks(), _matrix(t["sig"])
+        order = np.asarray(pc.rank(ids, tiebreaker="first"))
         left, right = np.flatnonzero(side <= 1), np.flatnonzero(side != 1)
-        pairs: list[tuple[int, int]] = []
-        values = ids.to_pylist()
+        low, high = [], []
         for i in left:
-            js = right[[values[j] > values[i] for j in right]] if side[0] == 0 else right
-            if len(js):
-                ok = survives(np.broadcast_to(m[i], (len(js), BINS)), m[js], threshold, tolerance)
-                pairs += [(i, j) for j in js[ok]]
-        low = [min(values[i], values[j]) for i, j in pairs]
-        high = [max(values[i], values[j]) for i, j in pairs]
-        return pa.table({"a": pa.array(low, id_type), "b": pa.array(high, id_type)})
+            js = right[order[right] > order[i]] if side[0] == 0 else right
+            js = js[survives(np.broadcast_to(m[i], (len(js), BINS)), m[js], threshold, tolerance)]
+            first = order[js] > order[i]
+            low.append(np.where(first, i, js))
+            high.append(np.where(first, js, i))
+        take = lambda at: ids.take(pa.array(np.concatenate(at) if at else np.empty(0, dtype=np.int64)))
+        return pa.table({"a": take(low), "b": take(high)})
     return run
 
 
@@ -250,8 +251,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     placed = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select(
         "key", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"),
         F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2).alias("side"), "id", "sig")
-    arrow_id = {"bigint": pa.int64(), "int": pa.int32()}.get(kind, pa.string())
-    from_hot = placed.groupBy("key", "bi", "bj").applyInArrow(_block_pairs(threshold, tolerance, arrow_id), f"a {kind}, b {kind}")
+    from_hot = placed.groupBy("key", "bi", "bj").applyInArrow(_block_pairs(threshold, tolerance), f"a {kind}, b {kind}")
     possible = cut(pruned.unionByName(from_hot).distinct(), "dup-possible")
 
     needed = cut(possible.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "dup-needed")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexlode.llm.distinctive import distinctive_terms
@@ -43,6 +43,12 @@ def p3_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("chunk_id", "term", "tf", "df", F.round("score", 9).alias("score"))
 
 
+def p3_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five most distinctive terms of each chunk; terms of one score in their order."""
+    place = F.row_number().over(Window.partitionBy("chunk_id").orderBy(F.desc("score"), "term"))
+    return p3_scores(spark, sf_dir).withColumn("place", place).where("place <= 5").select("chunk_id", "place", "term", "score")
+
+
 METRICS = ["latency_ms", "top_chunk_score"]
 
 
@@ -122,6 +128,7 @@ QUERIES = {
     "p2_pieces": p2_pieces,
     "p3_found": p3_found,
     "p3_scores": p3_scores,
+    "p3_top": p3_top,
     "p5_found": p5_found,
     "p5_entities": p5_entities,
     "p4_found": p4_found,
@@ -143,7 +150,18 @@ v AS (SELECT CAST(floor("timestamp" / 86400) AS BIGINT) AS day, model, intent, '
       UNION ALL SELECT CAST(floor("timestamp" / 86400) AS BIGINT), model, intent, 'top_chunk_score', top_chunk_score FROM logs),
 b AS (SELECT day, model, intent, metric, {_BUCKET}, count(*) AS n FROM v WHERE v IS NOT NULL AND isfinite(v) GROUP BY ALL)"""
 
+_TERMS = r"""WITH c AS (SELECT DISTINCT ON (chunk_id) chunk_id, text FROM chunks WHERE text IS NOT NULL AND chunk_id IS NOT NULL),
+t AS (SELECT chunk_id, unnest(string_split_regex(trim(regexp_replace(lower(text), '[^\p{L}\p{N}_-]+', ' ', 'g')), ' ')) AS term FROM c),
+tf AS (SELECT chunk_id, term, count(*) AS tf FROM t WHERE term <> '' GROUP BY ALL),
+b AS (SELECT term, count(*) AS df, sum(tf) / (SELECT sum(tf) FROM tf)::DOUBLE AS bg FROM tf GROUP BY term),
+l AS (SELECT chunk_id, term, tf, df, bg, tf / bg AS lead FROM tf JOIN b USING (term)),
+m AS (SELECT *, sum(tf) OVER w / (1 + 9 * sum(bg) OVER w) AS mu FROM l WINDOW w AS (PARTITION BY chunk_id ORDER BY lead DESC)),
+k AS (SELECT *, min(mu) FILTER (WHERE lead > 9 * mu) OVER (PARTITION BY chunk_id) AS low, max(mu) FILTER (WHERE lead > 9 * mu) OVER (PARTITION BY chunk_id) AS high FROM m),
+s AS (SELECT chunk_id, term, CAST(tf AS INTEGER) AS tf, df, round(greatest(0, tf / high - 9 * bg), 9) + 0e0 AS score FROM k)"""
+
 ORACLE: dict[str, str] = {
+    "p3_scores": _TERMS + " SELECT * FROM s",
+    "p3_top": _TERMS + ", r AS (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY score DESC, term) AS place FROM s) SELECT chunk_id, CAST(place AS INTEGER) AS place, term, score FROM r WHERE place <= 5",
     "p2_found": """
 WITH items AS (SELECT 'document' AS item_kind, CAST(doc_id AS VARCHAR) AS item_id, text FROM documents
                UNION ALL SELECT 'chunk', chunk_id, text FROM chunks UNION ALL SELECT 'parent', chunk_id, parent_text FROM chunks)
