@@ -39,6 +39,15 @@ class Settings:
     graph_enabled: bool = True
     graph_max_hops: int = 2
     graph_extractor: str = "rule-filtered"
+    # lengths that models are fed with and the vector table holds; 0 is no limit
+    ner_chars: int = 0
+    density_chars: int = 0
+    extractor_chars: int = 0
+    tagged_cap: int = 8
+    json_cap: int = 5
+    field_chars: int = 512
+    text_chars: int = 4096
+    web_chars: int = 1500
     density_top_fraction: float = 0.30
     density_min_entities: int = 2
     # answers

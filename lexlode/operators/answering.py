@@ -15,7 +15,7 @@ STRATEGIES = {
     "multi_hop": ("dense", "graph"), "code_or_formula": ("bm25", "dense"),
 }
 FALLBACK = ("dense", "bm25")
-WEB_SCORE, WEB_CHARS = 0.6, 1500
+WEB_SCORE = 0.6
 EMPTY_ANSWER = "No relevant documents found in the knowledge base."
 # Rules of the offline classifier: the first that matches decides.
 RULES = (
@@ -93,7 +93,7 @@ def web_chunks(results: DataFrame, cfg: Settings = Settings()) -> DataFrame:
     """Chunks of web results (query_id, pos, url, title, content): at most three per query, without empty ones."""
     w = Window.partitionBy("query_id").orderBy("pos", "url")
     kept = results.where("content <> ''").withColumn("n", F.row_number().over(w)).where(F.col("n") <= cfg.web_max_results)
-    text = snippet("content", WEB_CHARS)
+    text = snippet("content", cfg.web_chars) if cfg.web_chars else F.col("content")
     return kept.select("query_id", short_hash("url").alias("chunk_id"), F.lit("web").alias("doc_id"), F.col("url").alias("source"), "title", text.alias("text"), text.alias("parent_text"),
                        F.lit(0).alias("chunk_index"), F.lit(WEB_SCORE).alias("score"), F.lit("web_search").alias("retriever"), F.col("n").alias("rank"))
 

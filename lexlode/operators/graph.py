@@ -23,72 +23,84 @@ RELATIONS = (
     "published in", "platform", "programming language", "license",
 )
 ENTITY_TYPES = ("PERSON", "ORG", "GPE", "PRODUCT", "WORK_OF_ART", "EVENT", "LAW", "NORP", "FAC", "LOC")
-TAGGED_CAP, JSON_CAP = 8, 5
-NER_CHARS, DENSITY_CHARS = 10_000, 5_000
 SPAN = r"\p{Lu}\p{Ll}+(?:[ -]\p{Lu}\p{Ll}+)+"
 ORG_END = r"(?i)\b(institute|university|foundation|association|company|corporation|incorporated|limited|bank|laboratories|partners|gmbh|inc|ltd)\b"
 
 
-def spans(text: Column | str, chars: int = NER_CHARS) -> Column:
-    """Runs of capitalised words: the offline stand-in for a named-entity model."""
-    return F.regexp_extract_all(F.substring(text, 1, chars), F.lit(f"({SPAN})"), F.lit(1))
+def spans(text: Column | str, chars: int = 0) -> Column:
+    """Runs of capitalised words: the offline stand-in for a named-entity model. ``chars`` cuts the text, 0 takes it whole."""
+    t = F.col(text) if isinstance(text, str) else text
+    return F.regexp_extract_all(F.substring(t, 1, chars) if chars else t, F.lit(f"({SPAN})"), F.lit(1))
 
 
 def entity_type(span: Column) -> Column:
     return F.when(span.rlike(ORG_END), "ORG").otherwise("PERSON")
 
 
-def chunk_entities(chunks: DataFrame) -> DataFrame:
+def chunk_entities(chunks: DataFrame, cfg: Settings = Settings()) -> DataFrame:
     """Distinct entities of each chunk: chunk_id, source, label, entity_type, pos of the first mention."""
-    each = chunks.select("chunk_id", "source", F.posexplode(spans("text")).alias("pos", "span"))
+    each = chunks.select("chunk_id", "source", F.posexplode(spans("text", cfg.ner_chars)).alias("pos", "span"))
     typed = each.select("chunk_id", "source", "pos", title_case(strip("span")).alias("label"), entity_type(F.col("span")).alias("entity_type"))
     kept = typed.where((F.length("label") >= 2) & F.col("entity_type").isin(*ENTITY_TYPES))
     return kept.groupBy("chunk_id", "label").agg(F.min("source").alias("source"), F.min_by("entity_type", "pos").alias("entity_type"), F.min("pos").alias("pos"))
 
 
-def density(chunks: DataFrame) -> DataFrame:
+def density(chunks: DataFrame, cfg: Settings = Settings()) -> DataFrame:
     """Entities per hundred tokens of each chunk: chunk_id, n_entities, n_tokens, density."""
-    head = F.substring("text", 1, DENSITY_CHARS)
-    n, tokens = F.size(spans("text", DENSITY_CHARS)), F.size(F.filter(F.split(strip(head), r"\s+"), lambda t: t != ""))
+    head = F.substring("text", 1, cfg.density_chars) if cfg.density_chars else F.col("text")
+    n, tokens = F.size(spans(head)), F.size(F.filter(F.split(strip(head), r"\s+"), lambda t: t != ""))
     return chunks.select("chunk_id", n.alias("n_entities"), tokens.alias("n_tokens"), F.when(tokens > 0, n / tokens * 100).otherwise(0.0).alias("density"))
 
 
 def dense_chunks(chunks: DataFrame, cfg: Settings = Settings()) -> DataFrame:
-    """The densest fraction of the chunks above the floor of entities, at least one.
+    """The densest fraction of the chunks above the floor of entities, at least one; of equal densities the lesser ids.
 
-    The cut is found from the counts of rounded densities, and only the chunks at
-    the cut itself are ordered among themselves, so no task ranks the whole table.
+    The cut is found from counts alone: of ranges of densities, of the densities in the range
+    at the cut, and of the ids' beginnings among the chunks of the density at the cut.
+    Only chunks of one density and one beginning are ordered, so no task ranks a part of the table.
     """
-    above = density(chunks).where(F.col("n_entities") >= cfg.density_min_entities).withColumn("d", F.round("density", 9))
-    sizes = above.groupBy("d").agg(F.count("*").alias("n"))
-    total = above.agg(F.count("*").alias("total"))
-    bins = sizes.withColumn("bin", F.floor(F.col("d") * 4).cast("long")).groupBy("bin").agg(F.sum("n").alias("n"))
-    coarse = bins.withColumn("ahead", F.coalesce(F.sum("n").over(Window.orderBy(F.col("bin").desc()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    keep = F.greatest(F.lit(1), F.floor(F.col("total") * cfg.density_top_fraction))
-    placed = above.withColumn("bin", F.floor(F.col("d") * 4).cast("long")).join(F.broadcast(coarse.select("bin", "ahead", F.col("n").alias("bin_n"))), "bin").join(F.broadcast(total)).withColumn("keep", keep)
-    whole = placed.where(F.col("ahead") + F.col("bin_n") <= F.col("keep"))
-    edge = placed.where((F.col("ahead") < F.col("keep")) & (F.col("ahead") + F.col("bin_n") > F.col("keep")))
-    order = Window.partitionBy("bin").orderBy(F.col("d").desc(), "chunk_id")
-    cut = edge.withColumn("r", F.row_number().over(order)).where(F.col("ahead") + F.col("r") <= F.col("keep")).drop("r")
-    return whole.unionByName(cut).select("chunk_id", "n_entities", "n_tokens", "density")
+    above = cut(density(chunks, cfg).where(F.col("n_entities") >= cfg.density_min_entities).withColumn("d", F.round("density", 9)), "graph-dense")
+    total = above.count()
+    keep = max(1, int(total * cfg.density_top_fraction))
+    if not total:
+        return above.select("chunk_id", "n_entities", "n_tokens", "density")
+
+    def edge(rows: DataFrame, key: Column, left: int, falling: bool):
+        """The value of ``key`` in which the first ``left`` rows end, and how many rows come before it."""
+        sizes = rows.groupBy(key.alias("key")).agg(F.count("*").alias("n"))
+        upto = F.sum("n").over(Window.orderBy(F.col("key").desc() if falling else F.col("key").asc()).rowsBetween(Window.unboundedPreceding, 0))
+        at = sizes.withColumn("upto", upto).where(F.col("upto") >= left).orderBy("upto").first()
+        return at["key"], at["upto"] - at["n"]
+
+    coarse, head = F.floor(F.col("d") * 4), F.substring("chunk_id", 1, 4)
+    span, before = edge(above, coarse, keep, True)
+    inside = above.where(coarse == span)
+    d, more = edge(inside, F.col("d"), keep - before, True)
+    before += more
+    ties = inside.where(F.col("d") == d)
+    start, more = edge(ties, head, keep - before, False)
+    left = keep - before - more
+    last = ties.where(head == start).withColumn("r", F.row_number().over(Window.orderBy("chunk_id"))).where(F.col("r") <= left).drop("r")
+    return above.where(F.col("d") > d).unionByName(ties.where(head < start)).unionByName(last).select("chunk_id", "n_entities", "n_tokens", "density")
 
 
 # ---- parsers of model output ------------------------------------------------
 
-def parse_tagged(raw: Column | str) -> Column:
-    """Triples of '<triplet> S <subj> O <obj> R' output: kept relations only, title-cased ends, at most 8."""
+def parse_tagged(raw: Column | str, cap: int = 8) -> Column:
+    """Triples of '<triplet> S <subj> O <obj> R' output: kept relations only, title-cased ends, the first ``cap`` (0 for all)."""
     text = F.regexp_replace(raw, r"<s>|</s>|<pad>", "")
     parts = F.filter(F.split(text, "<triplet>"), lambda p: F.contains(p, F.lit("<subj>")) & F.contains(p, F.lit("<obj>")))
     cell = lambda p, i: strip(F.regexp_extract(p, r"(?s)^(.*?)<subj>(.*?)<obj>(.*)$", i))
     made = F.transform(parts, lambda p: F.struct(title_case(cell(p, 1)).alias("subject"), F.lower(cell(p, 3)).alias("predicate"), title_case(cell(p, 2)).alias("object")))
-    return F.slice(F.filter(made, lambda t: (t["subject"] != "") & (t["object"] != "") & t["predicate"].isin(*RELATIONS)), 1, TAGGED_CAP)
+    kept = F.filter(made, lambda t: (t["subject"] != "") & (t["object"] != "") & t["predicate"].isin(*RELATIONS))
+    return F.slice(kept, 1, cap) if cap else kept
 
 
-def parse_json(raw: Column | str) -> Column:
-    """Triples of a JSON array of objects, fenced or not: the first 5 items, those with all three fields."""
+def parse_json(raw: Column | str, cap: int = 5) -> Column:
+    """Triples of a JSON array of objects, fenced or not: of the first ``cap`` items (0 for all) those with all three fields, a null being none."""
     text = fence_strip(raw)
     items = F.when(F.startswith(text, F.lit("[")), F.from_json(text, "array<string>"))
-    each = F.transform(F.slice(items, 1, JSON_CAP), lambda i: F.when(F.startswith(i, F.lit("{")), F.from_json(i, "subject string, predicate string, object string")))
+    each = F.transform(F.slice(items, 1, cap) if cap else items, lambda i: F.when(F.startswith(i, F.lit("{")), F.from_json(i, "subject string, predicate string, object string")))
     made = F.transform(each, lambda t: F.struct(title_case(strip(F.coalesce(t["subject"], F.lit("")))).alias("subject"), F.lower(strip(F.coalesce(t["predicate"], F.lit("")))).alias("predicate"),
                                                 title_case(strip(F.coalesce(t["object"], F.lit("")))).alias("object")))
     return F.coalesce(F.filter(made, lambda t: (t["subject"] != "") & (t["predicate"] != "") & (t["object"] != "")), F.array().cast("array<struct<subject:string,predicate:string,object:string>>"))
@@ -106,7 +118,21 @@ def extract_triples(raw: DataFrame, extractor: str, chunks: DataFrame | None = N
         if chunks is None:
             raise ValueError("a filtered extractor needs the chunks")
         raw = raw.join(dense_chunks(chunks, cfg).select("chunk_id"), "chunk_id", "left_semi")
-    return raw.select("chunk_id", "source", F.explode(EXTRACTORS[name]("raw")).alias("t")).select("t.subject", "t.predicate", "t.object", "chunk_id", "source", F.lit(extractor).alias("extractor"))
+    cap = cfg.json_cap if name == "llm" else cfg.tagged_cap
+    return raw.select("chunk_id", "source", F.explode(EXTRACTORS[name]("raw", cap)).alias("t")).select("t.subject", "t.predicate", "t.object", "chunk_id", "source", F.lit(extractor).alias("extractor"))
+
+
+def triples_by_rule(chunks: DataFrame) -> DataFrame:
+    """Triples of neighbouring entities of a sentence: the offline stand-in for a relation model.
+
+    The words between two capitalised spans of one sentence are their relation if they
+    are one of RELATIONS, else the two are affiliated.
+    """
+    each = chunks.select("chunk_id", "source", F.explode(F.split("text", r"(?<=[.!?。！？।])\s+|\n")).alias("sentence"))
+    found = each.withColumn("spans", spans("sentence")).where(F.size("spans") > 1)
+    pair = found.select("chunk_id", "source", "sentence", F.posexplode(F.arrays_zip(F.slice("spans", 1, F.size("spans") - 1).alias("a"), F.slice("spans", 2, F.size("spans") - 1).alias("b"))).alias("pos", "p"))
+    between = F.trim(F.lower(F.element_at(F.split(F.element_at(F.split("sentence", F.concat(F.lit(r"\Q"), F.col("p.b"), F.lit(r"\E"))), 1), F.concat(F.lit(r"\Q"), F.col("p.a"), F.lit(r"\E"))), -1)))
+    return pair.select(F.col("p.a").alias("subject"), F.when(between.isin(*RELATIONS), between).otherwise("affiliation").alias("predicate"), F.col("p.b").alias("object"), "chunk_id", "source").where("subject <> object")
 
 
 # ---- building ---------------------------------------------------------------

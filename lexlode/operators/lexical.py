@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import os
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexlode.config import Settings
 from lexlode.functions.text import STOP_WORDS, words
+from lexlode.schemas import CHUNK_LENGTH, POSTING
 from lexlode.session import cut
+from lexlode.sources.store import read_table
 
 
 def distinct_chunks(chunks: DataFrame) -> DataFrame:
@@ -47,14 +51,21 @@ def term_stats(post: DataFrame, stats: DataFrame, cfg: Settings = Settings()) ->
 
 
 class Bm25Index:
-    """The stored form of the index: postings, chunk lengths and term statistics, each made once."""
+    """The index as tables: postings, chunk lengths and term statistics, made of chunks or read from a store."""
 
-    def __init__(self, chunks: DataFrame, cfg: Settings = Settings()):
+    def __init__(self, chunks: DataFrame | None = None, cfg: Settings = Settings(), stored: tuple[DataFrame, DataFrame] | None = None):
         self.cfg = cfg
-        self.postings = cut(postings(chunks), "bm25-postings")
-        self.stats = cut(doc_stats(chunks, self.postings), "bm25-stats")
+        self.postings, self.stats = stored or (cut(postings(chunks), "bm25-postings"), None)
+        if self.stats is None:
+            self.stats = cut(doc_stats(chunks, self.postings), "bm25-stats")
         self.terms = cut(term_stats(self.postings, self.stats, cfg), "bm25-terms")
 
+    @classmethod
+    def load(cls, spark: SparkSession, base: str, cfg: Settings = Settings()) -> "Bm25Index":
+        """The index that ingestion keeps below ``base``; nothing is tokenised again."""
+        at = os.path.join(base, cfg.bm25_path)
+        return cls(cfg=cfg, stored=(read_table(spark, f"{at}/postings", POSTING), read_table(spark, f"{at}/stats", CHUNK_LENGTH)))
+
     def search(self, queries: DataFrame, k: int) -> DataFrame:
         """Best ``k`` chunks of every query: query_id, chunk_id, raw, score, rank.
 

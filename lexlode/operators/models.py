@@ -11,9 +11,8 @@ from pyspark.sql import functions as F
 
 from lexlode.config import Settings
 from lexlode.functions.text import index_terms
-from lexlode.operators.orchestrate import embed_column
+from lexlode.operators.orchestrate import embed_column, query_text  # noqa: F401
 
-QUERY_PREFIX = "Represent this sentence for searching relevant passages: "
 Loader = Callable[[], Callable[[list[tuple]], list[str | None]]]
 
 
@@ -44,12 +43,6 @@ def model_column(df: DataFrame, key: str, inputs: list[str], load: Loader, out:
     return df.select(F.col(key).alias("key"), *cut).mapInArrow(run, f"key {kind}, response string").withColumnsRenamed({"key": key, "response": out})
 
 
-def query_text(query: Column | str, cfg: Settings = Settings()) -> Column:
-    """A query as it is embedded: models of the bge family want an instruction before it."""
-    q = F.col(query) if isinstance(query, str) else query
-    return F.concat(F.lit(QUERY_PREFIX), q) if "bge" in cfg.embed_model_name.lower() else q
-
-
 def scored_pairs(pairs: DataFrame, load: Loader, fallback: str = "score") -> DataFrame:
     """Scores of (query, text) pairs by a cross-encoder; where it fails, the score so far stays."""
     keyed = pairs.withColumn("pair", F.concat_ws("\u0001", F.col("query_id").cast("string"), "chunk_id"))

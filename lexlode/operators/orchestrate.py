@@ -2,15 +2,28 @@
 
 from __future__ import annotations
 
+import os
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexlode import schemas
 from lexlode.config import Settings
 from lexlode.operators import answering, fusion, graph, lexical, vectors
 from lexlode.operators.chunking import Embedder, hashing_embedder
 from lexlode.session import cut
+from lexlode.sources.store import read_table
+
+QUERY_PREFIX = "Represent this sentence for searching relevant passages: "
+
+
+def query_text(query: Column | str, cfg: Settings = Settings()) -> Column:
+    """A query as it is embedded: models of the bge family want an instruction before it."""
+    q = F.col(query) if isinstance(query, str) else query
+    return F.concat(F.lit(QUERY_PREFIX), q) if "bge" in cfg.embed_model_name.lower() else q
 
 
 def embed_column(df: DataFrame, id_col: str, text_col: str, cfg: Settings = Settings(), make=hashing_embedder, prefix: str = "") -> DataFrame:
@@ -28,33 +41,85 @@ def embed_column(df: DataFrame, id_col: str, text_col: str, cfg: Settings = Sett
     return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, embedding array<float>")
 
 
-def retrieve(queries: DataFrame, chunks: DataFrame, triples: DataFrame | None, cfg: Settings = Settings()) -> tuple[DataFrame, DataFrame]:
-    """Route, run the chosen retrievers, fuse and rerank; returns (final chunks, hit counts).
+@dataclass
+class Indexes:
+    """What the retrievers search: made of chunks and triples, or read from what ingestion stored."""
+
+    chunks: DataFrame
+    bm25: lexical.Bm25Index
+    vectors: DataFrame
+    centroids: np.ndarray | None
+    edges: DataFrame | None
+    node_chunks: DataFrame | None
+    edge_chunks: DataFrame | None
+
+    @classmethod
+    def build(cls, chunks: DataFrame, triples: DataFrame | None, cfg: Settings = Settings(), make=hashing_embedder) -> "Indexes":
+        once = lexical.distinct_chunks(chunks)
+        stored = embed_column(once, "chunk_id", "text", cfg, make).withColumnRenamed("id", "vec_id")
+        return cls(once, lexical.Bm25Index(chunks, cfg), stored, None, *cls._graph(triples, graph.chunk_entities(once), cfg))
+
+    @classmethod
+    def load(cls, spark: SparkSession, base: str, cfg: Settings = Settings()) -> "Indexes":
+        """The stores below ``base``; nothing is chunked, embedded or extracted again."""
+        chunks = read_table(spark, os.path.join(base, cfg.vectors_path), schemas.STORED_VECTOR)
+        at = os.path.join(base, cfg.graph_path)
+        triples = read_table(spark, f"{at}/triples", schemas.TRIPLE)
+        centroids = read_table(spark, os.path.join(base, cfg.vectors_path + "_cells"), CENTROID).orderBy("cell").collect()  # at most nlist rows
+        return cls(chunks.drop("vector", "cell"), lexical.Bm25Index.load(spark, base, cfg), chunks.select(F.col("chunk_id").alias("vec_id"), F.col("vector").alias("embedding"), "cell"),
+                   np.array([r.center for r in centroids]) if centroids else None, *cls._graph(triples, read_table(spark, f"{at}/entities", schemas.ENTITY), cfg))
+
+    @staticmethod
+    def _graph(triples: DataFrame | None, entities: DataFrame, cfg: Settings) -> tuple:
+        if triples is None or not cfg.graph_enabled:
+            return None, None, None
+        return cut(graph.graph_edges(triples), "retrieve-edges"), graph.node_chunks(entities), graph.edge_chunks(triples)
+
 
-    ``queries``: query_id, query. Each retriever sees only the queries routed to it.
+CENTROID = "cell int, center array<double>"
+LIST = "query_id {kind}, chunk_id string, score double, retriever string"
+
+
+def retrieve_with(queries: DataFrame, index: Indexes, cfg: Settings = Settings(), retrievers: dict | None = None, make=hashing_embedder) -> tuple[DataFrame, DataFrame, list[tuple[str, str]]]:
+    """Route, run the chosen retrievers, fuse and rerank: (final chunks, hit counts, failures).
+
+    ``queries``: query_id, query. Each retriever sees only the queries routed to it. One
+    that fails is left out, and noted as (retriever, error); the others still answer.
+    ``retrievers`` replaces or adds functions of queries that give query_id, chunk_id, score.
     """
     routed = queries.select("query_id", "query", answering.strategies_of(answering.route_by_rule("query")).alias("strategies"))
-    to = lambda name: routed.where(F.array_contains("strategies", name)).select("query_id", "query")
-    once = lexical.distinct_chunks(chunks)
     k = cfg.retrieval_top_k
-    lists = [lexical.bm25_search(to("bm25"), once, k, cfg).select("query_id", "chunk_id", "score", F.lit("bm25").alias("retriever"))]
-    stored = embed_column(once, "chunk_id", "text", cfg).withColumnRenamed("id", "vec_id")
-    asked = embed_column(to("dense"), "query_id", "query", cfg).withColumnRenamed("id", "query_id")
-    dense = vectors.dense_search(asked, stored, k).where("score > 0")
-    lists.append(dense.select("query_id", F.col("vec_id").alias("chunk_id"), "score", F.lit("dense").alias("retriever")))
-    if triples is not None and cfg.graph_enabled:
-        edges = cut(graph.graph_edges(triples), "retrieve-edges")
-        nodes = edges.select(F.explode(F.array("node_a", "node_b")).alias("label")).distinct()
-        anchors = cut(graph.anchor_nodes(graph.query_entities(to("graph")), nodes), "retrieve-anchors")
-        reached = graph.hops(anchors, edges, cfg.graph_max_hops)
-        hits = graph.graph_search(reached, edges, graph.node_chunks(graph.chunk_entities(once)), graph.edge_chunks(triples), k)
-        lists.append(hits.select("query_id", "chunk_id", "score", F.lit("graph").alias("retriever")))
-    every = lists[0]
-    for x in lists[1:]:
-        every = every.unionByName(x)
-    every = cut(every, "retrieve-lists")
+
+    def dense(asked: DataFrame) -> DataFrame:
+        texts = asked.select("query_id", query_text("query", cfg).alias("query"))
+        q = embed_column(texts, "query_id", "query", cfg, make).withColumnRenamed("id", "query_id")
+        if index.centroids is not None and cfg.nprobe < len(index.centroids):
+            hits = vectors.ivf_search(q, index.vectors, k, cfg.nlist, cfg.nprobe, index.centroids)
+        else:
+            hits = vectors.dense_search(q, index.vectors, k)
+        return hits.where("score > 0").withColumnRenamed("vec_id", "chunk_id")
+
+    def by_graph(asked: DataFrame) -> DataFrame:
+        nodes = index.edges.select(F.explode(F.array("node_a", "node_b")).alias("label")).distinct()
+        anchors = cut(graph.anchor_nodes(graph.query_entities(asked), nodes), "retrieve-anchors")
+        return graph.graph_search(graph.hops(anchors, index.edges, cfg.graph_max_hops), index.edges, index.node_chunks, index.edge_chunks, k)
+
+    known = {"bm25": lambda asked: index.bm25.search(asked, k), "dense": dense} | ({"graph": by_graph} if index.edges is not None else {}) | (retrievers or {})
+    kind = queries.schema["query_id"].dataType.simpleString()
+    every, failures = queries.sparkSession.createDataFrame([], LIST.format(kind=kind)), []
+    for name, run in known.items():
+        try:
+            asked = routed.where(F.array_contains("strategies", name)).select("query_id", "query")
+            every = every.unionByName(cut(run(asked).select("query_id", "chunk_id", "score", F.lit(name).alias("retriever")), f"retrieve-{name}"))
+        except Exception as e:  # the other retrievers must still answer
+            failures.append((name, str(e)[:500]))
     counts = every.groupBy("query_id", "retriever").agg(F.count("*").alias("hits"))
     fused = fusion.rrf_fuse(every, cfg.rrf_k, k)
-    texts = once.select("chunk_id", "source", "title", "text", "parent_text", "chunk_index")
-    ranked = fusion.rerank(fused.join(texts, "chunk_id").join(queries, "query_id"), cfg.final_top_k)
-    return ranked, counts
+    texts = index.chunks.select("chunk_id", "source", "title", "text", "parent_text", "chunk_index")
+    return fusion.rerank(fused.join(texts, "chunk_id").join(queries, "query_id"), cfg.final_top_k), counts, failures
+
+
+def retrieve(queries: DataFrame, chunks: DataFrame, triples: DataFrame | None, cfg: Settings = Settings()) -> tuple[DataFrame, DataFrame]:
+    """Retrieval over chunks and triples that are in no store: the indexes are made for this batch."""
+    final, counts, _ = retrieve_with(queries, Indexes.build(chunks, triples, cfg), cfg)
+    return final, counts

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lexlode.operators.lexical import top_k
 
-BLOCK = 512
+BLOCK, FEW_QUERIES, PART_VECTORS = 512, 4096, 100_000
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -33,77 +33,117 @@ def _best(sim: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return np.nonzero(sim >= floor - 1e-12)
 
 
-def _scan(ids: list, queries: np.ndarray, k: int, id_type: pa.DataType):
-    """The best k of each batch for each query of a block: one matrix product per batch."""
+def _hits(who: np.ndarray, at: np.ndarray, sim: np.ndarray, ids: pa.Array, vec_ids: pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([ids.take(pa.array(who)), vec_ids.take(pa.array(at)), pa.array(sim[who, at], pa.float64())], names=["query_id", "vec_id", "score"])
+
+
+def _scan(ids: pa.Array, queries: np.ndarray, k: int, block: int, cells: tuple[np.ndarray, np.ndarray] | None = None):
+    """The best k of each batch for each query, one matrix product per block of queries; with cells, only of those a query visits."""
     q = unit(queries)
 
     def run(batches: Iterator[pa.RecordBatch]):
         for b in batches:
-            if b.num_rows:
-                sim = q @ unit(matrix(b.column(1))).T
-                who, at = _best(sim, k)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([ids[w] for w in who], id_type), b.column(0).take(pa.array(at)), pa.array(sim[who, at], pa.float64())], names=["query_id", "vec_id", "score"])
+            if not b.num_rows:
+                continue
+            v, vec_ids = unit(matrix(b.column("embedding"))), b.column("vec_id")
+            own = np.asarray(b.column("cell")) if cells is not None else np.zeros(len(v), dtype=int)
+            for c in np.unique(own):
+                rows = np.flatnonzero(own == c)
+                asked = np.arange(len(q)) if cells is None else np.flatnonzero((cells[1] == c).any(axis=1))
+                for first in range(0, len(asked), block):
+                    mine = asked[first : first + block]
+                    sim = q[mine] @ v[rows].T
+                    who, at = _best(sim, k)
+                    yield pa.RecordBatch.from_arrays(
+                        [ids.take(pa.array(mine[who])), vec_ids.take(pa.array(rows[at])), pa.array(sim[who, at], pa.float64())], names=["query_id", "vec_id", "score"])
 
     return run
 
 
-def _scan_cells(ids: list, queries: np.ndarray, probes: np.ndarray, k: int, id_type: pa.DataType):
-    """The same for clustered vectors: the rows of a cell meet only the queries that visit it."""
-    q = unit(queries)
-    of = {int(c): np.flatnonzero((probes == c).any(axis=1)) for c in np.unique(probes)}
-
+def _meet(k: int, block: int):
+    """The best k of each part of the vectors for each query: a part's vectors come first, then the queries, all of them or those of its cell."""
     def run(batches: Iterator[pa.RecordBatch]):
+        now, held, v, vec_ids = None, [], None, None
         for b in batches:
-            cells, v = np.asarray(b.column(2)), unit(matrix(b.column(1))) if b.num_rows else None
-            for c in np.unique(cells):
-                mine = of.get(int(c))
-                if mine is None:
+            parts, sides = np.asarray(b.column("part")), np.asarray(b.column("side"))
+            edges = np.flatnonzero((np.diff(parts) != 0) | (np.diff(sides) != 0)) + 1
+            for lo, hi in zip([0, *edges], [*edges, len(parts)]):
+                if hi == lo:
+                    continue
+                if parts[lo] != now:
+                    now, held, v = parts[lo], [], None
+                some = b.slice(lo, hi - lo)
+                if sides[lo] == 0:
+                    held.append(some)
                     continue
-                rows = np.flatnonzero(cells == c)
-                sim = q[mine] @ v[rows].T
-                who, at = _best(sim, k)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([ids[mine[w]] for w in who], id_type), b.column(0).take(pa.array(rows[at])), pa.array(sim[who, at], pa.float64())], names=["query_id", "vec_id", "score"])
+                if not held:
+                    continue
+                if v is None:
+                    v = np.vstack([unit(matrix(h.column("embedding"))) for h in held])
+                    vec_ids = pa.concat_arrays([h.column("vec_id") for h in held])
+                for first in range(0, some.num_rows, block):
+                    q = some.slice(first, block)
+                    sim = unit(matrix(q.column("embedding"))) @ v.T
+                    who, at = _best(sim, k)
+                    yield _hits(who, at, sim, q.column("query_id"), vec_ids)
 
     return run
 
 
-def _id_type(kind: str) -> pa.DataType:
-    return {"bigint": pa.int64(), "int": pa.int32()}.get(kind, pa.string())
-
+def _pairs(asked: DataFrame, base: DataFrame, k: int, block: int, probes=None, few: int = FEW_QUERIES, part: int = PART_VECTORS) -> DataFrame:
+    """Best hits of each part of ``base`` (vec_id, embedding, and cell if ``probes`` gives the cells that queries visit).
 
-def dense_search(queries: DataFrame, stored: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
-    """Best ``k`` stored vectors of every query by cosine: query_id, vec_id, score, rank.
-
-    ``queries``: query_id, embedding; ``stored``: vec_id, embedding. Queries are taken in
-    blocks of a bounded size that are sent to the scan; each batch of the scan
-    returns only its own best, so little is shuffled. Null vectors take no part.
+    Up to ``few`` queries are sent to one scan of the vectors. More of them are copied to
+    every part of at most about ``part`` vectors that they visit, where they stream past the part's matrix:
+    the vectors are shuffled once however many queries there are.
     """
-    asked = queries.where("query_id is not null and embedding is not null").select("query_id", "embedding")
-    qk, vk = asked.schema["query_id"].dataType.simpleString(), stored.schema["vec_id"].dataType.simpleString()
-    base = stored.where("vec_id is not null and embedding is not null").select("vec_id", "embedding")
-    return top_k(_in_blocks(asked, base, f"query_id {qk}, vec_id {vk}, score double", block, lambda ids, q: _scan(ids, q, k, _id_type(qk))), "score", k, tie="vec_id")
+    qk, vk = asked.schema["query_id"].dataType.simpleString(), base.schema["vec_id"].dataType.simpleString()
+    out = f"query_id {qk}, vec_id {vk}, score double"
+    first = asked.limit(few + 1).toArrow()
+    if first.num_rows == 0:
+        return base.sparkSession.createDataFrame([], out)
+    if first.num_rows <= few:
+        ids, q = first.column("query_id").combine_chunks(), matrix(first.column("embedding"))
+        cells = None if probes is None else (None, probes(q))
+        if cells is not None:  # only the folders of visited cells are read
+            base = base.where(F.col("cell").isin([int(c) for c in np.unique(cells[1])]))
+        return base.mapInArrow(_scan(ids, q, k, block, cells), out)
+    if probes is None:
+        n = max(1, -(-base.count() // part))
+        v = base.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("long"))
+        q = asked.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
+    else:
+        sizes = F.broadcast(base.groupBy("cell").agg(F.ceil(F.count("*") / part).alias("n")))  # one row per cell
+        v = base.join(sizes, "cell").withColumn("part", F.col("cell") * 1_000_000 + F.pmod(F.xxhash64("vec_id"), F.col("n")))
+        visits = asked.mapInArrow(_visits(probes), f"query_id {qk}, embedding array<float>, cell int")
+        q = visits.join(sizes, "cell").withColumn("part", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("n") - 1), lambda i: F.col("cell") * 1_000_000 + i)))
+    none = lambda kind: F.lit(None).cast(kind)
+    rows = v.select("part", F.lit(0).alias("side"), "vec_id", none(qk).alias("query_id"), "embedding").unionByName(
+        q.select("part", F.lit(1).alias("side"), none(vk).alias("vec_id"), "query_id", "embedding"))
+    return rows.repartition("part").sortWithinPartitions("part", "side").mapInArrow(_meet(k, block), out)
+
+
+def _visits(probes):
+    def run(batches: Iterator[pa.RecordBatch]):
+        for b in batches:
+            if b.num_rows:
+                cells = probes(matrix(b.column("embedding")))
+                at = pa.array(np.repeat(np.arange(b.num_rows), cells.shape[1]))
+                yield pa.RecordBatch.from_arrays([b.column("query_id").take(at), b.column("embedding").take(at), pa.array(cells.ravel().astype(np.int32))], names=["query_id", "embedding", "cell"])
 
+    return run
 
-def _in_blocks(asked: DataFrame, base: DataFrame, schema: str, block: int, scan) -> DataFrame:
-    """Hits of all queries, taken to the scan in blocks of a bounded number."""
-    parts, rows = [], []
 
-    def part() -> None:
-        parts.append(base.mapInArrow(scan([r.query_id for r in rows], np.array([r.embedding for r in rows], dtype=np.float64)), schema))
-        rows.clear()
+def dense_search(queries: DataFrame, stored: DataFrame, k: int, block: int = BLOCK, few: int = FEW_QUERIES, part: int = PART_VECTORS) -> DataFrame:
+    """Best ``k`` stored vectors of every query by cosine: query_id, vec_id, score, rank.
 
-    for r in asked.toLocalIterator():
-        rows.append(r)
-        if len(rows) == block:
-            part()
-    if rows:
-        part()
-    out = parts[0] if parts else base.sparkSession.createDataFrame([], schema)
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    ``queries``: query_id, embedding; ``stored``: vec_id, embedding. The vectors are read
+    once for any number of queries, and each part of them returns only its own best.
+    Null vectors take no part.
+    """
+    asked = queries.where("query_id is not null and embedding is not null").select("query_id", F.col("embedding").cast("array<float>"))
+    base = stored.where("vec_id is not null and embedding is not null").select("vec_id", F.col("embedding").cast("array<float>"))
+    return top_k(_pairs(asked, base, k, block, None, few, part), "score", k, tie="vec_id")
 
 
 # ---- clustered index --------------------------------------------------------
@@ -126,7 +166,10 @@ def train_centroids(stored: DataFrame, nlist: int, sample: int = 20_000, rounds:
     n = stored.count()
     part = 1 << 40
     some = stored if n <= sample else stored.where(F.pmod(F.xxhash64("vec_id"), F.lit(part)) < F.lit(int(part * sample / n)))
-    x = unit(np.array([r.embedding for r in some.select("vec_id", "embedding").orderBy("vec_id").collect()], dtype=np.float64))
+    rows = some.select("vec_id", "embedding").orderBy("vec_id").collect()
+    if not rows:
+        return np.empty((0, 0))
+    x = unit(np.array([r.embedding for r in rows], dtype=np.float64))
     c = x[np.linspace(0, len(x) - 1, min(nlist, len(x))).astype(int)]
     for _ in range(rounds):
         near = (x @ c.T).argmax(axis=1)
@@ -142,26 +185,29 @@ def cluster(stored: DataFrame, centroids: np.ndarray) -> DataFrame:
 
 
 def write_cells(stored: DataFrame, centroids: np.ndarray, path: str) -> None:
-    """The clustered index on disk, one folder per cell, so that a search reads the cells it visits."""
+    """The clustered index on disk, one folder per cell: a search reads only the folders of the cells it visits."""
     cluster(stored, centroids).write.partitionBy("cell").parquet(path)
 
 
-def ivf_search(queries: DataFrame, stored: DataFrame, k: int, nlist: int, nprobe: int, centroids: np.ndarray | None = None, block: int = BLOCK) -> DataFrame:
+def ivf_search(queries: DataFrame, stored: DataFrame, k: int, nlist: int, nprobe: int, centroids: np.ndarray | None = None, block: int = BLOCK,
+               few: int = FEW_QUERIES, part: int = PART_VECTORS) -> DataFrame:
     """Best ``k`` of the cells nearest to each query: query_id, vec_id, score, rank.
 
     Every stored vector is indexed in the cell of its nearest centroid, and a query
     visits ``nprobe`` cells; with nprobe = nlist the result is exact. ``stored`` may hold
-    the cells already. Cells are met within the scan, so a large one is spread over its splits.
+    the cells already; those that no query visits are then pruned from the scan.
     """
-    c = centroids if centroids is not None else train_centroids(stored.where("vec_id is not null and embedding is not null"), nlist)
-    cells = stored.select("vec_id", "embedding", "cell") if "cell" in stored.columns else cluster(stored, c)
-    asked = queries.where("query_id is not null and embedding is not null").select("query_id", "embedding")
-    qk, vk = asked.schema["query_id"].dataType.simpleString(), cells.schema["vec_id"].dataType.simpleString()
+    usable = stored.where("vec_id is not null and embedding is not null")
+    c = centroids if centroids is not None else train_centroids(usable, nlist)
+    if not len(c):
+        return dense_search(queries, usable, k)
+    cells = usable.select("vec_id", F.col("embedding").cast("array<float>"), "cell") if "cell" in stored.columns else cluster(stored, c)
+    asked = queries.where("query_id is not null and embedding is not null").select("query_id", F.col("embedding").cast("array<float>"))
 
-    def scan(ids, q):
-        return _scan_cells(ids, q, np.argsort(-(unit(q) @ unit(c).T), axis=1, kind="stable")[:, :nprobe], k, _id_type(qk))
+    def probes(q: np.ndarray) -> np.ndarray:
+        return np.argsort(-(unit(q) @ unit(c).T), axis=1, kind="stable")[:, :nprobe]
 
-    return top_k(_in_blocks(asked, cells, f"query_id {qk}, vec_id {vk}, score double", block, scan), "score", k, tie="vec_id")
+    return top_k(_pairs(asked, cells, k, block, probes, few, part), "score", k, tie="vec_id")
 
 
 def vector_stats(stored: DataFrame) -> DataFrame:

@@ -102,15 +102,15 @@ def _title(e: str) -> str:
 
 _REL = ", ".join(f"'{r}'" for r in G.RELATIONS)
 _RAW = "d AS (SELECT DISTINCT chunk_id, subject, predicate, object FROM triples WHERE chunk_id IS NOT NULL AND subject IS NOT NULL AND object IS NOT NULL)"
-_SPANS = "regexp_extract_all(substr(text, 1, {0}), '\\p{{Lu}}\\p{{Ll}}+(?:[ -]\\p{{Lu}}\\p{{Ll}}+)+')"
+_SPANS = "regexp_extract_all(text, '\\p{Lu}\\p{Ll}+(?:[ -]\\p{Lu}\\p{Ll}+)+')"
 _CH = "c AS (SELECT DISTINCT ON (chunk_id) chunk_id, source, text FROM chunks)"
-_ENT = f"""{_CH}, sp AS (SELECT chunk_id, generate_subscripts(l, 1) AS pos, unnest(l) AS span FROM (SELECT chunk_id, {_SPANS.format(G.NER_CHARS)} AS l FROM c)),
+_ENT = f"""{_CH}, sp AS (SELECT chunk_id, generate_subscripts(l, 1) AS pos, unnest(l) AS span FROM (SELECT chunk_id, {_SPANS} AS l FROM c)),
 e AS (SELECT chunk_id, label, arg_min(kind, pos) AS entity_type FROM (SELECT chunk_id, pos, {_title('span')} AS label, CASE WHEN regexp_matches(span, '{G.ORG_END}') THEN 'ORG' ELSE 'PERSON' END AS kind FROM sp) WHERE length(label) >= 2 GROUP BY ALL)"""
 _TRI = f"""t AS (SELECT * FROM (SELECT DISTINCT {_title('subject')} AS subject, lower({_strip('predicate')}) AS predicate, {_title('object')} AS object, chunk_id, source, extractor FROM triples
   WHERE subject IS NOT NULL AND object IS NOT NULL) WHERE subject <> '' AND object <> '' AND predicate <> ''),
 ed AS (SELECT least(subject, object) AS node_a, greatest(subject, object) AS node_b, string_agg(DISTINCT predicate, ',' ORDER BY predicate) AS predicates, count(DISTINCT chunk_id) AS n_chunks FROM t GROUP BY 1, 2)"""
 _WORDS = "list_filter(string_split(trim(regexp_replace(lower(query), '[^\\p{L}\\p{N}_-]+', ' ', 'g')), ' '), lambda t: t <> '')"
-_QE = f"""{Q_SQL}, qw AS (SELECT query_id, list_filter(regexp_extract_all(substr(query, 1, {G.NER_CHARS}), '\\p{{Lu}}\\p{{Ll}}+(?:[ -]\\p{{Lu}}\\p{{Ll}}+)+'), lambda s: length(s) > 1) AS found, {_WORDS} AS w FROM q),
+_QE = f"""{Q_SQL}, qw AS (SELECT query_id, list_filter(regexp_extract_all(query, '\\p{{Lu}}\\p{{Ll}}+(?:[ -]\\p{{Lu}}\\p{{Ll}}+)+'), lambda s: length(s) > 1) AS found, {_WORDS} AS w FROM q),
 ql AS (SELECT query_id, CASE WHEN len(found) > 0 THEN found ELSE list_filter(list_transform(generate_series(1, greatest(len(w) - 1, 1)), lambda i: array_to_string(list_filter([w[i], w[i + 1]], lambda x: x IS NOT NULL), ' ')), lambda p: length(p) > 3) END AS l FROM qw),
 qe AS (SELECT query_id, generate_subscripts(l, 1) - 1 AS pos, unnest(l) AS raw FROM ql), ent AS (SELECT query_id, pos, {_title('raw')} AS entity FROM qe)"""
 _ANCHOR = f"""{_QE}, {_TRI}, n AS (SELECT node_a AS label FROM ed UNION SELECT node_b FROM ed),
@@ -125,13 +125,13 @@ ORACLE = {
     "triples_tagged": f"""WITH {_RAW}, r AS (SELECT chunk_id, {_title('subject')} AS subject, lower({_strip('predicate')}) AS predicate, {_title('object')} AS object,
         row_number() OVER (PARTITION BY chunk_id ORDER BY d.subject, d.predicate, d.object) AS pos FROM d),
         k AS (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY pos) AS n FROM r WHERE subject <> '' AND object <> '' AND predicate IN ({_REL}))
-        SELECT chunk_id, subject, predicate, object FROM k WHERE n <= {G.TAGGED_CAP}""",
+        SELECT chunk_id, subject, predicate, object FROM k WHERE n <= {CFG.tagged_cap}""",
     "triples_json": f"""WITH {_RAW}, r AS (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY subject, predicate, object) AS pos FROM d),
-        k AS (SELECT chunk_id, {_title('subject')} AS subject, lower({_strip('predicate')}) AS predicate, {_title('object')} AS object FROM r WHERE pos <= {G.JSON_CAP})
+        k AS (SELECT chunk_id, {_title('subject')} AS subject, lower({_strip('predicate')}) AS predicate, {_title('object')} AS object FROM r WHERE pos <= {CFG.json_cap})
         SELECT * FROM k WHERE subject <> '' AND predicate <> '' AND object <> ''""",
     "chunk_entities": f"WITH {_ENT} SELECT chunk_id, label, entity_type FROM e",
-    "density_filter": f"""WITH {_CH}, x AS (SELECT chunk_id, len({_SPANS.format(G.DENSITY_CHARS)}) AS n_entities,
-        len(list_filter(regexp_split_to_array({_strip(f'substr(text, 1, {G.DENSITY_CHARS})')}, '[\\t-\\r ]+'), lambda t: t <> '')) AS n FROM c),
+    "density_filter": f"""WITH {_CH}, x AS (SELECT chunk_id, len({_SPANS}) AS n_entities,
+        len(list_filter(regexp_split_to_array({_strip('text')}, '[\\t-\\r ]+'), lambda t: t <> '')) AS n FROM c),
         y AS (SELECT chunk_id, n_entities, CASE WHEN n > 0 THEN n_entities / n * 100 ELSE 0 END AS density FROM x WHERE n_entities >= {CFG.density_min_entities}),
         z AS (SELECT *, row_number() OVER (ORDER BY round(density, 9) DESC, chunk_id) AS r, count(*) OVER () AS total FROM y)
         SELECT chunk_id, n_entities, round(density, 6) AS density FROM z WHERE r <= greatest(1, floor(total * {CFG.density_top_fraction}))""",

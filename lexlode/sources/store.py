@@ -1,35 +1,45 @@
-"""The engine's own tables on disk: idempotent appends and tolerant reads."""
+"""The engine's own tables on disk: idempotent appends and reads."""
 
 from __future__ import annotations
 
 import os
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from lexlode.config import Settings
 from lexlode.schemas import EVAL_METRIC, QUERY_LOG, struct
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether something is stored at a path, of whatever file system."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 def read_table(spark: SparkSession, path: str, ddl: str) -> DataFrame:
-    """A stored table, or an empty one of its schema if nothing is stored."""
-    try:
-        return spark.read.schema(struct(ddl)).parquet(path)
-    except AnalysisException:
+    """A stored table, or an empty one of its schema if nothing is stored there yet.
+
+    Any other trouble (no permission, a folder that holds no table) is an error: taken for an empty
+    table it would make every row look new.
+    """
+    if not exists(spark, path):
         return spark.createDataFrame([], struct(ddl))
+    return spark.read.schema(struct(ddl)).parquet(path)
 
 
-def append_new(rows: DataFrame, path: str, ddl: str, keys: list[str]) -> int:
+def append_new(rows: DataFrame, path: str, ddl: str, keys: list[str], by: list[str] | None = None) -> int:
     """Append rows whose key is not stored yet, each key once; returns their number.
 
-    The new rows are written once and counted from what was written.
+    The store is read once, for its keys; the rows are counted while they are written,
+    in files of the advised size; ``by`` names columns that become folders.
     """
-    spark = rows.sparkSession
-    fresh = rows.dropDuplicates(keys).join(read_table(spark, path, ddl).select(*keys), keys, "left_anti")
-    before = read_table(spark, path, ddl).count()
-    fresh.select(*struct(ddl).fieldNames()).write.mode("append").parquet(path)
-    return read_table(spark, path, ddl).count() - before
+    fresh = rows.dropDuplicates(keys).join(read_table(rows.sparkSession, path, ddl).select(*keys), keys, "left_anti")
+    seen = Observation()
+    out = fresh.select(*struct(ddl).fieldNames()).observe(seen, F.count(F.lit(1)).alias("n")).hint("rebalance", *(by or []))
+    writer = out.write.mode("append")
+    (writer.partitionBy(*by) if by else writer).parquet(path)
+    return seen.get["n"]
 
 
 def append_log(rows: DataFrame, path: str, ddl: str, key: list[str]) -> None:

@@ -47,6 +47,15 @@ def test_vectors(spark, tmp_path):
     path = str(tmp_path / "cells")
     vectors.write_cells(s, c, path)
     assert {(r.query_id, r.vec_id, r.rank) for r in vectors.ivf_search(q, spark.read.parquet(path), 5, 6, 6, c, block=3).collect()} == want
+    # many queries: vectors in parts, queries streaming past them
+    assert {(r.query_id, r.vec_id, r.rank) for r in vectors.dense_search(q, s, 5, block=2, few=3, part=40).collect()} == want
+    assert {(r.query_id, r.vec_id, r.rank) for r in vectors.ivf_search(q, spark.read.parquet(path), 5, 6, 6, c, block=3, few=2, part=20).collect()} == want
+    near = {(r.query_id, r.vec_id, r.rank) for r in vectors.ivf_search(q, s, 5, 6, 2, c).collect()}
+    assert near == {(r.query_id, r.vec_id, r.rank) for r in vectors.ivf_search(q, spark.read.parquet(path), 5, 6, 2, c, few=2, part=20).collect()}
+    one = vectors.ivf_search(q.where("query_id = 1"), spark.read.parquet(path), 5, 6, 1, c)
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert f"PartitionFilters: [isnotnull(cell" in plan and f"= {int(np.argmax(c @ u[1]))})" in plan
+    assert vectors.ivf_search(q, s.limit(0), 5, 6, 2).count() == 0
     some = {(r.query_id, r.vec_id) for r in vectors.ivf_search(q, s, 5, 6, 3).collect()}
     assert len(some & {w[:2] for w in want}) >= 0.7 * len(want)
     assert vectors.dense_search(q.limit(0), s, 5).count() == 0 and vectors.dense_search(q, s.limit(0), 5).count() == 0
