@@ -53,8 +53,7 @@ def words(c: Column | str) -> Column:
 
 def index_terms(c: Column | str) -> Column:
     """Terms of the lexical index: words of two or more characters that are no stop words."""
-    stop = F.array(*(F.lit(w) for w in STOP_WORDS))
-    return F.filter(words(c), lambda t: (F.length(t) > 1) & ~F.array_contains(stop, t))
+    return F.filter(words(c), lambda t: (F.length(t) > 1) & ~t.isin(*STOP_WORDS))
 
 
 def sentences(c: Column | str) -> Column:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import os
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexlode.config import Provider, Settings
 from lexlode.functions.text import context_text, fence_strip, short_hash, snippet, strip
 from lexlode.schemas import GRADES, INTENTS
+from lexlode.session import cut
 
 # Retrievers of each intent, in order; and of a decision that could not be made.
 STRATEGIES = {
@@ -16,7 +19,7 @@ STRATEGIES = {
 }
 FALLBACK = ("dense", "bm25")
 WEB_SCORE = 0.6
-EMPTY_ANSWER = "No relevant documents found in the knowledge base."
+EMPTY_ANSWER = "Nothing stored matches this question."
 # Rules of the offline classifier: the first that matches decides.
 RULES = (
     ("comparison", r"(?i)\b(compare|versus|vs\.?|difference|unterschied|diff[eé]rence|diferencia|slower|faster|better)\b|区别|違い|лучше"),
@@ -26,6 +29,8 @@ RULES = (
 )
 PROVIDERS = (
     Provider("offline", "Extractive, offline", "", ("extractive",), needs_key=False),
+    Provider("local", "Local server", "http://localhost:11434/v1", (), needs_key=False),
+    Provider("hosted", "Hosted service named by LEXLODE_HOSTED_URL", os.environ.get("LEXLODE_HOSTED_URL", ""), ()),
     Provider("custom", "Custom endpoint", ""),
 )
 
@@ -85,7 +90,7 @@ def grade_by_score(found: DataFrame, queries: DataFrame, cfg: Settings = Setting
 def rewrite_by_rule(query: Column | str) -> Column:
     """A query without its question words: the offline rewriter; the query itself if nothing is left."""
     q = F.col(query) if isinstance(query, str) else query
-    bare = strip(F.regexp_replace(q, r"(?i)^((who|what|which|how|why|when|where|can|does|do|is|list the steps to|give me a short summary of|explain|compare)\b\s*)+|[?.!]+$", ""))
+    bare = strip(F.regexp_replace(q, r"(?i)^((who|what|which|how|why|when|where|can|does|do|is|are|please|explain|compare|describe|list|show|tell me)\b\s*)+|[?.!]+$", ""))
     return F.coalesce(F.nullif(bare, F.lit("")), q)
 
 
@@ -98,6 +103,25 @@ def web_chunks(results: DataFrame, cfg: Settings = Settings()) -> DataFrame:
                        F.lit(0).alias("chunk_index"), F.lit(WEB_SCORE).alias("score"), F.lit("web_search").alias("retriever"), F.col("n").alias("rank"))
 
 
+def first_source(queries: DataFrame, sources: list) -> DataFrame:
+    """Results of the first source that has any for a query: query_id, pos, url, title, content, source.
+
+    ``sources``: (name, function from queries to results) pairs in order. Each next
+    source is asked only for the queries that still have no usable result; one that fails counts as empty.
+    """
+    left, out = queries.select("query_id", "query"), None
+    for name, ask in sources:
+        try:
+            got = cut(ask(left).where("content <> ''").select("query_id", "pos", "url", "title", "content", F.lit(name).alias("source")), f"web-{name}")
+        except Exception:  # the next source stands in
+            continue
+        out = got if out is None else out.unionByName(got)
+        left = left.join(got.select("query_id").distinct(), "query_id", "left_anti")
+    if out is None:
+        return queries.select("query_id", F.lit(0).alias("pos"), *(F.lit("").alias(c) for c in ("url", "title", "content", "source"))).limit(0)
+    return out
+
+
 def crag_gate(grades: DataFrame, found: DataFrame, retry, web: DataFrame | None = None, cfg: Settings = Settings()) -> tuple[DataFrame, DataFrame]:
     """Corrective gate; returns (decisions, chunks).
 
@@ -165,6 +189,41 @@ def extractive_answer(ranked: DataFrame, queries: DataFrame) -> DataFrame:
     return queries.select("query_id").join(best, "query_id", "left").select("query_id", F.coalesce("answer", F.lit(EMPTY_ANSWER)).alias("answer"))
 
 
+def generated_answer(ranked: DataFrame, queries: DataFrame, load, fallback=extractive_answer) -> DataFrame:
+    """Answers of a model to the prompts of the queries with passages: query_id, answer.
+
+    ``load`` runs once per task and gives a function from (prompt,) tuples to answers. Where
+    a call fails the fallback answers, and a query without passages never reaches the model.
+    """
+    from lexlode.operators.models import model_column
+
+    prompts = prompt_context(ranked).join(queries.select("query_id", "query"), "query_id").select("query_id", user_prompt(F.col("context"), F.col("query")).alias("prompt"))
+    made = model_column(prompts, "query_id", ["prompt"], load, out="made")
+    plain = fallback(ranked, queries)
+    return plain.join(made, "query_id", "left").select("query_id", F.coalesce(F.nullif(strip("made"), F.lit("")), "answer").alias("answer"))
+
+
+def json_response(queries: DataFrame, ranked: DataFrame, decisions: DataFrame, answers: DataFrame) -> DataFrame:
+    """Response of each query as one JSON object: query_id, response.
+
+    It holds the query, the answer, the numbered sources, the grade and whether the
+    query was rewritten or the web asked. A query's sources are bounded by its top k.
+    """
+    source = F.struct(F.col("rank").alias("number"), "chunk_id", "title", "source", F.round("score", 4).alias("score"), snippet("text", 200).alias("text_snippet"))
+    listed = ranked.groupBy("query_id").agg(F.array_sort(F.collect_list(source)).alias("sources"))
+    gate = decisions.select("query_id", "grade", "rewritten_query", "web_search_used")
+    row = queries.select("query_id", "query").join(answers, "query_id").join(gate, "query_id", "left").join(listed, "query_id", "left")
+    body = F.struct("query", "answer", F.coalesce("sources", F.array()).alias("sources"), "grade", "rewritten_query", "web_search_used")
+    return row.select("query_id", F.to_json(body, {"ignoreNullFields": "false"}).alias("response"))
+
+
+def providers(spark: SparkSession, keys: dict[str, str] | None = None, catalogue: tuple[Provider, ...] = PROVIDERS) -> DataFrame:
+    """The catalogue as shown to users: id, label, models, needs_key, available (it has its key and address). Keys are not shown."""
+    ready = lambda p: (not p.needs_key or bool((keys or {}).get(p.id))) and (bool(p.base_url) or p.id in ("offline", "custom"))
+    rows = [(p.id, p.label, list(p.models), p.needs_key, ready(p)) for p in catalogue]
+    return spark.createDataFrame(rows, "id string, label string, models array<string>, needs_key boolean, available boolean")
+
+
 def context_utilisation(answer: Column | str, n_chunks: Column) -> Column:
     """Share of the passages that the answer cites, to 3 decimals; 0 without passages."""
     found = F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce(answer if isinstance(answer, Column) else F.col(answer), F.lit("")), F.lit(r"\[(\d{1,9})\]"), F.lit(1)), lambda x: x.cast("int")))

@@ -75,11 +75,8 @@ def chunk_starts(tokens: list[int], similarity: list[float], threshold: float, b
 
 
 def snap_left(text: str, pos: int) -> int:
-    while pos > 0:
-        if text[pos] in ".!?\n":
-            return pos + 1
-        pos -= 1
-    return 0
+    """Behind the last end mark in characters 1 to ``pos``, or the start of the text."""
+    return max(text.rfind(mark, 1, pos + 1) for mark in ".!?\n") + 1
 
 
 def snap_right(text: str, pos: int) -> int:

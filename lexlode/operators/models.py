@@ -10,8 +10,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexlode.config import Settings
-from lexlode.functions.text import index_terms
+from lexlode.functions.text import index_terms, sentences
+from lexlode.operators.answering import context_utilisation
 from lexlode.operators.orchestrate import embed_column, query_text  # noqa: F401
+from lexlode.schemas import EVAL_METRIC, struct
+from lexlode.session import cut
 
 Loader = Callable[[], Callable[[list[tuple]], list[str | None]]]
 
@@ -89,6 +92,42 @@ def answer_relevancy(pairs: DataFrame, cfg: Settings = Settings()) -> DataFrame:
     return q.join(a, "pair_id").select("pair_id", F.when(norm > 0, total("q", "a") / norm).otherwise(0.0).alias("answer_relevancy"))
 
 
+def answer_relevancy_by_questions(pairs: DataFrame, load: Loader, cfg: Settings = Settings()) -> DataFrame:
+    """Mean cosine of the query and the questions that a model makes of the answer: pair_id, answer_relevancy.
+
+    ``load`` gives a function from (answer,) tuples to questions, one a line. A pair for
+    which none could be made scores by its answer itself, as ``answer_relevancy`` does.
+    """
+    made = model_column(pairs.where("answer is not null"), "pair_id", ["answer"], load, out="made")
+    each = made.select("pair_id", F.posexplode(F.filter(F.split("made", "\n"), lambda x: F.trim(x) != "")).alias("pos", "question"))
+    asked = each.join(pairs.select("pair_id", "query"), "pair_id").withColumn("both", F.concat_ws("\u0001", F.col("pair_id").cast("string"), "pos"))
+    one = answer_relevancy(asked.select(F.col("both").alias("pair_id"), "query", F.col("question").alias("answer")), cfg)
+    mean = one.join(asked.select(F.col("both").alias("pair_id"), F.col("pair_id").alias("of")), "pair_id").groupBy(F.col("of").alias("pair_id")).agg(F.avg("answer_relevancy").alias("mean"))
+    return answer_relevancy(pairs, cfg).join(mean, "pair_id", "left").select("pair_id", F.coalesce("mean", "answer_relevancy").alias("answer_relevancy"))
+
+
+def evaluate(pairs: DataFrame, chunks: DataFrame, scores: DataFrame, metrics: DataFrame, now: float, cfg: Settings = Settings(), load: Loader | None = None) -> DataFrame:
+    """Metric rows (schema EVAL_METRIC) of the logged answers that have none yet; nothing if evaluation is off.
+
+    ``pairs``: pair_id, query_log_id, query, answer, chunk_ids; ``scores``: query_log_id, mean_chunk_score;
+    ``metrics``: the rows so far. A log answered twice is evaluated once, by its lesser
+    pair_id. A metric that a pair gives no ground for is null. With ``load`` the relevancy is
+    judged by questions made of the answer.
+    """
+    work = pairs.where("answer is not null and query_log_id is not null").join(metrics.select("query_log_id").distinct(), "query_log_id", "left_anti")
+    work = work.limit(0) if not cfg.eval_enabled else work
+    first = work.groupBy("query_log_id").agg(F.min("pair_id").alias("pair_id"))
+    work = cut(work.join(first, ["query_log_id", "pair_id"]).select("pair_id", "query_log_id", "query", "answer", "chunk_ids", sentences("answer").alias("claim")), "evaluate-work")
+    once = chunks.dropDuplicates(["chunk_id"])
+    relevancy = answer_relevancy_by_questions(work, load, cfg) if load else answer_relevancy(work, cfg)
+    used = work.select("pair_id", context_utilisation("answer", F.size("chunk_ids")).alias("context_utilisation"))
+    rows = work.select("pair_id", "query_log_id")
+    for part in (faithfulness(claims_by_overlap(work, once)), relevancy, context_precision(marks_by_overlap(work, once)), used):
+        rows = rows.join(part, "pair_id", "left")
+    rows = rows.join(scores.groupBy("query_log_id").agg(F.min("mean_chunk_score").alias("mean_chunk_score")), "query_log_id", "left").withColumn("timestamp", F.lit(float(now)))
+    return rows.withColumn("id", F.xxhash64("timestamp", "query_log_id").bitwiseAND(F.lit((1 << 62) - 1))).select(*struct(EVAL_METRIC).fieldNames())
+
+
 # ---- requests and responses -------------------------------------------------
 
 def validate_requests(requests: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import os
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexlode.config import Settings
 from lexlode.functions.text import short_hash, strip
-from lexlode.schemas import GRADES
+from lexlode.schemas import CACHE, GRADES, struct
+from lexlode.session import cut
+from lexlode.sources.store import read_table
 
 METRICS = ("faithfulness", "answer_relevancy", "context_precision", "context_utilisation", "mean_chunk_score")
 
@@ -141,3 +145,46 @@ def cache_lookup(queries: DataFrame, cache: DataFrame, now: float, cfg: Settings
 def cache_without(cache: DataFrame, keys: DataFrame | None = None) -> DataFrame:
     """The cache without some keys, or emptied."""
     return cache.limit(0) if keys is None else cache.join(keys.select("key").distinct(), "key", "left_anti")
+
+
+def cached_answers(queries: DataFrame, cache: DataFrame, now: float, live, cfg: Settings = Settings()) -> tuple[DataFrame, DataFrame]:
+    """Answer a batch from the cache, and what is not in it live: (answers, rows to store).
+
+    ``live`` takes the queries that missed (query_id, query) and gives query_id, payload; each
+    key is asked once, however many queries share it. Answers: query_id, key, hit, payload.
+    Empty payloads are answers but are not stored.
+    """
+    asked = queries.select("query_id", "query", _key(cfg).alias("key"))
+    known = cache.where((F.lit(now) - F.col("written_at") < cfg.cache_ttl_seconds) & (F.col("written_at") <= now)).select("key", F.col("payload").alias("stored"))
+    found = cut(asked.join(known, "key", "left"), "cache-found")
+    missed = found.where("stored is null").groupBy("key").agg(F.min_by(F.struct("query_id", "query"), "query_id").alias("q")).select("key", "q.query_id", "q.query")
+    made = cut(live(missed.select("query_id", "query")).join(missed.select("query_id", "key"), "query_id").select("key", F.col("payload").alias("made")), "cache-made")
+    answers = found.join(made, "key", "left").select("query_id", "key", F.col("stored").isNotNull().alias("hit"), F.coalesce("stored", "made").alias("payload"))
+    fresh = made.where("made is not null and made not in ('', '[]', '{}')").select("key", F.col("made").alias("payload"), F.lit(float(now)).alias("written_at"))
+    return answers, fresh
+
+
+def store_cache(fresh: DataFrame, base: str) -> None:
+    """Append answers to the stored cache; the latest of a key counts when it is read."""
+    fresh.select(*struct(CACHE).fieldNames()).write.mode("append").parquet(os.path.join(base, "cache"))
+
+
+def stored_cache(spark: SparkSession, base: str) -> DataFrame:
+    """The stored cache, of each key the latest answer."""
+    rows = read_table(spark, os.path.join(base, "cache"), CACHE)
+    return rows.groupBy("key").agg(F.max_by("payload", "written_at").alias("payload"), F.max("written_at").alias("written_at"))
+
+
+# ---- the whole report -------------------------------------------------------
+
+def metrics_bundle(logs: DataFrame, metrics: DataFrame, now: float, days: int, n: int) -> DataFrame:
+    """All reports as rows of JSON: section (summary, grades, strategies, timeseries, recent, cache), payload.
+
+    Each section is small by itself: one row, known grades, lists of retrievers, hours, or the latest ``n``.
+    """
+    row = lambda df, section: df.select(F.lit(section).alias("section"), F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("payload"))
+    parts = {"grades": grade_mix(logs), "strategies": strategy_mix(logs), "timeseries": timeseries(logs, metrics, now, days), "recent": recent(logs, metrics, n), "cache": cache_totals(cache_replay(logs))}
+    out = row(summary(logs, metrics), "summary")
+    for section, df in parts.items():
+        out = out.unionByName(row(df, section))
+    return out

@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexlode.config import Settings
+from lexlode import schemas
 from lexlode.operators import answering as A
-from lexlode.operators import orchestrate
+from lexlode.operators import fusion, lexical, orchestrate
+from lexlode.operators.ingest import ingest
+from lexlode.plans.chunking import documents
+from lexlode.plans.graph import GRAPH_SQL
 from lexlode.plans.reporting import logs
-from lexlode.plans.retrieval import Q_SQL, RERANK_SQL, queries, reranked
-from lexlode.session import cut
+from lexlode.plans.retrieval import CONTEXT_SQL, FUSE_SQL, Q_SQL, RERANK_SQL, index_sql, queries, reranked, search_sql
+from lexlode.plans.text import terms_sql
+from lexlode.session import cut, shared_dir
+from lexlode.sources.store import read_table
 from lexlode.sources.tables import table
 
 CFG = Settings()
@@ -64,8 +72,12 @@ def _gate(spark, sf_dir):
     q, found = queries(spark, sf_dir), ranked(spark, sf_dir)
     grades = A.grade_by_score(found, q)
 
+    index, c = lexical.Bm25Index(table(spark, sf_dir, "chunks"), CFG), lexical.distinct_chunks(table(spark, sf_dir, "chunks"))
+
     def retry(redone):
-        again = found.join(redone.select("query_id"), "query_id", "left_semi").where("score > 0.2")
+        """Retrieve once more with the rewritten queries, and grade what comes."""
+        hits = index.search(redone, CFG.retrieval_top_k).select("query_id", "chunk_id", "score", "rank")
+        again = cut(fusion.rerank(hits.join(c.select("chunk_id", "source", "title", "text", "parent_text"), "chunk_id").join(redone, "query_id"), CFG.final_top_k), "gate-again")
         return again, A.grade_by_score(again, redone)
 
     return A.crag_gate(grades, found, retry, A.web_chunks(_web(spark, sf_dir))), found, q
@@ -119,17 +131,79 @@ def retriever_hits(spark, sf_dir):
     return orchestrate.retrieve(queries(spark, sf_dir), table(spark, sf_dir, "chunks"), table(spark, sf_dir, "triples"))[1]
 
 
+def retrieve_stored(spark, sf_dir):
+    """Ingest the documents, retrieve over the stores and over the same chunks without them: rows of both, and how many are the same."""
+    base, cfg = f"{shared_dir(spark)}/store-{uuid.uuid4().hex}", Settings(nprobe=CFG.nlist, text_chars=0, field_chars=0)
+    ingest(documents(spark, sf_dir), base, cfg)
+    q, keys = queries(spark, sf_dir), ["query_id", "chunk_id", "retriever", "rank", "score"]
+    rows = lambda index: cut(orchestrate.retrieve_with(q, index, cfg)[0].withColumn("score", F.round("score", 9)).select(*keys), "stored-rows")
+    from_store = rows(orchestrate.Indexes.load(spark, base, cfg))
+    chunks = read_table(spark, f"{base}/vectors", schemas.STORED_VECTOR).drop("vector", "cell")
+    built = rows(orchestrate.Indexes.build(chunks, read_table(spark, f"{base}/graph/triples", schemas.TRIPLE), cfg))
+    count = lambda df, name: df.agg(F.count("*").alias(name))
+    return count(from_store, "n_stored").join(F.broadcast(count(built, "n_built"))).join(F.broadcast(count(from_store.intersect(built), "n_same")))
+
+
+def web_first_source(spark, sf_dir):
+    """Three sources in turn: one that is down, one that knows two queries of three, and one that knows them all."""
+    def down(asked):
+        raise ConnectionError("no network")
+
+    some = lambda asked: _web(spark, sf_dir).join(asked.where("query_id % 3 <> 0").select("query_id"), "query_id", "left_semi")
+    every = lambda asked: _web(spark, sf_dir).join(asked.select("query_id"), "query_id", "left_semi")
+    got = A.first_source(queries(spark, sf_dir), [("down", down), ("some", some), ("every", every)])
+    return got.select("query_id", F.col("pos").cast("long").alias("pos"), "url", "source")
+
+
+def json_responses(spark, sf_dir):
+    """Responses read back from their JSON."""
+    (decisions, _), found, q = _gate(spark, sf_dir)
+    made = A.json_response(q, found, decisions, A.extractive_answer(found, q))
+    j = F.from_json("response", "query string, answer string, sources array<struct<number:int,chunk_id:string>>, grade string, rewritten_query string, web_search_used boolean")
+    read = made.select("query_id", j.alias("j"))
+    return read.select("query_id", "j.query", "j.grade", "j.web_search_used", F.array_join(F.transform("j.sources", lambda s: s["chunk_id"]), ",").alias("sources"), F.col("j.answer").isNotNull().alias("answered"))
+
+
+def provider_list(spark, sf_dir):
+    return A.providers(spark, {"custom": "a key"}).select("id", "needs_key", "available")
+
+
 QUERIES = {f.__name__: f for f in (route_queries, parse_routing, dispatch, parse_grade, web_chunks, crag_gate, prompt_context, sources_block, citations, extractive_answers,
-                                   context_utilisation, mean_chunk_score, sse_events, retrieve, retriever_hits)}
+                                   context_utilisation, mean_chunk_score, sse_events, retrieve, retriever_hits, retrieve_stored, web_first_source, json_responses, provider_list)}
 
 _L = "l AS (SELECT DISTINCT ON (id) * FROM query_logs)"
 _CASE = "CASE " + " ".join("WHEN regexp_matches(query, '" + r.replace("'", "''") + f"') THEN '{i}'" for i, r in A.RULES) + " ELSE 'factual_lookup' END"
 _STRAT = "CASE intent " + " ".join(f"WHEN '{k}' THEN '{','.join(v)}'" for k, v in A.STRATEGIES.items()) + " END"
-_GRADES = f"""{RERANK_SQL}, b AS (SELECT query_id, max(score) AS best, max(CASE WHEN score > 0.2 THEN score END) AS again, count(*) AS n, sum((score > 0.2)::INT) AS n_again FROM final GROUP BY 1),
-g AS (SELECT q.query_id, q.query, best, again, coalesce(n, 0) AS n, coalesce(n_again, 0) AS n_again, CASE WHEN n IS NULL OR best <= 0 THEN 'ABSENT' WHEN best < {CFG.crag_relevance_threshold} THEN 'POOR' ELSE 'GOOD' END AS grade FROM q LEFT JOIN b USING (query_id)),
-d AS (SELECT *, CASE WHEN grade = 'POOR' THEN CASE WHEN again IS NULL THEN 'ABSENT' WHEN again < {CFG.crag_relevance_threshold} THEN 'POOR' ELSE 'GOOD' END ELSE grade END AS final_grade FROM g)"""
-_REWRITE = """coalesce(nullif(trim(regexp_replace(query, '(?i)^((who|what|which|how|why|when|where|can|does|do|is|list the steps to|give me a short summary of|explain|compare)\\b\\s*)+|[?.!]+$', '', 'g')), ''), query)"""
+_REWRITE = r"""coalesce(nullif(regexp_replace(regexp_replace(query, '(?i)^((who|what|which|how|why|when|where|can|does|do|is|are|please|explain|compare|describe|list|show|tell me)\b\s*)+|[?.!]+$', '', 'g'), '^\s+|\s+$', '', 'g'), ''), query)"""
+_GRADES = f"""{RERANK_SQL}, b AS (SELECT query_id, max(score) AS best, count(*) AS n FROM final GROUP BY 1),
+g0 AS (SELECT q.query_id, q.query, best, coalesce(n, 0) AS n, CASE WHEN n IS NULL OR best <= 0 THEN 'ABSENT' WHEN best < {CFG.crag_relevance_threshold} THEN 'POOR' ELSE 'GOOD' END AS grade FROM q LEFT JOIN b USING (query_id)),
+q2 AS (SELECT query_id, {_REWRITE} AS query FROM g0 WHERE grade = 'POOR'), {search_sql('t', CFG.retrieval_top_k, 'q2', 'again')},
+pair2 AS (SELECT x.query_id, x.chunk_id, x.rank, list_distinct({terms_sql('query')}) AS ql, {terms_sql('ctx')} AS cl FROM tagain_hits x JOIN ctx USING (chunk_id) JOIN q2 USING (query_id)),
+sc2 AS (SELECT *, CASE WHEN len(ql) > 0 THEN CAST(len(list_intersect(ql, cl)) AS DOUBLE) / len(ql) ELSE 0 END AS score FROM pair2),
+f2 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, rank, chunk_id) AS r FROM sc2) WHERE r <= {CFG.final_top_k}),
+b2 AS (SELECT query_id, max(score) AS again, count(*) AS n_again FROM f2 GROUP BY 1),
+g AS (SELECT g0.*, again, coalesce(n_again, 0) AS n_again FROM g0 LEFT JOIN b2 USING (query_id)),
+d AS (SELECT *, CASE WHEN grade = 'POOR' THEN CASE WHEN again IS NULL OR again <= 0 THEN 'ABSENT' WHEN again < {CFG.crag_relevance_threshold} THEN 'POOR' ELSE 'GOOD' END ELSE grade END AS final_grade FROM g)"""
+_BUCKET = f"CAST(('0x' || substr(md5(term), 1, 8)) AS BIGINT) % {CFG.embed_dim}"
+_K = CFG.retrieval_top_k
+_RETRIEVE = f"""{GRAPH_SQL}, {index_sql('t', "coalesce(text, '')")}, {search_sql('t', _K)},
+ro AS (SELECT query_id, {_STRAT} AS strategies FROM (SELECT query_id, {_CASE} AS intent FROM q)),
+cv AS (SELECT chunk_id, {_BUCKET} AS bucket, CAST(count(*) AS DOUBLE) AS w FROM (SELECT chunk_id, unnest(l) AS term FROM t_c) GROUP BY ALL),
+qv AS (SELECT query_id, {_BUCKET} AS bucket, CAST(count(*) AS DOUBLE) AS w FROM (SELECT query_id, unnest({terms_sql('query')}) AS term FROM q) GROUP BY ALL),
+cn AS (SELECT chunk_id, sqrt(sum(w * w)) AS norm FROM cv GROUP BY 1), qn AS (SELECT query_id, sqrt(sum(w * w)) AS norm FROM qv GROUP BY 1),
+dn AS (SELECT query_id, chunk_id, sum(qv.w * cv.w) / (any_value(qn.norm) * any_value(cn.norm)) AS score FROM qv JOIN cv USING (bucket) JOIN cn USING (chunk_id) JOIN qn USING (query_id) GROUP BY ALL),
+dr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM dn),
+lists AS (SELECT query_id, chunk_id, score, 'bm25' AS retriever FROM t_hits JOIN ro USING (query_id) WHERE contains(strategies, 'bm25')
+  UNION ALL SELECT query_id, chunk_id, score, 'dense' FROM dr JOIN ro USING (query_id) WHERE rank <= {_K} AND contains(strategies, 'dense')
+  UNION ALL SELECT query_id, chunk_id, score, 'graph' FROM gs JOIN ro USING (query_id) WHERE contains(strategies, 'graph')),{FUSE_SQL}{CONTEXT_SQL}"""
 ORACLE = {
+    "retrieve": f"WITH {_RETRIEVE} SELECT query_id, chunk_id, retriever, rank, round(score, 9) AS score, round(rrf, 9) AS rrf_score FROM final",
+    "retriever_hits": f"WITH {_RETRIEVE} SELECT query_id, retriever, count(*) AS hits FROM lists GROUP BY ALL",
+    "web_first_source": f"""WITH {Q_SQL} SELECT query_id, i AS pos, 'https://example.org/' || i || '/' || query_id AS url, CASE WHEN query_id % 3 <> 0 THEN 'some' ELSE 'every' END AS source
+        FROM q, range(2) t(i) WHERE NOT (query_id % 3 = 0 AND i = 1)""",
+    "json_responses": f"""WITH {_GRADES}, so AS (SELECT query_id, string_agg(chunk_id, ',' ORDER BY rank) AS sources FROM final GROUP BY 1)
+        SELECT query_id, query, final_grade AS grade, grade = 'ABSENT' AS web_search_used, coalesce(sources, '') AS sources, true AS answered FROM d LEFT JOIN so USING (query_id)""",
+    "provider_list": "SELECT * FROM (VALUES ('offline', false, true), ('local', false, true), ('hosted', true, false), ('custom', true, true)) v(id, needs_key, available)",
     "route_queries": f"WITH {_L}, r AS (SELECT id, {_CASE} AS intent FROM l WHERE query IS NOT NULL) SELECT id, intent, {_STRAT} AS strategies FROM r",
     "parse_routing": f"""WITH {_L}, r AS (SELECT id, CASE WHEN id % 5 = 1 THEN 'factual_lookup' WHEN id % 5 = 2 OR intent IS NULL THEN 'none' ELSE intent END AS intent, id % 5 AS m FROM l)
         SELECT id, CASE WHEN intent = 'none' THEN 'factual_lookup' ELSE intent END AS intent, coalesce({_STRAT}, 'dense,bm25') AS strategies, CASE WHEN intent = 'none' THEN 0e0 WHEN m = 1 THEN 0.4e0 ELSE 0.9e0 END AS confidence FROM r""",

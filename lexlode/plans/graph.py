@@ -121,6 +121,13 @@ an AS (SELECT * FROM (SELECT query_id, label, row_number() OVER (PARTITION BY qu
 _HOPS = f"""{_ANCHOR}, nb AS (SELECT node_a AS label, node_b AS nxt FROM ed WHERE node_a <> node_b UNION ALL SELECT node_b, node_a FROM ed WHERE node_a <> node_b),
 h1 AS (SELECT query_id, nxt AS label, 1 AS d FROM an JOIN nb USING (label)), h2 AS (SELECT query_id, nxt AS label, 2 AS d FROM (SELECT DISTINCT query_id, label FROM h1) JOIN nb USING (label)),
 h AS (SELECT query_id, label, min(d) AS d FROM (SELECT query_id, label, 0 AS d FROM an UNION ALL SELECT * FROM h1 UNION ALL SELECT * FROM h2) GROUP BY ALL)"""
+GRAPH_SQL = f"""{_ENT}, {_HOPS},
+        ns AS (SELECT query_id, chunk_id, pow(0.5e0, d) AS score FROM h JOIN e USING (label)),
+        ne AS (SELECT query_id, node_a, node_b, min(d) AS d FROM (SELECT query_id, node_a, node_b, d FROM h JOIN ed ON label = node_a UNION ALL SELECT query_id, node_a, node_b, d FROM h JOIN ed ON label = node_b) GROUP BY ALL),
+        ec AS (SELECT DISTINCT least(subject, object) AS node_a, greatest(subject, object) AS node_b, chunk_id FROM t WHERE chunk_id IS NOT NULL),
+        es AS (SELECT query_id, chunk_id, 0.8e0 * pow(0.5e0, d) AS score FROM ne JOIN ec USING (node_a, node_b)),
+        mx AS (SELECT query_id, chunk_id, max(score) AS score FROM (SELECT * FROM ns UNION ALL SELECT * FROM es) GROUP BY ALL),
+        gs AS (SELECT * FROM (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM mx) WHERE rank <= {K})"""
 ORACLE = {
     "triples_tagged": f"""WITH {_RAW}, r AS (SELECT chunk_id, {_title('subject')} AS subject, lower({_strip('predicate')}) AS predicate, {_title('object')} AS object,
         row_number() OVER (PARTITION BY chunk_id ORDER BY d.subject, d.predicate, d.object) AS pos FROM d),
@@ -141,11 +148,5 @@ ORACLE = {
     "graph_edges": f"WITH {_TRI} SELECT * FROM ed",
     "anchor_nodes": f"WITH {_ANCHOR} SELECT * FROM an",
     "khop_scores": f"WITH {_HOPS} SELECT query_id, label, pow(0.5e0, d) AS score FROM h",
-    "graph_search": f"""WITH {_ENT}, {_HOPS},
-        ns AS (SELECT query_id, chunk_id, pow(0.5e0, d) AS score FROM h JOIN e USING (label)),
-        ne AS (SELECT query_id, node_a, node_b, min(d) AS d FROM (SELECT query_id, node_a, node_b, d FROM h JOIN ed ON label = node_a UNION ALL SELECT query_id, node_a, node_b, d FROM h JOIN ed ON label = node_b) GROUP BY ALL),
-        ec AS (SELECT DISTINCT least(subject, object) AS node_a, greatest(subject, object) AS node_b, chunk_id FROM t WHERE chunk_id IS NOT NULL),
-        es AS (SELECT query_id, chunk_id, 0.8e0 * pow(0.5e0, d) AS score FROM ne JOIN ec USING (node_a, node_b)),
-        mx AS (SELECT query_id, chunk_id, max(score) AS score FROM (SELECT * FROM ns UNION ALL SELECT * FROM es) GROUP BY ALL)
-        SELECT * FROM (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM mx) WHERE rank <= {K}""",
+    "graph_search": f"WITH {GRAPH_SQL} SELECT query_id, chunk_id, score, rank FROM gs",
 }

@@ -8,6 +8,7 @@ from lexlode.config import Settings
 from lexlode.functions import text as X
 from lexlode.operators import models as M
 from lexlode.operators.lexical import distinct_chunks
+from lexlode.plans.answering import ORACLE as ANSWER_SQL
 from lexlode.plans.answering import ranked
 from lexlode.plans.reporting import logs
 from lexlode.plans.retrieval import RERANK_SQL
@@ -50,7 +51,15 @@ def query_turns(spark, sf_dir):
     return M.replay(t).select("id", F.col("number").cast("long").alias("number"), "before")
 
 
-QUERIES = {f.__name__: f for f in (faithfulness, context_precision, answer_relevancy, request_validation, grader_passages, query_turns)}
+def evaluate_answers(spark, sf_dir):
+    """Metric rows of the logged answers that have none yet."""
+    pairs = table(spark, sf_dir, "eval_inputs").select("pair_id", "query_log_id", "query", "answer", "chunk_ids")
+    scores = logs(spark, sf_dir).select(F.col("id").alias("query_log_id"), F.col("top_chunk_score").alias("mean_chunk_score"))
+    rows = M.evaluate(pairs, table(spark, sf_dir, "chunks"), scores, table(spark, sf_dir, "eval_metrics"), 0.0)
+    return rows.select("query_log_id", *(F.round(c, 9).alias(c) for c in ("faithfulness", "answer_relevancy", "context_precision", "context_utilisation", "mean_chunk_score")))
+
+
+QUERIES = {f.__name__: f for f in (faithfulness, context_precision, answer_relevancy, evaluate_answers, request_validation, grader_passages, query_turns)}
 
 _P = f"p AS (SELECT pair_id, query, answer, {sentences_sql('answer')} AS claims, chunk_ids FROM eval_inputs WHERE answer IS NOT NULL)"
 _C = f"c AS (SELECT DISTINCT ON (chunk_id) chunk_id, {terms_sql('text')} AS t FROM chunks)"
@@ -69,3 +78,9 @@ ORACLE = {
     "grader_passages": f"WITH {RERANK_SQL} SELECT query_id, string_agg('[' || rank || '] ' || substr(text, 1, 400), chr(10) || chr(10) ORDER BY rank) AS passages FROM final WHERE rank <= 5 GROUP BY 1",
     "query_turns": """WITH l AS (SELECT DISTINCT ON (id) * FROM query_logs) SELECT id, row_number() OVER w AS number, lag(query) OVER w AS before FROM l WINDOW w AS (PARTITION BY coalesce(model, '') || '/' || CAST(floor("timestamp" / 86400) AS BIGINT) ORDER BY id)""",
 }
+UTILISATION_SQL = ANSWER_SQL["context_utilisation"]
+ORACLE["evaluate_answers"] = f"""WITH f AS ({ORACLE["faithfulness"]}), a AS ({ORACLE["answer_relevancy"]}), x AS ({ORACLE["context_precision"]}), u AS ({UTILISATION_SQL}),
+w AS (SELECT query_log_id, min(pair_id) AS pair_id FROM eval_inputs WHERE answer IS NOT NULL AND query_log_id NOT IN (SELECT query_log_id FROM eval_metrics) GROUP BY 1),
+s AS (SELECT DISTINCT ON (id) id, round(top_chunk_score, 9) AS mean_chunk_score FROM query_logs)
+SELECT query_log_id, faithfulness, answer_relevancy, context_precision, round(context_utilisation, 9) AS context_utilisation, mean_chunk_score
+FROM w LEFT JOIN f USING (pair_id) LEFT JOIN a USING (pair_id) LEFT JOIN x USING (pair_id) LEFT JOIN u USING (pair_id) LEFT JOIN s ON s.id = query_log_id"""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from lexlode.config import Settings
 from lexlode.functions.text import SPACE
 from lexlode.operators import reporting as R
 from lexlode.plans.retrieval import Q_SQL, queries
+from lexlode.session import shared_dir
 from lexlode.sources.tables import table
 
 CFG = Settings()
@@ -73,7 +76,26 @@ def cache_flush(spark, sf_dir):
     return R.cache_without(R.cache_table(logs(spark, sf_dir)), keys).select("key", "written_at")
 
 
-QUERIES = {f.__name__: f for f in (eval_summary, grade_dist, strategy_dist, percent_mix, recent_queries, metric_timeseries, unevaluated_logs, cache_replay, cache_stats, cache_lookup, cache_flush)}
+def cached_answers(spark, sf_dir):
+    """A batch at one moment: stored answers, live ones for the rest, and a second batch that finds them stored."""
+    now, base = NOW - 86400 * 2, f"{shared_dir(spark)}/cache-{uuid.uuid4().hex}"
+    R.store_cache(R.cache_table(logs(spark, sf_dir).where(F.col("timestamp") <= now)), base)
+    live = lambda missed: missed.select("query_id", F.to_json(F.struct(F.length("query").alias("n"))).alias("payload"))
+    first, fresh = R.cached_answers(queries(spark, sf_dir), R.stored_cache(spark, base), now, live)
+    R.store_cache(fresh, base)
+    again, _ = R.cached_answers(queries(spark, sf_dir), R.stored_cache(spark, base), now + 1, live)
+    return first.join(again.select("query_id", F.col("hit").alias("hit_again"), F.col("payload").alias("payload_again")), "query_id").select(
+        "query_id", "key", "hit", "hit_again", (F.col("payload") == F.col("payload_again")).alias("same"))
+
+
+def metrics_bundle(spark, sf_dir):
+    """The sections of the whole report: number of rows, and one value of the summary and of the cache."""
+    b = R.metrics_bundle(logs(spark, sf_dir), metrics(spark, sf_dir), NOW, DAYS, RECENT)
+    value = F.when(F.col("section") == "summary", F.get_json_object("payload", "$.total_queries")).when(F.col("section") == "cache", F.get_json_object("payload", "$.hits"))
+    return b.groupBy("section").agg(F.count("*").alias("n"), F.max(value.cast("long")).alias("value"))
+
+
+QUERIES = {f.__name__: f for f in (eval_summary, grade_dist, strategy_dist, percent_mix, recent_queries, metric_timeseries, unevaluated_logs, cache_replay, cache_stats, cache_lookup, cache_flush, cached_answers, metrics_bundle)}
 
 _L = "l AS (SELECT DISTINCT ON (id) * FROM query_logs), m AS (SELECT DISTINCT ON (id) * FROM eval_metrics)"
 _KEY = f"substr(sha256(lower(regexp_replace(query, '^[{SPACE}]+|[{SPACE}]+$', '', 'g')) || ':{CFG.final_top_k}'), 1, 24)"
@@ -99,4 +121,9 @@ ORACLE = {
     "cache_lookup": f"""WITH {_L}, {Q_SQL}, c AS (SELECT {_KEY} AS key, max(timestamp) AS w FROM l WHERE num_chunks > 0 AND timestamp <= {NOW - 172800} GROUP BY 1)
         SELECT query_id, {_KEY} AS key, EXISTS (SELECT 1 FROM c WHERE c.key = {_KEY} AND {NOW - 172800} - w < {CFG.cache_ttl_seconds}) AS hit FROM q""",
     "cache_flush": f"WITH {_L}, {Q_SQL} SELECT {_KEY} AS key, max(timestamp) AS written_at FROM l WHERE num_chunks > 0 AND {_KEY} NOT IN (SELECT {_KEY} FROM q) GROUP BY 1",
+    "cached_answers": f"""WITH {_L}, {Q_SQL}, c AS (SELECT {_KEY} AS key, max(timestamp) AS w FROM l WHERE num_chunks > 0 AND timestamp <= {NOW - 172800} GROUP BY 1)
+        SELECT query_id, {_KEY} AS key, EXISTS (SELECT 1 FROM c WHERE c.key = {_KEY} AND {NOW - 172800} - w < {CFG.cache_ttl_seconds}) AS hit, true AS hit_again, true AS same FROM q""",
+    "metrics_bundle": _REPLAY + f""", t AS (SELECT DISTINCT CAST(floor((l.timestamp - {NOW - DAYS * 86400}) / 3600) AS BIGINT) AS h FROM l JOIN m ON m.query_log_id = l.id WHERE l.timestamp > {NOW - DAYS * 86400})
+        SELECT 'summary' AS section, 1 AS n, (SELECT count(*) FROM l) AS value UNION ALL SELECT 'grades', 3, NULL UNION ALL SELECT 'strategies', (SELECT count(DISTINCT strategies) FROM l), NULL
+        UNION ALL SELECT 'timeseries', (SELECT count(*) FROM t), NULL UNION ALL SELECT 'recent', (SELECT least({RECENT}, count(*)) FROM l), NULL UNION ALL SELECT 'cache', 1, (SELECT CAST(sum(hit::INT) AS BIGINT) FROM r)""",
 }
