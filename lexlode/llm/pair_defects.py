@@ -64,6 +64,8 @@ _NOT = re.compile(r"[\W_]+")
 _WORD = re.compile(r"[^\W_]+")
 _MARKED = re.compile("\x01|(?:[^\\W_]|[\u0300-\u036f\u064b-\u065f\u0900-\u0903\u093a-\u094f\u0e31-\u0e3a\u0e47-\u0e4e])+")
 _KANA = re.compile("[぀-ヿ]")
+_TAG = re.compile(r"<[^>]*>|&\w+;")
+_LETTER = re.compile(r"[^\W_]")
 _CITE = re.compile(r"(\s*\[\d+\])+\s*$")
 _LEAD = re.compile(r"^\W*(q|question|query|answer|a|you asked|frage|pregunta|вопрос)\s*[:：]\s*", re.I)
 _ITEM = re.compile(r"^\s*(?:[-*•]|\d{1,3}[.)])(?:\s+|$)")
@@ -74,6 +76,7 @@ _MODEL = fit([])
 
 
 def norm(text: str) -> str:
+    """Letters and digits of a text, in lower case."""
     return _NOT.sub("", text.casefold())
 
 
@@ -274,28 +277,45 @@ def train_wording(clauses_: list[str], folds: int = FOLDS) -> tuple[Wording, lis
     return Wording.fit(texts, labels, _balanced(labels, doubt, group)), parts, dict(zip(texts, fold.tolist())), taken
 
 
-def clause_features(query: str, answer: str, ends_known: bool) -> tuple[list[str], list[list[str]], list[str]]:
-    """Clauses of an answer, the features of each but for its wording, and its masked text."""
+Key = tuple[str, str, str, bool, int]
+
+
+def clause_features(query: str, answer: str, ends_known: bool) -> tuple[list[str], list[tuple[str, str, str, bool]], list[str], list[str]]:
+    """Clauses of an answer; of each its echo, language, ending and whether it is first; its masked text; its letters."""
     parts = clauses(answer)
-    ja = bool(_KANA.search(answer))
-    want = ({language(query, bool(_KANA.search(query)))} | ({k for k, r in _ASKS.items() if r.search(query)} if _ASKS_ANY.search(query) else set())) - {""}
-    asked, words = norm(query), frozenset(_MARKED.findall(query.casefold()))
-    out, texts = [], []
+    ja = not answer.isascii() and bool(_KANA.search(answer))
+    want, asked, words = _query(query)
+    out, texts, letters = [], [], []
+    last = len(parts) - 1
     for i, c in enumerate(parts):
-        like = _likeness(norm(_LEAD.sub("", c)), asked)
+        plain = norm(_LEAD.sub("", c) if ":" in c or "：" in c else c)
+        like = _likeness(plain, asked)
         lang = languages(c, ja) if not c.startswith("```") else ()
-        end = ending(c, ends_known) if i == len(parts) - 1 else "inner"
-        echo = "full" if like >= 0.97 else "near" if like >= 0.74 else "no"
-        foreign = "unknown" if not lang or not want else "same" if want & set(lang) else "other"
-        out.append(["bias", f"echo={echo}", f"lang={foreign}", f"end={end}", f"end={end},echo={echo}", f"first={i == 0}", f"lang={foreign},echo={echo}", f"end={end},lang={foreign}"])
+        foreign = "unknown" if not lang or not want else "same" if not want.isdisjoint(lang) else "other"
+        out.append(("full" if like >= 0.97 else "near" if like >= 0.74 else "no", foreign, ending(c, ends_known) if i == last else "inner", i == 0))
         texts.append(masked(c, words))
-    return parts, out, texts
+        letters.append(plain)
+    return parts, out, texts, letters
+
+
+@lru_cache(maxsize=4096)
+def _query(query: str) -> tuple[frozenset[str], str, frozenset[str]]:
+    """Languages that an answer may have, letters and words of a query."""
+    named = {k for k, r in _ASKS.items() if r.search(query)} if _ASKS_ANY.search(query) else set()
+    return frozenset(({language(query, bool(_KANA.search(query)))} | named) - {""}), norm(query), frozenset(_MARKED.findall(query.casefold()))
 
 
-def with_wording(feats: list[str], logit: float) -> list[str]:
-    """The features of a clause and those of its wording: the logit in steps, alone and with its echo and language."""
-    step = f"refusal={bisect(_STEPS, logit)}"
-    return [*feats, step, f"{step},{feats[1]}", f"{step},{feats[2]}", f"{step},{feats[5]}"]
+def with_wording(key: tuple[str, str, str, bool], logit: float) -> Key:
+    """What is known of a clause, with the step of its wording's logit."""
+    return (*key, bisect(_STEPS, logit))
+
+
+@lru_cache(maxsize=8192)
+def features(key: Key) -> tuple[str, ...]:
+    """Features of a clause: all that is known of it, and pairs of it."""
+    echo, foreign, end, first, step = key
+    return ("bias", f"echo={echo}", f"lang={foreign}", f"end={end}", f"end={end},echo={echo}", f"first={first}", f"lang={foreign},echo={echo}", f"end={end},lang={foreign}",
+            f"refusal={step}", f"refusal={step},echo={echo}", f"refusal={step},lang={foreign}", f"refusal={step},first={first}")
 
 
 # ---- the field --------------------------------------------------------------
@@ -304,16 +324,21 @@ class Field:
     """A linear-chain conditional random field over clause features."""
 
     def __init__(self, names: dict[str, int], emit: np.ndarray, move: np.ndarray):
-        self.names, self.emit, self.move = names, emit, move
+        self.names, self.emit, self.move, self.known = names, emit, move, {}
+
+    def emission(self, key: Key) -> np.ndarray:
+        """Score of each tag for a clause; clauses of which the same is known share it."""
+        got = self.known.get(key)
+        if got is None:
+            got = self.known[key] = self.emit[[self.names[x] for x in features(key) if x in self.names]].sum(axis=0)
+        return got
 
-    def tag(self, answers: list[list[list[str]]]) -> list[list[int]]:
+    def tag(self, answers: list[list[Key]]) -> list[list[int]]:
         """Most likely tag sequence of each answer, all answers side by side."""
         lengths = np.array([len(a) for a in answers], dtype=int)
         if not lengths.sum():
             return [[] for _ in answers]
-        rows = [[self.names[x] for x in f if x in self.names] or [-1] for a in answers for f in a]
-        padded = np.vstack([self.emit, np.zeros(len(TAGS))])
-        emitted = np.add.reduceat(padded[np.concatenate(rows)], np.concatenate([[0], np.cumsum([len(r) for r in rows])[:-1]]))
+        emitted = np.array([self.emission(k) for a in answers for k in a])
         order = np.argsort(-lengths, kind="stable")
         start = (np.cumsum(lengths) - lengths)[order]
         sizes = lengths[order]
@@ -341,16 +366,16 @@ def _lse(a: np.ndarray, axis: int) -> np.ndarray:
     return (m + np.log(np.exp(a - m).sum(axis=axis, keepdims=True))).squeeze(axis)
 
 
-def train_field(data: list[tuple[list[list[str]], list[int]]], steps: int = 120, rate: float = 0.3, l2: float = 1e-3) -> Field:
+def train_field(data: list[tuple[list[Key], list[int]]], steps: int = 120, rate: float = 0.3, l2: float = 1e-3) -> Field:
     """Maximise the conditional likelihood by full-batch Adam on padded sequences; equal sequences are one with a weight."""
-    names = {x: i for i, x in enumerate(sorted({x for fs, _ in data for f in fs for x in f}))}
-    kinds = Counter((tuple(tuple(names[x] for x in f) for f in fs), tuple(ys)) for fs, ys in data)
+    names = {x: i for i, x in enumerate(sorted({x for k in {k for ks, _ in data for k in ks} for x in features(k)}))}
+    kinds = Counter((tuple(ks), tuple(ys)) for ks, ys in data)
     n, T, K, D = len(kinds), max(len(y) for _, y in kinds), len(TAGS), len(names)
     X, Y, mask = np.zeros((n, T, D), dtype=np.float32), np.zeros((n, T), dtype=int), np.zeros((n, T), dtype=bool)
     weight = np.array([c * n / len(data) for c in kinds.values()])
-    for i, (fs, ys) in enumerate(kinds):
-        for t, (f, y) in enumerate(zip(fs, ys)):
-            X[i, t, list(f)] = 1
+    for i, (ks, ys) in enumerate(kinds):
+        for t, (k, y) in enumerate(zip(ks, ys)):
+            X[i, t, [names[x] for x in features(k)]] = 1
             Y[i, t], mask[i, t] = y, True
     emit, move = np.zeros((D, K)), np.zeros((K, K))
     gold = np.zeros((n, T, K))
@@ -380,7 +405,7 @@ def train_field(data: list[tuple[list[list[str]], list[int]]], steps: int = 120,
     return Field(names, emit, move)
 
 
-def training_sequences(pairs: list[tuple[str, str]], seed: int = 7) -> tuple[list[tuple[list[list[str]], list[int]]], Wording]:
+def training_sequences(pairs: list[tuple[str, str]], seed: int = 7) -> tuple[list[tuple[list[Key], list[int]]], Wording]:
     """Labelled clause sequences made from pairs that look whole, by planting one defect in each copy, and the model of wordings.
 
     Sequences of more than WINDOW clauses are trained on in windows.
@@ -399,10 +424,10 @@ def training_sequences(pairs: list[tuple[str, str]], seed: int = 7) -> tuple[lis
         by_lang.setdefault(language(q), []).append(a)
     by_lang.setdefault("de", []).append("Die Karten sind in der Nacht nicht bereit.")
     by_lang.setdefault("fr", []).append("Les cartes ne sont pas dans le dossier.")
-    planted: list[tuple[list[list[str]], list[str], list[int]]] = []
+    planted: list[tuple[list[tuple[str, str, str, bool]], list[str], list[int]]] = []
 
     def plant(q: str, a: str, label) -> None:
-        parts, feats, own = clause_features(q, a, True)
+        parts, feats, own, _ = clause_features(q, a, True)
         if parts:
             planted.append((feats, own, [label(i, len(parts)) for i in range(len(parts))]))
 
@@ -461,17 +486,21 @@ def training_sequences(pairs: list[tuple[str, str]], seed: int = 7) -> tuple[lis
 def says_nothing(answer: str | None) -> bool:
     if not answer:
         return True
-    t = re.sub(r"<[^>]*>|&\w+;", "", answer)
+    if len(answer) > 400:  # no placeholder is as long, unless of marks alone
+        return not _LETTER.search(answer)
+    t = _TAG.sub("", answer) if "<" in answer or "&" in answer else answer
     return norm(t.replace("```", "")) in PLACEHOLDERS | {""} or answer.strip().lower() in ("n/a", "<empty>", "(blank)")
 
 
-def verdict(query: str, answer: str, parts: list[str], tags: list[int]) -> str | None:
+def verdict(query: str, parts: list[str], letters: list[str], tags: list[int]) -> str | None:
     """The one defect of a pair with a tagged answer, or None for a sound one."""
-    share = np.zeros(len(TAGS))
-    for c, t in zip(parts, tags):
-        share[t] += max(1, len(norm(c)) + 2 * len(_DENSE.findall(c)))
-    share /= share.sum()
-    if share[2] == 1 or likeness(answer, query) >= 0.8:
+    if not any(tags):
+        return "copies_question" if _likeness("".join(letters), norm(query)) >= 0.8 else None
+    share = [0] * len(TAGS)
+    for c, plain, t in zip(parts, letters, tags):
+        share[t] += max(1, len(plain) + (0 if c.isascii() else 2 * len(_DENSE.findall(c))))
+    share = [x / sum(share) for x in share]
+    if share[2] == 1 or _likeness("".join(letters), norm(query)) >= 0.8:
         return "copies_question"
     if share[1] > 0.5 or tags[0] == 1 and share[1] + share[4] > 0.5:
         return "refusal"
@@ -487,13 +516,13 @@ def defects(rows: list[tuple[str | None, str | None, bool]], field: Field, wordi
     out: list[str | None] = ["empty"] * len(rows)
     told = [i for i, (_, a, _) in enumerate(rows) if not says_nothing(a)]
     cut_up = [clause_features(rows[i][0] or "", rows[i][1], rows[i][2]) for i in told]
-    logits = wording.logits([t for _, _, texts in cut_up for t in texts])
-    feats, at = [], 0
-    for parts, own, _ in cut_up:
-        feats.append([with_wording(f, z) for f, z in zip(own, logits[at : at + len(parts)])])
+    logits = wording.logits([t for _, _, texts, _ in cut_up for t in texts]).tolist()
+    keys, at = [], 0
+    for parts, own, _, _ in cut_up:
+        keys.append([with_wording(k, z) for k, z in zip(own, logits[at : at + len(parts)])])
         at += len(parts)
-    for i, (parts, _, _), tags in zip(told, cut_up, field.tag(feats)):
-        out[i] = verdict(rows[i][0] or "", rows[i][1], parts, tags) if parts else "empty"
+    for i, (parts, _, _, letters), tags in zip(told, cut_up, field.tag(keys)):
+        out[i] = verdict(rows[i][0] or "", parts, letters, tags) if parts else "empty"
     return out
 
 
