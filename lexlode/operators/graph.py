@@ -180,32 +180,52 @@ def query_entities(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.posexplode(F.transform(named, lambda s: title_case(strip(s)))).alias("pos", "entity"))
 
 
-def _keyed(df: DataFrame, col: str, key: str) -> DataFrame:
-    """Rows with every run of 3 (or, for shorter keys, 2) characters of a string."""
+def _grams(col: str) -> Column:
+    """Distinct runs of 3 characters of a string in small letters; of a shorter one the string itself."""
     low = F.lower(col)
-    grams = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(low) - n + 1, F.lit(1))), lambda i: F.substr(low, i, F.lit(n)))
-    return df.withColumn(key, F.explode(F.array_distinct(F.concat(grams(3), grams(2)))))
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(low) - 2, F.lit(1))), lambda i: F.substr(low, i, F.lit(3))))
 
 
-def _head(col: str) -> Column:
-    return F.when(F.length(col) >= 3, F.substring(F.lower(col), 1, 3)).otherwise(F.substring(F.lower(col), 1, 2))
+def _runs(col: str) -> Column:
+    """Distinct runs of one and of two characters of a string in small letters."""
+    low = F.lower(col)
+    of = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(low) - n + 1, F.lit(1))), lambda i: F.substr(low, i, F.lit(n)))
+    return F.array_distinct(F.concat(of(1), of(2)))
+
+
+def _rarest(df: DataFrame, keys: list[str], col: str, sizes: DataFrame) -> DataFrame:
+    """Each string with the one of its runs that fewest labels hold; strings with a run that none holds are left out."""
+    each = df.select(*keys, F.explode(_grams(col)).alias("gram")).join(sizes, "gram", "left")
+    best = each.groupBy(*keys).agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"), F.count_if(F.col("n").isNull()).alias("strange"))
+    return best.where("strange = 0").drop("strange")
 
 
 def anchor_nodes(entities: DataFrame, nodes: DataFrame, most: int = 10) -> DataFrame:
     """Nodes that queries start from: query_id, label; at most ``most`` per query.
 
     An entity equal to a label (case aside) anchors there. Otherwise every label that
-    holds it or is held by it does; such pairs meet on the first characters of the
-    shorter string, which the longer one must hold, not by comparing all with all.
+    holds it or is held by it does. Such pairs share all runs of three characters of the shorter
+    string, and meet on the one that fewest labels hold, so a frequent run is no hot key.
+    Entities and labels of fewer than three characters meet on themselves and on runs of their length.
     """
     labels = nodes.select("label", F.lower("label").alias("key")).where("key <> ''")
     asked = entities.where("entity <> ''").withColumn("key", F.lower("entity"))
     exact = asked.join(labels, "key").select("query_id", "pos", "entity", "label")
     rest = asked.join(exact.select("query_id", "entity").distinct(), ["query_id", "entity"], "left_anti").drop("key")
     names = labels.select("label")
-    longer = rest.withColumn("head", _head("entity")).join(_keyed(names, "label", "head"), "head").where(F.contains(F.lower("label"), F.lower("entity")))
-    shorter = _keyed(rest, "entity", "head").join(names.withColumn("head", _head("label")), "head").where(F.contains(F.lower("entity"), F.lower("label")))
-    hits = exact.withColumn("late", F.lit(0)).unionByName(longer.select("query_id", "pos", "entity", "label").unionByName(shorter.select("query_id", "pos", "entity", "label")).withColumn("late", F.lit(1)))
+    short = lambda c: F.length(c) < 3
+    keys, pair = ["query_id", "pos", "entity"], ["query_id", "pos", "entity", "label"]
+    of_labels = names.where(~short("label")).select("label", F.explode(_grams("label")).alias("gram"))
+    sizes = of_labels.groupBy("gram").agg(F.count("*").alias("n"))
+    rare_entity = _rarest(rest.where(~short("entity")).select(*keys), keys, "entity", sizes)
+    rare_label = _rarest(names.where(~short("label")), ["label"], "label", sizes)
+    of_entities = rest.where(~short("entity")).select(*keys, F.explode(_grams("entity")).alias("gram"))
+    longer = rare_entity.join(of_labels, "gram").where(F.contains(F.lower("label"), F.lower("entity"))).select(*pair)
+    shorter = of_entities.join(rare_label, "gram").where(F.contains(F.lower("entity"), F.lower("label"))).select(*pair)
+    in_labels = names.select("label", F.explode(_runs("label")).alias("gram")).join(rest.where(short("entity")).withColumn("gram", F.lower("entity")), "gram").select(*pair)
+    in_entities = rest.select(*keys, F.explode(_runs("entity")).alias("gram")).join(names.where(short("label")).withColumn("gram", F.lower("label")), "gram").select(*pair)
+    held = longer.unionByName(shorter).unionByName(in_labels).unionByName(in_entities)
+    hits = exact.withColumn("late", F.lit(0)).unionByName(held.withColumn("late", F.lit(1)))
     first = hits.groupBy("query_id", "label").agg(F.min(F.struct("pos", "late")).alias("seq"))
     w = Window.partitionBy("query_id").orderBy("seq", "label")
     return first.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most).select("query_id", "label", "rank")
@@ -224,10 +244,18 @@ def hops(anchors: DataFrame, edges: DataFrame, most: int = 2) -> DataFrame:
 
 
 def graph_search(reached: DataFrame, edges: DataFrame, of_nodes: DataFrame, of_edges: DataFrame, k: int) -> DataFrame:
-    """Best chunks by hops: a node scores 2^-d, an edge 0.8 * 2^-d of its nearer end; query_id, chunk_id, score, rank."""
+    """Best chunks by hops: a node scores 2^-d, an edge 0.8 * 2^-d of its nearer end; query_id, chunk_id, score, rank.
+
+    Once a node at some distance has ``k`` chunks of its own, nothing that scores less can be
+    among the best: farther nodes, and edges that begin there, are never joined with their chunks.
+    """
+    full = of_nodes.groupBy("label").agg(F.count("*").alias("n")).where(F.col("n") >= k).select("label")
+    enough = reached.join(full, "label").groupBy("query_id").agg(F.min("distance").alias("enough"))
+    bound = reached.join(enough, "query_id", "left").withColumn("enough", F.coalesce("enough", F.lit(1 << 20)))
+    reached, starts = bound.where("distance <= enough").drop("enough"), bound.where("distance < enough").drop("enough")
     node = reached.withColumn("score", F.pow(F.lit(0.5), F.col("distance"))).join(of_nodes, "label").select("query_id", "chunk_id", "score")
-    ends = reached.join(edges.select(F.col("node_a").alias("label"), "node_a", "node_b"), "label").select("query_id", "node_a", "node_b", "distance").unionByName(
-        reached.join(edges.select(F.col("node_b").alias("label"), "node_a", "node_b"), "label").select("query_id", "node_a", "node_b", "distance"))
+    ends = starts.join(edges.select(F.col("node_a").alias("label"), "node_a", "node_b"), "label").select("query_id", "node_a", "node_b", "distance").unionByName(
+        starts.join(edges.select(F.col("node_b").alias("label"), "node_a", "node_b"), "label").select("query_id", "node_a", "node_b", "distance"))
     near = ends.groupBy("query_id", "node_a", "node_b").agg(F.min("distance").alias("distance"))
     edge = near.join(of_edges, ["node_a", "node_b"]).select("query_id", "chunk_id", (0.8 * F.pow(F.lit(0.5), F.col("distance"))).alias("score"))
     return top_k(node.unionByName(edge).groupBy("query_id", "chunk_id").agg(F.max("score").alias("score")), "score", k)

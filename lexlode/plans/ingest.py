@@ -81,7 +81,7 @@ def upload_merge(spark, sf_dir):
 
     folder, base = f"{shared_dir(spark)}/uploads-{uuid.uuid4().hex}", f"{shared_dir(spark)}/store-{uuid.uuid4().hex}"
     sent = [("../a note.md", b"The first upload. It has two sentences."), ("page.html", b"<title>P</title><main>The second upload.</main>"), ("page.html", b"<title>P</title><main>The second upload.</main>"), ("x.exe", b"no")]
-    saved, refused = save_uploads(sent, folder.removeprefix("file://"))
+    saved, refused = save_uploads(sent, folder, spark)
     docs, errors = load_files(scan(spark, folder))
     total = Stats(errors=refused)
     for path in saved:

@@ -68,9 +68,27 @@ def safe_name(name: str) -> str:
     return re.sub(r"^\.+", "", re.split(r"[/\\]", name)[-1]) or "upload"
 
 
-def save_uploads(uploads: list[tuple[str, bytes]], folder: str) -> tuple[list[str], list[tuple[str, str]]]:
-    """Write uploaded files under safe names, over older ones; returns (paths, errors). Unknown kinds and repeats are refused."""
-    os.makedirs(folder, exist_ok=True)
+def _write(spark: SparkSession | None, path: str, content: bytes) -> None:
+    if spark is None:
+        with open(path, "wb") as f:
+            f.write(content)
+        return
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at, True)
+    try:
+        out.write(bytearray(content))
+    finally:
+        out.close()
+
+
+def save_uploads(uploads: list[tuple[str, bytes]], folder: str, spark: SparkSession | None = None) -> tuple[list[str], list[tuple[str, str]]]:
+    """Write uploaded files under safe names, over older ones; returns (paths, errors). Unknown kinds and repeats are refused.
+
+    With a session the folder may be on any file system that it knows, as it must be on
+    a cluster; without one it is a folder of this machine.
+    """
+    if spark is None:
+        os.makedirs(folder, exist_ok=True)
     saved, errors, seen = [], [], set()
     for name, content in uploads:
         safe = safe_name(name)
@@ -78,7 +96,6 @@ def save_uploads(uploads: list[tuple[str, bytes]], folder: str) -> tuple[list[st
             errors.append((name, "unsupported file type"))
         elif (safe, len(content)) not in seen:
             seen.add((safe, len(content)))
-            with open(os.path.join(folder, safe), "wb") as f:
-                f.write(content)
-            saved.append(os.path.join(folder, safe))
+            saved.append(f"{folder.rstrip('/')}/{safe}")
+            _write(spark, saved[-1], content)
     return saved, errors
