@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexlode.config import Settings
+from lexlode.functions.text import SPACE
 from lexlode import schemas
 from lexlode.operators import answering as A
 from lexlode.operators import fusion, lexical, orchestrate
@@ -197,6 +198,8 @@ lists AS (SELECT query_id, chunk_id, score, 'bm25' AS retriever FROM t_hits JOIN
   UNION ALL SELECT query_id, chunk_id, score, 'dense' FROM dr JOIN ro USING (query_id) WHERE rank <= {_K} AND contains(strategies, 'dense')
   UNION ALL SELECT query_id, chunk_id, score, 'graph' FROM gs JOIN ro USING (query_id) WHERE contains(strategies, 'graph')),{FUSE_SQL}{CONTEXT_SQL}"""
 ORACLE = {
+    "extractive_answers": f"""WITH {RERANK_SQL}, a AS (SELECT query_id, regexp_replace(regexp_extract(text, '(?s)^(.*?[.!?。！？।])(?:\\s|$)|^(.*)$', 0), '^[{SPACE}]+|[{SPACE}]+$', '', 'g') || ' [1]' AS answer FROM final WHERE rank = 1)
+        SELECT query_id, coalesce(answer, '{A.EMPTY_ANSWER}') AS answer FROM q LEFT JOIN a USING (query_id)""",
     "retrieve": f"WITH {_RETRIEVE} SELECT query_id, chunk_id, retriever, rank, round(score, 9) AS score, round(rrf, 9) AS rrf_score FROM final",
     "retriever_hits": f"WITH {_RETRIEVE} SELECT query_id, retriever, count(*) AS hits FROM lists GROUP BY ALL",
     "web_first_source": f"""WITH {Q_SQL} SELECT query_id, i AS pos, 'https://example.org/' || i || '/' || query_id AS url, CASE WHEN query_id % 3 <> 0 THEN 'some' ELSE 'every' END AS source

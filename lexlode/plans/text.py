@@ -82,7 +82,11 @@ def sentences_sql(e: str) -> str:
     return f"list_filter(list_transform({parts}, lambda s: regexp_replace(s, {_STRIP})), lambda s: s <> '')"
 
 
+_N = "CAST(regexp_extract(p, '^\\[(\\d{1,9})\\]$', 1) AS INTEGER)"
 ORACLE = {
+    "linked_answers": f"""SELECT pair_id, array_to_string(list_transform(regexp_extract_all(answer, '\\[\\d{{1,9}}\\]|[^\\[]+|\\['),
+        lambda p: CASE WHEN regexp_matches(p, '^\\[\\d{{1,9}}\\]$') THEN CASE WHEN {_N} BETWEEN 1 AND len(chunk_ids) THEN '[[' || {_N} || ']](#cite-' || {_N} || ')' ELSE p END ELSE p END), '') AS linked
+        FROM eval_inputs WHERE answer IS NOT NULL""",
     "clean_text": rf"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(text, chr(0), ''), '\n{{3,}}', chr(10) || chr(10), 'g'),
         '[ \t]{{2,}}', ' ', 'g'), '([a-z])-\n([a-z])', '\1\2', 'g'), '([a-z])-\n([a-z])', '\1\2', 'g'), {_STRIP}) AS clean FROM documents""",
     "doc_ids": "SELECT doc_id, substr(sha256(source || ':' || doc_id), 1, 16) AS doc_key FROM documents",
