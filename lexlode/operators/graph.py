@@ -231,6 +231,19 @@ def anchor_nodes(entities: DataFrame, nodes: DataFrame, most: int = 10) -> DataF
     return first.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most).select("query_id", "label", "rank")
 
 
+def search_from(anchors: DataFrame, edges: DataFrame, of_nodes: DataFrame, of_edges: DataFrame, k: int, most: int = 2) -> DataFrame:
+    """Best ``k`` chunks of every query by its anchors: query_id, chunk_id, score, rank.
+
+    Queries with the same anchors have the same hits, so each set of anchors (at most a
+    few labels) is searched once, whatever the number of queries that share it.
+    """
+    kind = anchors.schema["query_id"].dataType
+    sets = cut(anchors.groupBy("query_id").agg(F.sha2(F.array_join(F.array_sort(F.collect_set("label")), "\u0001"), 256).alias("set")), "graph-sets")
+    starts = anchors.join(sets, "query_id").select(F.col("set").alias("query_id"), "label").distinct()
+    hits = graph_search(hops(starts, edges, most), edges, of_nodes, of_edges, k)
+    return sets.join(hits.withColumnRenamed("query_id", "set"), "set").select(F.col("query_id").cast(kind), "chunk_id", "score", "rank")
+
+
 def hops(anchors: DataFrame, edges: DataFrame, most: int = 2) -> DataFrame:
     """Distance of every node within ``most`` hops of a query's anchors: query_id, label, distance."""
     both = edges.select(F.col("node_a").alias("label"), F.col("node_b").alias("next")).unionByName(edges.select(F.col("node_b").alias("label"), F.col("node_a").alias("next"))).where("label <> next")

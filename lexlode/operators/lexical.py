@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +17,9 @@ from lexlode.session import cut
 from lexlode.sources.store import read_table
 
 
+ASKED, CELLS = 500_000, 8_000_000
+
+
 def distinct_chunks(chunks: DataFrame) -> DataFrame:
     """One row per chunk_id; a chunk stored twice counts once."""
     return chunks.where("chunk_id is not null").dropDuplicates(["chunk_id"])
@@ -74,12 +80,80 @@ class Bm25Index:
         The queried terms get their statistics first, so that only their postings are joined.
         """
         asked = _terms(queries, "query_id", "query").groupBy("query_id", "term").agg(F.count("*").alias("qtf")).join(self.terms.select("term", "idf"), "term")
+        asked = asked.select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("weight"))
+        scored = self._in_blocks(asked, k)
+        return top_k(scored, "raw", k).withColumn("score", F.col("raw") / F.max("raw").over(Window.partitionBy("query_id")))
+
+    def _in_blocks(self, asked: DataFrame, k: int) -> DataFrame:
+        """query_id, chunk_id, raw of all positive scores, or of at least the best k of each block of chunks.
+
+        Up to ASKED weights of query terms are sent to the postings: only postings of queried terms are
+        shuffled, by chunk, and queries are scored against blocks of chunks, each of which returns
+        its own best. More weights than that meet the postings in joins.
+        """
+        qk = asked.schema["query_id"].dataType.simpleString()
         avg = self.stats.agg(F.avg("dl").alias("avgdl"))
-        hits = self.postings.join(asked, "term").join(self.stats, "chunk_id").join(F.broadcast(avg))
         f, k1, b = F.col("tf"), self.cfg.bm25_k1, self.cfg.bm25_b
-        gain = F.col("qtf") * F.col("idf") * f * (k1 + 1) / (f + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-        scored = hits.groupBy("query_id", "chunk_id").agg(F.sum(gain).alias("raw")).where("raw > 0")
-        return top_k(scored, "raw", k).withColumn("score", F.col("raw") / F.max("raw").over(Window.partitionBy("query_id")))
+        gain = f * (k1 + 1) / (f + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
+        some = asked.limit(ASKED + 1).toArrow()
+        if some.num_rows == 0:
+            return asked.sparkSession.createDataFrame([], f"query_id {qk}, chunk_id string, raw double")
+        if some.num_rows > ASKED:
+            hits = self.postings.join(asked, "term").join(self.stats, "chunk_id").join(F.broadcast(avg))
+            return hits.groupBy("query_id", "chunk_id").agg(F.sum(F.col("weight") * gain).alias("raw")).where("raw > 0")
+        terms = asked.sparkSession.createDataFrame(pa.table({"term": some["term"].unique()}))
+        hits = self.postings.join(F.broadcast(terms), "term", "left_semi").join(self.stats, "chunk_id").join(F.broadcast(avg))
+        rows = hits.select("chunk_id", "term", gain.alias("gain")).repartition("chunk_id").sortWithinPartitions("chunk_id")
+        return rows.mapInArrow(_score(some.combine_chunks(), k), f"query_id {qk}, chunk_id string, raw double")
+
+
+def _score(asked: pa.Table, k: int):
+    """Best k chunks of each block of chunks for each query, with ties; rows come sorted by chunk."""
+    ids, who = _numbered(asked["query_id"])
+    names, term = _numbered(asked["term"])
+    order = np.argsort(term, kind="stable")
+    of_term = dict(zip(names.to_pylist(), zip(np.split(who[order], np.cumsum(np.bincount(term))[:-1]), np.split(np.asarray(asked["weight"])[order], np.cumsum(np.bincount(term))[:-1]))))
+
+    def block(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        chunks, at = _numbered(rows["chunk_id"])
+        found, mine = _numbered(rows["term"])
+        gain = np.asarray(rows["gain"])
+        sums = np.zeros((len(ids), len(chunks)))
+        first = np.argsort(mine, kind="stable")
+        for name, own in zip(found.to_pylist(), np.split(first, np.cumsum(np.bincount(mine))[:-1])):
+            queries, weight = of_term[name]
+            sums[np.ix_(queries, at[own])] += weight[:, None] * gain[None, own]
+        if k and k < len(chunks):
+            least = -np.partition(-sums, k - 1, axis=1)[:, k - 1 : k]
+            q, c = np.nonzero((sums > 0) & (sums >= least - 1e-8))
+        else:
+            q, c = np.nonzero(sums > 0)
+        yield pa.RecordBatch.from_arrays([ids.take(pa.array(q)), chunks.take(pa.array(c)), pa.array(sums[q, c])], names=["query_id", "chunk_id", "raw"])
+
+    most = max(1, CELLS // len(ids))
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        held = None
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            held = t if held is None else pa.concat_tables([held, t])
+            names, at = _numbered(held["chunk_id"])
+            while len(names) > most:  # the last chunk may go on in the next batch
+                cut_at = int(np.searchsorted(at, most))
+                yield from block(held.slice(0, cut_at).combine_chunks())
+                held = held.slice(cut_at)
+                names, at = _numbered(held["chunk_id"])
+        if held is not None and held.num_rows:
+            yield from block(held.combine_chunks())
+
+    return run
+
+
+def _numbered(column) -> tuple[pa.Array, np.ndarray]:
+    """Distinct values in the order of their first appearance, and the number of each row's value."""
+    coded = column.combine_chunks().dictionary_encode()
+    coded = coded.combine_chunks() if isinstance(coded, pa.ChunkedArray) else coded
+    return coded.dictionary, np.asarray(coded.indices)
 
 
 def bm25_search(queries: DataFrame, chunks: DataFrame, k: int, cfg: Settings = Settings()) -> DataFrame:

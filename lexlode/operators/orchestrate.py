@@ -102,7 +102,7 @@ def retrieve_with(queries: DataFrame, index: Indexes, cfg: Settings = Settings()
     def by_graph(asked: DataFrame) -> DataFrame:
         nodes = index.edges.select(F.explode(F.array("node_a", "node_b")).alias("label")).distinct()
         anchors = cut(graph.anchor_nodes(graph.query_entities(asked), nodes), "retrieve-anchors")
-        return graph.graph_search(graph.hops(anchors, index.edges, cfg.graph_max_hops), index.edges, index.node_chunks, index.edge_chunks, k)
+        return graph.search_from(anchors, index.edges, index.node_chunks, index.edge_chunks, k, cfg.graph_max_hops)
 
     known = {"bm25": lambda asked: index.bm25.search(asked, k), "dense": dense} | ({"graph": by_graph} if index.edges is not None else {}) | (retrievers or {})
     kind = queries.schema["query_id"].dataType.simpleString()

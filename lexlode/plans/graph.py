@@ -80,7 +80,7 @@ def khop_scores(spark, sf_dir):
 def graph_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     anchors, edges = _anchors(spark, sf_dir)
     of_nodes = G.node_chunks(G.chunk_entities(chunks(spark, sf_dir)))
-    return G.graph_search(G.hops(anchors, edges, CFG.graph_max_hops), edges, of_nodes, G.edge_chunks(triples(spark, sf_dir)), K)
+    return G.search_from(anchors, edges, of_nodes, G.edge_chunks(triples(spark, sf_dir)), K, CFG.graph_max_hops)
 
 
 def graph_search(spark, sf_dir):

@@ -32,6 +32,21 @@ def test_bm25(spark):
     assert lexical.new_postings(c, c.where("chunk_id = 'c1'")).select("chunk_id").distinct().count() == 2
 
 
+def test_bm25_in_blocks_and_in_joins(spark, monkeypatch):
+    """Few weights are sent to blocks of chunks, many meet the postings in joins: the same ranks, ties included."""
+    rng = np.random.default_rng(4)
+    words = [f"w{i}" for i in range(30)]
+    chunks = spark.createDataFrame([(f"c{i:03d}", " ".join(rng.choice(words, rng.integers(0, 9)))) for i in range(200)], "chunk_id string, text string")
+    q = spark.createDataFrame([(i, " ".join(rng.choice([*words, "unknown"], rng.integers(0, 4)))) for i in range(40)], "query_id long, query string")
+    index = lexical.Bm25Index(chunks)
+    got = []
+    for asked, cells in ((10**6, 10**6), (10**6, 90), (0, 10**6)):
+        monkeypatch.setattr(lexical, "ASKED", asked)
+        monkeypatch.setattr(lexical, "CELLS", cells)
+        got.append({(r.query_id, r.chunk_id, r.rank, round(r.score, 9)) for r in index.search(q, 5).collect()})
+    assert got[0] == got[1] == got[2] and len(got[0]) > 100
+
+
 def test_vectors(spark, tmp_path):
     rng = np.random.default_rng(2)
     base = rng.normal(size=(300, 8)).astype("float32")
