@@ -54,12 +54,22 @@ def parse_routing(raw: Column) -> Column:
     body = F.regexp_replace(strip(raw), r"(?s)^```(?:json)?\s*(.*?)```.*$", "$1")
     j = F.from_json(body, "intent string, confidence double, reasoning string")
     intent = F.lower(strip(j["intent"]))
-    known = F.when(intent.isin(*INTENTS), intent).otherwise(INTENTS[0])
-    ok = F.startswith(strip(body), F.lit("{")) & F.try_parse_json(body).isNotNull() & (j["intent"].isNotNull() | ~F.coalesce(F.json_object_keys(body).isNotNull() & F.array_contains(F.json_object_keys(body), "intent"), F.lit(False)))
-    ok = F.coalesce(ok, F.lit(False))
-    return F.when(ok, F.struct(F.coalesce(known, F.lit(INTENTS[0])).alias("intent"), strategies_of(F.coalesce(known, F.lit(INTENTS[0]))).alias("strategies"),
-                               F.coalesce(j["confidence"], F.lit(0.8)).alias("confidence"), F.coalesce(j["reasoning"], F.lit("")).alias("reasoning"))).otherwise(
-        F.struct(F.lit(INTENTS[0]).alias("intent"), F.array(*map(F.lit, FALLBACK)).alias("strategies"), F.lit(0.0).alias("confidence"), F.lit("Default decision: no classification.").alias("reasoning")))
+    known = F.coalesce(F.when(intent.isin(*INTENTS), intent).otherwise(INTENTS[0]), F.lit(INTENTS[0]))
+    names_intent = F.coalesce(F.json_object_keys(body).isNotNull() & F.array_contains(F.json_object_keys(body), "intent"), F.lit(False))
+    is_object = F.startswith(strip(body), F.lit("{")) & F.try_parse_json(body).isNotNull()
+    read = F.struct(
+        known.alias("intent"),
+        strategies_of(known).alias("strategies"),
+        F.coalesce(j["confidence"], F.lit(0.8)).alias("confidence"),
+        F.coalesce(j["reasoning"], F.lit("")).alias("reasoning"),
+    )
+    unread = F.struct(
+        F.lit(INTENTS[0]).alias("intent"),
+        F.array(*map(F.lit, FALLBACK)).alias("strategies"),
+        F.lit(0.0).alias("confidence"),
+        F.lit("Default decision: no classification.").alias("reasoning"),
+    )
+    return F.when(F.coalesce(is_object & (j["intent"].isNotNull() | ~names_intent), F.lit(False)), read).otherwise(unread)
 
 
 def dispatch(queries: DataFrame) -> DataFrame:
@@ -74,9 +84,19 @@ def parse_grade(raw: Column) -> Column:
     j = F.from_json(body, "grade string, relevance_score double, has_sufficient_context boolean, reasoning string")
     grade = F.upper(F.coalesce(j["grade"], F.lit("GOOD")))
     ok = F.coalesce(F.startswith(body, F.lit("{")) & F.try_parse_json(body).isNotNull(), F.lit(False))
-    return F.when(ok, F.struct(F.when(grade.isin(*GRADES), grade).otherwise("GOOD").alias("grade"), F.coalesce(j["relevance_score"], F.lit(0.5)).alias("relevance_score"),
-                               F.coalesce(j["has_sufficient_context"], F.lit(True)).alias("has_sufficient_context"), F.coalesce(j["reasoning"], F.lit("")).alias("reasoning"))).otherwise(
-        F.struct(F.lit("GOOD").alias("grade"), F.lit(0.5).alias("relevance_score"), F.lit(True).alias("has_sufficient_context"), F.lit("Parse error.").alias("reasoning")))
+    read = F.struct(
+        F.when(grade.isin(*GRADES), grade).otherwise("GOOD").alias("grade"),
+        F.coalesce(j["relevance_score"], F.lit(0.5)).alias("relevance_score"),
+        F.coalesce(j["has_sufficient_context"], F.lit(True)).alias("has_sufficient_context"),
+        F.coalesce(j["reasoning"], F.lit("")).alias("reasoning"),
+    )
+    unread = F.struct(
+        F.lit("GOOD").alias("grade"),
+        F.lit(0.5).alias("relevance_score"),
+        F.lit(True).alias("has_sufficient_context"),
+        F.lit("Parse error.").alias("reasoning"),
+    )
+    return F.when(ok, read).otherwise(unread)
 
 
 def grade_by_score(found: DataFrame, queries: DataFrame, cfg: Settings = Settings()) -> DataFrame:
@@ -131,7 +151,9 @@ def crag_gate(grades: DataFrame, found: DataFrame, retry, web: DataFrame | None
     zero. With the gate off, everything passes. ``found``: query_id, chunk_id, score, rank.
     """
     if not cfg.crag_enabled:
-        out = grades.select("query_id", "query", F.lit("GOOD").alias("grade"), "relevance_score", F.lit(True).alias("sufficient"), F.lit(None).cast("string").alias("rewritten_query"), F.lit(False).alias("web_search_used"))
+        out = grades.select(
+            "query_id", "query", F.lit("GOOD").alias("grade"), "relevance_score", F.lit(True).alias("sufficient"),
+            F.lit(None).cast("string").alias("rewritten_query"), F.lit(False).alias("web_search_used"))
         return out, found
     poor = grades.where("grade = 'POOR'") if cfg.crag_max_retries > 0 else grades.where("false")
     redone = poor.select("query_id", rewrite_by_rule("query").alias("query"))
@@ -174,8 +196,11 @@ def user_prompt(context: Column, query: Column) -> Column:
 
 def sources_block(ranked: DataFrame) -> DataFrame:
     """Markdown list of each query's sources: query_id, block."""
-    line = F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] **"), F.coalesce("title", F.lit("")), F.lit("** — `"), F.col("source"), F.lit("` *(relevance: "), F.format_string("%.2f", F.bround("score", 2)), F.lit(")*"))
-    return ranked.groupBy("query_id").agg(F.concat(F.lit("\n## Sources\n"), F.array_join(F.transform(_in_order(line), lambda x: x["v"]), "\n")).alias("block"))
+    shown = F.format_string("%.2f", F.bround("score", 2))
+    title = F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] **"), F.coalesce("title", F.lit("")), F.lit("**"))
+    line = F.concat(title, F.lit(" — `"), F.col("source"), F.lit("` *(relevance: "), shown, F.lit(")*"))
+    listed = F.array_join(F.transform(_in_order(line), lambda x: x["v"]), "\n")
+    return ranked.groupBy("query_id").agg(F.concat(F.lit("\n## Sources\n"), listed).alias("block"))
 
 
 def citations(ranked: DataFrame) -> DataFrame:
@@ -226,7 +251,9 @@ def providers(spark: SparkSession, keys: dict[str, str] | None = None, catalogue
 
 def context_utilisation(answer: Column | str, n_chunks: Column) -> Column:
     """Share of the passages that the answer cites, to 3 decimals; 0 without passages."""
-    found = F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce(answer if isinstance(answer, Column) else F.col(answer), F.lit("")), F.lit(r"\[(\d{1,9})\]"), F.lit(1)), lambda x: x.cast("int")))
+    text = F.coalesce(answer if isinstance(answer, Column) else F.col(answer), F.lit(""))
+    marks = F.regexp_extract_all(text, F.lit(r"\[(\d{1,9})\]"), F.lit(1))
+    found = F.array_distinct(F.transform(marks, lambda x: x.cast("int")))
     used = F.size(F.filter(found, lambda n: (n >= 1) & (n <= n_chunks)))
     return F.when(n_chunks > 0, F.bround(used / n_chunks, 3)).otherwise(0.0)
 
@@ -255,15 +282,18 @@ def stream_events(queries: DataFrame, ranked: DataFrame, decisions: DataFrame, a
 
     chunk_meta shows the chunks before the gate; a query without chunks gets the fixed text and done.
     """
-    meta = F.to_json(F.array_sort(F.collect_list(F.struct("rank", "chunk_id", "title", "source", F.round("score", 4).alias("score"), snippet("text", 200).alias("text_snippet")))))
-    shown = ranked.groupBy("query_id").agg(meta.alias("payload"))
-    first = queries.select("query_id").join(shown, "query_id", "left").select("query_id", F.lit(0).alias("stage"), F.lit("chunk_meta").alias("type"), F.coalesce("payload", F.lit("[]")).alias("payload"))
+    def event(rows: DataFrame, stage: int, kind: str, payload: Column) -> DataFrame:
+        return rows.select("query_id", F.lit(stage).alias("stage"), F.lit(kind).alias("type"), payload.alias("payload"))
+
+    chunk = F.struct("rank", "chunk_id", "title", "source", F.round("score", 4).alias("score"), snippet("text", 200).alias("text_snippet"))
+    shown = ranked.groupBy("query_id").agg(F.to_json(F.array_sort(F.collect_list(chunk))).alias("shown"))
     some = ranked.select("query_id").distinct()
-    update = decisions.where("grade <> 'GOOD' or web_search_used").join(some, "query_id", "left_semi").select(
-        "query_id", F.lit(1).alias("stage"), F.lit("crag_update").alias("type"), F.to_json(F.struct("grade", "rewritten_query", "web_search_used")).alias("payload"))
-    token = answers.select("query_id", F.lit(2).alias("stage"), F.lit("token").alias("type"), F.to_json(F.struct(F.col("answer").alias("text"))).alias("payload"))
-    sources = sources_block(ranked).select("query_id", F.lit(3).alias("stage"), F.lit("sources").alias("type"), F.to_json(F.struct(F.col("block").alias("text"))).alias("payload"))
-    done = queries.select("query_id", F.lit(4).alias("stage"), F.lit("done").alias("type"), F.lit("{}").alias("payload"))
+    gated = decisions.where("grade <> 'GOOD' or web_search_used").join(some, "query_id", "left_semi")
+    first = event(queries.select("query_id").join(shown, "query_id", "left"), 0, "chunk_meta", F.coalesce("shown", F.lit("[]")))
+    update = event(gated, 1, "crag_update", F.to_json(F.struct("grade", "rewritten_query", "web_search_used")))
+    token = event(answers, 2, "token", F.to_json(F.struct(F.col("answer").alias("text"))))
+    sources = event(sources_block(ranked), 3, "sources", F.to_json(F.struct(F.col("block").alias("text"))))
+    done = event(queries, 4, "done", F.lit("{}"))
     every = first.unionByName(update).unionByName(token).unionByName(sources).unionByName(done)
     seq = F.row_number().over(Window.partitionBy("query_id").orderBy("stage"))
     return every.select("query_id", seq.cast("int").alias("seq"), "type", "payload")

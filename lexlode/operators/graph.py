@@ -119,7 +119,8 @@ def extract_triples(raw: DataFrame, extractor: str, chunks: DataFrame | None = N
             raise ValueError("a filtered extractor needs the chunks")
         raw = raw.join(dense_chunks(chunks, cfg).select("chunk_id"), "chunk_id", "left_semi")
     cap = cfg.json_cap if name == "llm" else cfg.tagged_cap
-    return raw.select("chunk_id", "source", F.explode(EXTRACTORS[name]("raw", cap)).alias("t")).select("t.subject", "t.predicate", "t.object", "chunk_id", "source", F.lit(extractor).alias("extractor"))
+    each = raw.select("chunk_id", "source", F.explode(EXTRACTORS[name]("raw", cap)).alias("t"))
+    return each.select("t.subject", "t.predicate", "t.object", "chunk_id", "source", F.lit(extractor).alias("extractor"))
 
 
 def triples_by_rule(chunks: DataFrame) -> DataFrame:
@@ -130,9 +131,14 @@ def triples_by_rule(chunks: DataFrame) -> DataFrame:
     """
     each = chunks.select("chunk_id", "source", F.explode(F.split("text", r"(?<=[.!?。！？।])\s+|\n")).alias("sentence"))
     found = each.withColumn("spans", spans("sentence")).where(F.size("spans") > 1)
-    pair = found.select("chunk_id", "source", "sentence", F.posexplode(F.arrays_zip(F.slice("spans", 1, F.size("spans") - 1).alias("a"), F.slice("spans", 2, F.size("spans") - 1).alias("b"))).alias("pos", "p"))
-    between = F.trim(F.lower(F.element_at(F.split(F.element_at(F.split("sentence", F.concat(F.lit(r"\Q"), F.col("p.b"), F.lit(r"\E"))), 1), F.concat(F.lit(r"\Q"), F.col("p.a"), F.lit(r"\E"))), -1)))
-    return pair.select(F.col("p.a").alias("subject"), F.when(between.isin(*RELATIONS), between).otherwise("affiliation").alias("predicate"), F.col("p.b").alias("object"), "chunk_id", "source").where("subject <> object")
+    following = F.arrays_zip(F.slice("spans", 1, F.size("spans") - 1).alias("a"), F.slice("spans", 2, F.size("spans") - 1).alias("b"))
+    pair = found.select("chunk_id", "source", "sentence", F.explode(following).alias("p"))
+    exact = lambda name: F.concat(F.lit(r"\Q"), F.col(name), F.lit(r"\E"))
+    before = F.element_at(F.split("sentence", exact("p.b")), 1)
+    between = F.trim(F.lower(F.element_at(F.split(before, exact("p.a")), -1)))
+    relation = F.when(between.isin(*RELATIONS), between).otherwise("affiliation")
+    triple = pair.select(F.col("p.a").alias("subject"), relation.alias("predicate"), F.col("p.b").alias("object"), "chunk_id", "source")
+    return triple.where("subject <> object")
 
 
 # ---- building ---------------------------------------------------------------
@@ -166,7 +172,10 @@ def graph_nodes(entities: DataFrame, triples: DataFrame) -> DataFrame:
     seen = entities.select("label", "entity_type", "source", F.struct(F.lit(0).alias("late"), "chunk_id", "pos").alias("seq"), "chunk_id")
     ends = clean_triples(triples).select(F.explode(F.array("subject", "object")).alias("label"), F.lit("UNKNOWN").alias("entity_type"), "source",
                                          F.struct(F.lit(1).alias("late"), F.col("chunk_id"), F.lit(0).alias("pos")).alias("seq"), F.lit(None).cast("string").alias("chunk_id"))
-    return seen.unionByName(ends).groupBy("label").agg(F.min_by("entity_type", "seq").alias("entity_type"), F.countDistinct("chunk_id").alias("n_chunks"), F.min_by("source", F.struct("seq", "source")).alias("source"))
+    return seen.unionByName(ends).groupBy("label").agg(
+        F.min_by("entity_type", "seq").alias("entity_type"),
+        F.countDistinct("chunk_id").alias("n_chunks"),
+        F.min_by("source", F.struct("seq", "source")).alias("source"))
 
 
 # ---- search -----------------------------------------------------------------
