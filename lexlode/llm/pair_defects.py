@@ -30,11 +30,11 @@ from pyspark.sql import functions as F
 from lexlode.llm.pair_texts import CLOSINGS, COURTESIES, SOUND, WORDS, labelled, refusal_examples
 from lexlode.llm.sampling import hashed_sample
 from lexlode.llm.sentences import ABBREVIATIONS, candidates, fit
-from lexlode.llm.shingles import hashes
-from lexlode.session import spread
+from lexlode.llm.shingles import BASE, mix
+from lexlode.session import cut, spread
 
 SAMPLE_PAIRS, SAMPLE_CHARS, WINDOW = 1500, 20_000, 16
-GRAMS, BITS, FOLDS, OFTEN, LOW = (2, 3, 4, 5, 6), 17, 4, 3, (0.1, 0.2, 0.2)
+GRAMS, BITS, FOLDS, OFTEN, LOW = 6, 17, 4, 3, (0.1, 0.2, 0.2)
 _STEPS = (-5, -3, -1, 0, 1, 3, 5)
 TAGS = ("answer", "refusal", "echo", "foreign", "unfinished")
 
@@ -50,8 +50,8 @@ LANGUAGES = {
     "ru": "russian|russisch|russe|ruso|ロシア語|俄语|русск|रूसी|الروسية|รัสเซีย", "ar": "arabic|arabisch|arabe|árabe|アラビア語|阿拉伯语|арабск|अरबी|العربية|อาหรับ",
     "hi": "hindi|ヒンディー|印地语|хинди|हिन्दी|हिंदी|الهندية|ฮินดี", "th": "thai|thailändisch|thaï|tailandés|タイ語|泰语|тайск|थाई|التايلاندية|ภาษาไทย",
 }
-_ASKS = {k: re.compile(v, re.I) for k, v in LANGUAGES.items()}
-_ASKS_ANY = re.compile("|".join(LANGUAGES.values()), re.I)
+_ASKS = {k: re.compile(v.casefold()) for k, v in LANGUAGES.items()}
+_ASKS_ANY = re.compile("|".join(LANGUAGES.values()).casefold())
 _WORDS: dict[str, list[str]] = {}
 for _lang, _list in WORDS.items():
     for _w in _list.split():
@@ -88,7 +88,7 @@ def language(text: str, japanese: bool = False) -> str:
 @lru_cache(maxsize=50_000)
 def languages(text: str, japanese: bool = False) -> tuple[str, ...]:
     """All languages that a short text fits equally well."""
-    if text.isascii():
+    if not text or max(text) <= "\u024f":
         most, name = 1, "latin"
     else:
         counts = [(len(r.findall(text)) * (3 if name in ("ja", "zh", "ko") else 1), name) for r, name in _SCRIPTS]
@@ -99,12 +99,12 @@ def languages(text: str, japanese: bool = False) -> tuple[str, ...]:
         return ("ja",) if japanese or counts[0][0] * 12 > most else ("zh",)
     if name != "latin":
         return (name,)
-    votes = dict.fromkeys(WORDS, 0.0)
-    for w in _TOKEN.findall(text.lower()):
-        for lang in _WORDS.get(w, ()):
-            votes[lang] += 1 / len(_WORDS[w])
-    best = max(votes.values())
-    return tuple(k for k, v in votes.items() if v == best) if best > 0 else ()
+    votes: dict[str, float] = {}
+    for w in filter(_WORDS.__contains__, _TOKEN.findall(text.lower())):
+        for lang in _WORDS[w]:
+            votes[lang] = votes.get(lang, 0.0) + 1 / len(_WORDS[w])
+    best = max(votes.values(), default=0.0)
+    return tuple(k for k in WORDS if votes.get(k) == best) if best > 0 else ()
 
 
 def clauses(answer: str) -> list[str]:
@@ -139,7 +139,8 @@ def likeness(clause: str, query: str) -> float:
     return _likeness(norm(_LEAD.sub("", clause)), norm(query))
 
 
-def _likeness(a: str, b: str) -> float:
+def _likeness(a: str, b: str, floor: float = 0.0) -> float:
+    """The likeness of two normalised texts, or 0 if it is below ``floor``."""
     if not a or not b:
         return 0.0
     n = round(len(a) / len(b))
@@ -149,7 +150,10 @@ def _likeness(a: str, b: str) -> float:
         return 1.0
     if abs(len(a) - len(b)) > 0.2 * max(len(a), len(b)):
         return 0.0
-    x, y = _pairs_of(a), _pairs_of(b)
+    y = _pairs_of(b)
+    if floor and sum(map(a.__contains__, y)) < floor * len(y):  # it cannot be more than this share of the query's pairs
+        return 0.0
+    x = set(map("".join, zip(a, a[1:])))
     return len(x & y) / max(1, len(x), len(y))
 
 
@@ -201,12 +205,13 @@ class Wording:
             return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
         sizes = np.array([len(t) for t in texts])
         owner, end = np.repeat(np.arange(len(texts)), sizes), np.repeat(np.cumsum(sizes), sizes)
-        joined, ids, owners = "".join(texts), [], []
-        for width in GRAMS:
-            h = hashes(joined, width)
-            inside = np.arange(len(h)) + width <= end[: len(h)]
-            ids.append((h[inside] >> np.uint64(64 - BITS)).astype(np.int64))
-            owners.append(owner[: len(h)][inside])
+        c = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+        h, ids, owners = c, [], []
+        for width in range(2, GRAMS + 1):  # each width goes on from the one before
+            h = h[:-1] * BASE + c[width - 1 :]
+            inside = np.flatnonzero(np.arange(width, len(h) + width) <= end[: len(h)])
+            ids.append((mix(h[inside]) >> np.uint64(64 - BITS)).astype(np.int64))
+            owners.append(owner[inside])
         return np.concatenate(ids), np.concatenate(owners)
 
     def logits(self, texts: list[str]) -> np.ndarray:
@@ -289,7 +294,7 @@ def clause_features(query: str, answer: str, ends_known: bool) -> tuple[list[str
     last = len(parts) - 1
     for i, c in enumerate(parts):
         plain = norm(_LEAD.sub("", c) if ":" in c or "：" in c else c)
-        like = _likeness(plain, asked)
+        like = _likeness(plain, asked, 0.74)
         lang = languages(c, ja) if not c.startswith("```") else ()
         foreign = "unknown" if not lang or not want else "same" if not want.isdisjoint(lang) else "other"
         out.append(("full" if like >= 0.97 else "near" if like >= 0.74 else "no", foreign, ending(c, ends_known) if i == last else "inner", i == 0))
@@ -301,8 +306,9 @@ def clause_features(query: str, answer: str, ends_known: bool) -> tuple[list[str
 @lru_cache(maxsize=4096)
 def _query(query: str) -> tuple[frozenset[str], str, frozenset[str]]:
     """Languages that an answer may have, letters and words of a query."""
-    named = {k for k, r in _ASKS.items() if r.search(query)} if _ASKS_ANY.search(query) else set()
-    return frozenset(({language(query, bool(_KANA.search(query)))} | named) - {""}), norm(query), frozenset(_MARKED.findall(query.casefold()))
+    low = query.casefold()
+    named = {k for k, r in _ASKS.items() if r.search(low)} if _ASKS_ANY.search(low) else set()
+    return frozenset(({language(query, bool(_KANA.search(query)))} | named) - {""}), norm(query), frozenset(_MARKED.findall(low))
 
 
 def with_wording(key: tuple[str, str, str, bool], logit: float) -> Key:
@@ -495,12 +501,12 @@ def says_nothing(answer: str | None) -> bool:
 def verdict(query: str, parts: list[str], letters: list[str], tags: list[int]) -> str | None:
     """The one defect of a pair with a tagged answer, or None for a sound one."""
     if not any(tags):
-        return "copies_question" if _likeness("".join(letters), norm(query)) >= 0.8 else None
+        return "copies_question" if _likeness("".join(letters), norm(query), 0.8) >= 0.8 else None
     share = [0] * len(TAGS)
     for c, plain, t in zip(parts, letters, tags):
         share[t] += max(1, len(plain) + (0 if c.isascii() else 2 * len(_DENSE.findall(c))))
     share = [x / sum(share) for x in share]
-    if share[2] == 1 or _likeness("".join(letters), norm(query)) >= 0.8:
+    if share[2] == 1 or _likeness("".join(letters), norm(query), 0.8) >= 0.8:
         return "copies_question"
     if share[1] > 0.5 or tags[0] == 1 and share[1] + share[4] > 0.5:
         return "refusal"
@@ -563,6 +569,7 @@ def pair_defects(pairs: DataFrame, id_col: str = "pair_id", query_col: str = "qu
     thai = src.where(is_thai).withColumn("tail", F.right(bare, F.lit(4)))
     ends = thai.select("a").mapInArrow(_thai_ends, "tail string").distinct().select("tail", F.lit(True).alias("known"))
     judged = spread(src.where(~is_thai).select("id", "q", "a", F.lit(False).alias("known"))).mapInArrow(judge, out)
+    ends = cut(ends, "pair-ends")
     if not ends.isEmpty():  # only Thai answers need the ends of other sentences, and only they are joined
         judged = judged.unionByName(thai.join(ends, "tail", "left").select("id", "q", "a", F.coalesce("known", F.lit(False)).alias("known")).mapInArrow(judge, out))
     else:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-_BASE = np.uint64(0x9E3779B97F4A7C15)
+BASE = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xFF51AFD7ED558CCD)
 _MIX2 = np.uint64(0xC4CEB9FE1A85EC53)
 
@@ -28,7 +28,7 @@ def hashes(joined: str, width: int) -> np.ndarray:
         return np.empty(0, dtype=np.uint64)
     h = c[:n].copy()
     for j in range(1, width):
-        h *= _BASE
+        h *= BASE
         h += c[j : j + n]
     return mix(h)
 
