@@ -127,10 +127,13 @@ def placed(measured: DataFrame) -> DataFrame:
     run = Window.partitionBy("block", "large").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     each = sizes.withColumns({"block": block, "large": F.col("load") >= 1}).withColumn("before", F.coalesce(F.sum("load").over(run), F.lit(0.0)))
     group = Window.partitionBy("block", "large", F.when(F.col("large"), F.col("range")).otherwise(F.floor("before")))
-    shards = cut(each.withColumn("first", F.min("range").over(group)).select("range", "texts", "first", F.ceil(F.when(F.col("large"), F.col("load")).otherwise(1.0)).cast("int").alias("parts")), "packing-shards")
+    parts = F.ceil(F.when(F.col("large"), F.col("load")).otherwise(1.0)).cast("int")
+    shards = cut(each.withColumn("first", F.min("range").over(group)).select("range", "texts", "first", parts.alias("parts")), "packing-shards")
     hot = shards.where(F.col("texts") * 1000 > n)  # fewer than 1000 rows
-    known = F.broadcast(hot.select("range", "first", "parts"))
-    joined = rows.join(known, "range").unionByName(rows.join(F.broadcast(hot.select("range")), "range", "left_anti").join(shards.where(F.col("texts") * 1000 <= n).select("range", "first", "parts"), "range"))
+    place = ["range", "first", "parts"]
+    in_hot = rows.join(F.broadcast(hot.select(*place)), "range")
+    others = rows.join(F.broadcast(hot.select("range")), "range", "left_anti")
+    joined = in_hot.unionByName(others.join(shards.where(F.col("texts") * 1000 <= n).select(*place), "range"))
     number = F.shiftleft(F.shiftleft(F.col("first").cast("long"), SALT) + F.pmod(F.col("digest"), F.col("parts").cast("long")), ORDINAL)
     return joined.select(number.alias("shard"), "id", "n_tokens", "digest", "terms", "counts")
 

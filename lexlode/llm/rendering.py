@@ -330,7 +330,8 @@ def _lines(batches):
                 parts += own
             part_lens.append(len(parts) - before)
         at, at_parts = (pa.array(np.concatenate([[0], np.cumsum(x)]).astype(np.int32)) for x in (lens, part_lens))
-        lists = [pa.ListArray.from_arrays(at, x) for x in (pa.array(nos, pa.int32()), pa.array(_signed(keys)), pa.array(shapes, pa.int8()), pa.array(leads, pa.bool_()), pa.array(n_parts, pa.int32()))]
+        flat = (pa.array(nos, pa.int32()), pa.array(_signed(keys)), pa.array(shapes, pa.int8()), pa.array(leads, pa.bool_()), pa.array(n_parts, pa.int32()))
+        lists = [pa.ListArray.from_arrays(at, x) for x in flat]
         yield pa.RecordBatch.from_arrays(
             [b.column("id"), b.column("source"), b.column("lang"), pa.array(_signed(pages)), *lists, pa.ListArray.from_arrays(at_parts, pa.array(_signed(parts)))],
             names=["id", "source", "lang", "page", "no", "key", "shape", "lead", "n_parts", "parts"])
@@ -342,14 +343,18 @@ def _site_texts(pages: DataFrame, kind: str, rate: float) -> DataFrame:
     Keys of lines and parts are counted in different pages, first by page and then
     by key, so that no key, however common, has its pages in one task.
     """
-    texts = F.concat(
-        F.transform(F.filter(F.arrays_zip("key", "shape", "lead"), lambda x: x["shape"] != REST), lambda x: F.struct(x["key"].alias("key"), x["lead"].cast("int").alias("lead"))),
-        F.transform("parts", lambda x: F.struct(x.alias("key"), F.lit(None).cast("int").alias("lead"))))
+    whole = F.filter(F.arrays_zip("key", "shape", "lead"), lambda x: x["shape"] != REST)
+    lines = F.transform(whole, lambda x: F.struct(x["key"].alias("key"), x["lead"].cast("int").alias("lead")))
+    parts = F.transform("parts", lambda x: F.struct(x.alias("key"), F.lit(None).cast("int").alias("lead")))
+    texts = F.concat(lines, parts)
     each = pages.select(F.col(kind).alias("name"), "page", F.explode(texts).alias("x")).select("name", "page", "x.key", "x.lead")
     counted = each.groupBy("name", "key").agg(F.countDistinct("page").alias("n"), F.avg("lead").alias("lead")).where(F.col("n") >= LEAST)
     sizes = pages.groupBy(F.col(kind).alias("name")).agg(F.countDistinct("page").alias("pages"))
     common = counted.join(sizes, "name").where(F.col("n") >= F.col("pages") * rate)
-    return common.groupBy("name").agg(F.max("pages").alias("pages"), F.collect_list("key").alias("keys"), F.collect_list(F.coalesce("lead", F.lit(0.0))).alias("leads"))
+    return common.groupBy("name").agg(
+        F.max("pages").alias("pages"),
+        F.collect_list("key").alias("keys"),
+        F.collect_list(F.coalesce("lead", F.lit(0.0))).alias("leads"))
 
 
 def _hide(large: dict[str, dict[str, dict[int, float]]]):
@@ -381,14 +386,15 @@ def _furniture(src: DataFrame, kind: str) -> DataFrame:
         n = pages.agg(F.countDistinct(by, "page")).first()[0]
         site = cut(_site_texts(pages, by, rate), f"pages-{by}")
         hot = F.col("pages") * GROUPS > n
-        large[by] = {r.name: dict(zip(r["keys"], r["leads"])) for r in site.where(hot).collect()}  # fewer than GROUPS rows of bounded size
+        # fewer than GROUPS rows, each of at most the mean number of lines a page times the inverse rate
+        large[by] = {r.name: dict(zip(r["keys"], r["leads"])) for r in site.where(hot).collect()}
         small = site.where(~hot).select(F.col("name").alias(by), F.col("keys").alias(f"{by}_keys"), F.col("leads").alias(f"{by}_leads"))
+        none = {f"{by}_keys": F.lit(None).cast("array<long>"), f"{by}_leads": F.lit(None).cast("array<double>")}
         if small.isEmpty():
-            shown = shown.withColumns({f"{by}_keys": F.lit(None).cast("array<long>"), f"{by}_leads": F.lit(None).cast("array<double>")})
+            shown = shown.withColumns(none)
         else:
             is_large = F.col(by).isin(list(large[by])) if large[by] else F.lit(False)
-            shown = shown.where(is_large).withColumns({f"{by}_keys": F.lit(None).cast("array<long>"), f"{by}_leads": F.lit(None).cast("array<double>")}).unionByName(
-                shown.where(~is_large).join(small, by, "left"))
+            shown = shown.where(is_large).withColumns(none).unionByName(shown.where(~is_large).join(small, by, "left"))
     return shown.mapInArrow(_hide(large), f"id {kind}, line_no int, tag string")
 
 
@@ -405,8 +411,8 @@ def furniture_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Lines are those of the text as it is, which is taken as rendered. What recurs in
     fewer than LEAST pages of a source and of a language is article, so the menus of a
-    collection of a few pages are found only as far as they recur. Null and empty texts give no rows, a repeated row gives its lines again (and counts as one
-    page), ids may be null, a null source or language is one of its own, other columns are
+    collection of a few pages are found only as far as they recur. Null and empty texts
+    give no rows, a repeated row gives its lines again (and counts as one page), ids may be null, a null source or language is one of its own, other columns are
     not read, an empty table gives an empty result.
     """
     src, kind = _source(docs, id_col, text_col, source_col, lang_col)
@@ -433,8 +439,9 @@ def _main(batches):
 def main_content(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang") -> DataFrame:
     """One row per row with a text: id and its main body (empty if there is none).
 
-    Markup is rendered without the furniture that its tags tell of, and then treated like other pages. The lines hidden by ``furniture_lines`` meet their page by its source and a digest of its text, so null and
-    repeated ids do no harm and equal pages of a source are decided once.
+    Markup is rendered without the furniture that its tags tell of, and then treated like
+    other pages. The lines hidden by ``furniture_lines`` meet their page by a digest of its
+    source, language and text, so null and repeated ids do no harm and equal pages are decided once.
     """
     src, kind = _source(docs, id_col, text_col, source_col, lang_col)
     src = spread(src).mapInArrow(_render, f"id {kind}, source string, lang string, text string")
