@@ -38,3 +38,21 @@ def test_table(spark):
     got = chunk_documents(df).orderBy("chunk_index").collect()
     assert {r.doc_id for r in got} == {"d1"} and got[0].metadata == {"lang": "en", "doc_type": "text"} and len(got[0].chunk_id) == 16
     assert [r.chunk_index for r in got] == list(range(len(got))) and chunk_documents(df.limit(0)).count() == 0
+
+
+def test_batches_are_bounded():
+    import pyarrow as pa
+
+    from lexlode.operators.chunking import OUT_CHARS, _chunker
+
+    text = " ".join(f"Word{i} is number {i} of many." for i in range(300))
+    n = 300
+    b = pa.RecordBatch.from_arrays([pa.array([f"d{i}" for i in range(n)]), *(pa.array(["x"] * n) for _ in range(2)), pa.array([text] * n), pa.array([[("k", "v")]] * n, pa.map_(pa.string(), pa.string()))],
+                                   names=["doc_id", "source", "title", "text", "metadata"])
+    cfg = Settings()
+    out = list(_chunker(cfg, hashing_embedder)(iter([b])))
+    sizes = [sum(map(len, o.column("text").to_pylist())) + sum(map(len, o.column("parent_text").to_pylist())) for o in out]
+    assert sum(sizes) > 10 * OUT_CHARS and max(sizes) < OUT_CHARS + 2 * len(text)
+    one = chunk_text(text, hashing_embedder(cfg.embed_dim), cfg)
+    got = [(d, k, s, e, t, p) for o in out for d, k, s, e, t, p in zip(*(o.column(c).to_pylist() for c in ("doc_id", "chunk_index", "start_char", "end_char", "text", "parent_text")))]
+    assert got == [(f"d{i}", k, *c[1:]) for i in range(n) for k, c in enumerate(one)]
