@@ -63,7 +63,7 @@ def graph_edges(spark, sf_dir):
 
 
 def _anchors(spark, sf_dir):
-    edges = cut(G.graph_edges(triples(spark, sf_dir)), "graph-edges")
+    edges = cut(G.node_pairs(triples(spark, sf_dir)), "graph-edges")
     nodes = edges.select(F.explode(F.array("node_a", "node_b")).alias("label")).distinct()
     return cut(G.anchor_nodes(G.query_entities(queries(spark, sf_dir)), nodes), "graph-anchors"), edges
 

@@ -79,3 +79,46 @@ def test_components(spark):
         got = {c.node: c.component for c in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
         assert got == {x: find(x) for x in parent}
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_sets_share_their_walk(spark):
+    """200 queries of one anchor: what is kept between the hops has a row for each node, not for each query and node."""
+    import os
+
+    from lexlode.session import clear_cuts, shared_dir
+
+    clear_cuts(spark)
+    e = spark.createDataFrame([("hub", f"n{i}") for i in range(50)] + [(f"n{i}", f"z{i}") for i in range(50)], "node_a string, node_b string")
+    got = G.hops(spark.createDataFrame([(q, "hub") for q in range(200)], "query_id long, label string"), e)
+    assert got.groupBy("query_id").agg({"distance": "sum"}).distinct().collect()[0][1] == 50 + 2 * 50 and got.count() == 200 * 101
+    own = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}"
+    kept = sum(spark.read.parquet(f"{own}/{n}").count() for n in os.listdir(own) if n.startswith("graph-hops"))
+    assert kept == 101
+
+
+def test_search_equals_brute_force(spark):
+    r = random.Random(5)
+    pairs = sorted({tuple(sorted((f"n{r.randrange(25)}", f"n{r.randrange(25)}"))) for _ in range(35)})
+    of_edges = sorted({(*r.choice(pairs), f"c{r.randrange(60):02}") for _ in range(120)})
+    of_nodes = sorted({(f"n{r.randrange(25)}", f"c{r.randrange(60):02}") for _ in range(60)})
+    anchors = [(q, f"n{r.randrange(25)}") for q in range(90) for _ in range(2)]
+    for k in (2, 4, 50):
+        want = set()
+        for q in range(90):
+            at, level = {a: 0 for p, a in anchors if p == q}, {a for p, a in anchors if p == q}
+            for d in (1, 2):
+                level = {y for x in level for p in pairs for y in p if x in p and y not in at}
+                at |= {y: d for y in level}
+            score = {}
+            for n, c in of_nodes:
+                if n in at:
+                    score[c] = max(score.get(c, 0), 0.5 ** at[n])
+            for a, b, c in of_edges:
+                near = min(at.get(a, 9), at.get(b, 9))
+                if near < 9:
+                    score[c] = max(score.get(c, 0), 0.8 * 0.5**near)
+            want |= {(q, c, s, i + 1) for i, (c, s) in enumerate(sorted(score.items(), key=lambda x: (-x[1], x[0]))[:k])}
+        table = lambda rows, ddl: spark.createDataFrame(rows, ddl)
+        hits = G.search_from(table(anchors, "query_id long, label string"), table(pairs, "node_a string, node_b string"), table(of_nodes, "label string, chunk_id string"),
+                             table(of_edges, "node_a string, node_b string, chunk_id string"), k)
+        assert {(x.query_id, x.chunk_id, x.score, x.rank) for x in hits.collect()} == want
