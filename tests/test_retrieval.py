@@ -89,3 +89,18 @@ def test_rerank(spark):
     rows = [(1, "rail map", "a", "sea", None, 0.3, 1), (1, "rail map", "b", "x", "the rail map", 0.2, 2), (1, "rail map", "c", "map", "", 0.1, 3)]
     df = spark.createDataFrame(rows, "query_id long, query string, chunk_id string, text string, parent_text string, score double, rank int")
     assert [(r.chunk_id, r.score, r.rank) for r in fusion.rerank(df, 2).orderBy("rank").collect()] == [("b", 1.0, 1), ("c", 0.5, 2)]
+
+
+def test_ties_of_a_part_are_bounded():
+    """A query without terms ties with every vector: only the first ids of equal entries come back, and near ties all do."""
+    import numpy as np
+    import pyarrow as pa
+
+    from lexlode.operators.vectors import _best, _order
+
+    order = _order(pa.array([f"v{(i * 7) % 1000:04}" for i in range(1000)]))
+    who, at = _best(np.zeros((3, 1000)), 5, order)
+    assert len(who) == 15 and set(order[at]) == {0, 1, 2, 3, 4}
+    sim = np.zeros((1, 1000))
+    sim[0, :7] = 0.5 + np.arange(7) * 1e-11
+    assert set(_best(sim, 5, order)[1]) == set(range(7))
