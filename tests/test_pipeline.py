@@ -193,3 +193,15 @@ def test_cache_and_evaluation(spark, tmp_path):
 def test_uploads_on_the_sessions_file_system(spark, tmp_path):
     saved, refused = save_uploads([("../a.txt", b"one"), ("b.exe", b"no")], f"file://{tmp_path}/up", spark)
     assert saved == [f"file://{tmp_path}/up/a.txt"] and (tmp_path / "up/a.txt").read_bytes() == b"one" and refused[0][0] == "b.exe"
+
+
+def test_a_failed_retriever_is_no_result(spark, monkeypatch):
+    from lexlode.operators import vectors
+    from lexlode.operators.chunking import chunk_documents
+
+    def down(*a):
+        raise ConnectionError("the vectors are away")
+
+    monkeypatch.setattr(vectors, "dense_search", down)
+    with pytest.raises(RuntimeError, match="dense: the vectors are away"):
+        O.retrieve(_queries(spark), chunk_documents(_docs(spark, 3)), None)
