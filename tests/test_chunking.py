@@ -56,3 +56,18 @@ def test_batches_are_bounded():
     one = chunk_text(text, hashing_embedder(cfg.embed_dim), cfg)
     got = [(d, k, s, e, t, p) for o in out for d, k, s, e, t, p in zip(*(o.column(c).to_pylist() for c in ("doc_id", "chunk_index", "start_char", "end_char", "text", "parent_text")))]
     assert got == [(f"d{i}", k, *c[1:]) for i in range(n) for k, c in enumerate(one)]
+
+
+def test_offsets_of_a_long_document_in_parts(monkeypatch):
+    """One document that is longer than a batch may be: its chunks go on in the next batch, offsets and all."""
+    import pyarrow as pa
+
+    from lexlode.operators import chunking
+
+    monkeypatch.setattr(chunking, "OUT_CHARS", 5_000)
+    text = " ".join(f"Word{i} is number {i} of many." for i in range(200))
+    b = pa.RecordBatch.from_arrays([pa.array(["d"]), *(pa.array(["x"]) for _ in range(2)), pa.array([text]), pa.array([[("k", "v")]], pa.map_(pa.string(), pa.string()))], names=["doc_id", "source", "title", "text", "metadata"])
+    out = list(chunking._chunker(Settings(), hashing_embedder)(iter([b])))
+    want = chunk_text(text, hashing_embedder(Settings().embed_dim), Settings())
+    assert len(out) > 10 and [(s, e) for o in out for s, e in zip(o.column("start_char").to_pylist(), o.column("end_char").to_pylist())] == [c[1:3] for c in want]
+    assert [p for o in out for p in o.column("parent_text").to_pylist()] == [c[4] for c in want]
