@@ -122,3 +122,10 @@ def test_search_equals_brute_force(spark):
         hits = G.search_from(table(anchors, "query_id long, label string"), table(pairs, "node_a string, node_b string"), table(of_nodes, "label string, chunk_id string"),
                              table(of_edges, "node_a string, node_b string, chunk_id string"), k)
         assert {(x.query_id, x.chunk_id, x.score, x.rank) for x in hits.collect()} == want
+
+
+def test_lists_of_a_hub_are_short(spark):
+    of_nodes = spark.createDataFrame([("hub", f"c{i:03}") for i in range(300)], "label string, chunk_id string")
+    of_edges = spark.createDataFrame([("hub", f"n{i}", f"c{i:03}") for i in range(300)], "node_a string, node_b string, chunk_id string")
+    got = G._lists(of_nodes, of_edges, 5).where("label = 'hub'").collect()
+    assert {(r.side, r.chunk_id) for r in got} == {(s, f"c{i:03}") for s in (0, 1) for i in range(5)} and len(got) == 10
