@@ -71,3 +71,16 @@ def test_offsets_of_a_long_document_in_parts(monkeypatch):
     want = chunk_text(text, hashing_embedder(Settings().embed_dim), Settings())
     assert len(out) > 10 and [(s, e) for o in out for s, e in zip(o.column("start_char").to_pylist(), o.column("end_char").to_pylist())] == [c[1:3] for c in want]
     assert [p for o in out for p in o.column("parent_text").to_pylist()] == [c[4] for c in want]
+
+
+def test_parents_of_whole_texts(monkeypatch):
+    """Short texts, whose windows are the whole text each time: every batch still holds about OUT_CHARS at most."""
+    import pyarrow as pa
+
+    from lexlode.operators import chunking
+
+    monkeypatch.setattr(chunking, "OUT_CHARS", 50_000)
+    text = "? ".join(f"Word{i} and more" for i in range(60))
+    b = pa.RecordBatch.from_arrays([pa.array([f"d{i}" for i in range(50)]), *(pa.array(["x"] * 50) for _ in range(2)), pa.array([text] * 50), pa.array([[("k", "v")]] * 50, pa.map_(pa.string(), pa.string()))], names=["doc_id", "source", "title", "text", "metadata"])
+    out = [o.column("parent_text").to_pylist() for o in chunking._chunker(Settings(), hashing_embedder)(iter([b]))]
+    assert set(p for o in out for p in o) == {text} and len(out) > 10 and max(sum(map(len, o)) for o in out) < 50_000 + 2 * len(text)
