@@ -84,3 +84,21 @@ def test_parents_of_whole_texts(monkeypatch):
     b = pa.RecordBatch.from_arrays([pa.array([f"d{i}" for i in range(50)]), *(pa.array(["x"] * 50) for _ in range(2)), pa.array([text] * 50), pa.array([[("k", "v")]] * 50, pa.map_(pa.string(), pa.string()))], names=["doc_id", "source", "title", "text", "metadata"])
     out = [o.column("parent_text").to_pylist() for o in chunking._chunker(Settings(), hashing_embedder)(iter([b]))]
     assert set(p for o in out for p in o) == {text} and len(out) > 10 and max(sum(map(len, o)) for o in out) < 50_000 + 2 * len(text)
+
+
+def test_offsets_without_windows(spark):
+    """Offsets alone need no windows: none are made or sent, a batch of documents gives no more text than it has, and the offsets are the same."""
+    import pyarrow as pa
+
+    from lexlode.operators.chunking import _chunker
+
+    text = " ".join(f"Word{i} is number {i} of many." for i in range(300))
+    b = pa.RecordBatch.from_arrays([pa.array([f"d{i}" for i in range(100)]), *(pa.array(["x"] * 100) for _ in range(2)), pa.array([text] * 100), pa.array([[("k", "v")]] * 100, pa.map_(pa.string(), pa.string()))], names=["doc_id", "source", "title", "text", "metadata"])
+    out = list(_chunker(Settings(), hashing_embedder, parents=False)(iter([b])))
+    assert "parent_text" not in out[0].schema.names and sum(o.nbytes for o in out) < 10 * b.nbytes
+    want = chunk_text(text, hashing_embedder(Settings().embed_dim), Settings())
+    assert [(s, e) for o in out for s, e in zip(o.column("start_char").to_pylist(), o.column("end_char").to_pylist())] == [c[1:3] for c in want] * 100
+    df = spark.createDataFrame([("d1", "s", "text", "T", text, {"lang": "en"})], "doc_id string, source string, doc_type string, title string, text string, metadata map<string,string>")
+    whole, bare = chunk_documents(df), chunk_documents(df, parents=False)
+    assert bare.columns == [c for c in whole.columns if c != "parent_text"]
+    assert bare.orderBy("chunk_index").collect() == whole.drop("parent_text").orderBy("chunk_index").collect()
