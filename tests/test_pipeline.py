@@ -205,3 +205,26 @@ def test_a_failed_retriever_is_no_result(spark, monkeypatch):
     monkeypatch.setattr(vectors, "dense_search", down)
     with pytest.raises(RuntimeError, match="dense: the vectors are away"):
         O.retrieve(_queries(spark), chunk_documents(_docs(spark, 3)), None)
+
+
+def test_texts_of_candidates_alone_are_shuffled(spark, monkeypatch):
+    """Only candidates' texts leave the scan, and no text is carried on to the shuffle by query; either way of filtering gives the same rows."""
+    import itertools
+    import re
+
+    from lexlode.operators.chunking import chunk_documents
+
+    index = O.Indexes.build(chunk_documents(_docs(spark, 20)), None)
+    final, _, _ = O.retrieve_with(_queries(spark), index)
+    few = final.select("query_id", "rank", "chunk_id", "score")
+    lines = few._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    depth = lambda x: len(re.match(r"[\s:+|-]*", x)[0])
+    by_query = [i for i, x in enumerate(lines) if re.search(r"Join Inner, \(query_id", x)]
+    for i in by_query:
+        below = itertools.takewhile(lambda x: depth(x) > depth(lines[i]), lines[i + 1 :])
+        assert not any("parent_text" in x for x in below)
+    assert by_query and any("Join LeftSemi, (chunk_id" in x for x in lines)
+    monkeypatch.setattr(O, "FEW_CHUNKS", 0)
+    joined, _, _ = O.retrieve_with(_queries(spark), index)
+    assert few.count() > 3 and sorted(map(tuple, joined.select(*few.columns).collect())) == sorted(map(tuple, few.collect()))
+    assert set(joined.columns) == set(final.columns) and joined.where("text is null").count() == 0
