@@ -228,3 +228,32 @@ def test_texts_of_candidates_alone_are_shuffled(spark, monkeypatch):
     joined, _, _ = O.retrieve_with(_queries(spark), index)
     assert few.count() > 3 and sorted(map(tuple, joined.select(*few.columns).collect())) == sorted(map(tuple, few.collect()))
     assert set(joined.columns) == set(final.columns) and joined.where("text is null").count() == 0
+
+
+def test_windows_are_written_where_they_are_made(spark, tmp_path, monkeypatch):
+    """No join, sort or shuffle moves the windows; stores hold what the chunks say, and a store that has a part of them gets the rest."""
+    import re
+
+    from lexlode.operators import lexical
+    from lexlode.operators.chunking import chunk_documents
+
+    base, other, plans, real = str(tmp_path / "a"), str(tmp_path / "b"), {}, I.append_new
+
+    def seen(rows, path, *args, **kw):
+        plans[path] = rows._jdf.queryExecution().optimizedPlan().toString()
+        return real(rows, path, *args, **kw)
+
+    monkeypatch.setattr(I, "append_new", seen)
+    docs = _docs(spark, 6)
+    first = I.ingest(docs, base)
+    assert first.errors == [] and not re.search("Join|Aggregate|Sort|Repartition", plans[f"{base}/vectors"])
+    chunks = chunk_documents(docs)
+    key = lambda df: sorted(map(tuple, df.collect()))
+    cols = ["chunk_id", "doc_id", "text", "parent_text", "chunk_index"]
+    store = lambda at: read_table(spark, f"{at}/vectors", schemas.STORED_VECTOR)
+    assert key(store(base).select(cols)) == key(chunks.select(cols)) and first.chunks_stored > 6
+    assert key(read_table(spark, f"{base}/bm25/postings", schemas.POSTING)) == key(lexical.postings(chunks))
+    assert key(read_table(spark, f"{base}/bm25/stats", schemas.CHUNK_LENGTH)) == key(lexical.doc_stats(chunks, lexical.postings(chunks)))
+    assert key(store(base).select("chunk_id", "vector", "cell")) == key(read_table(spark, f"{base}/vectors_by_cell", "chunk_id string, vector array<float>, cell int"))
+    store(base).where("chunk_index = 0 and doc_id <> 'd0'").write.parquet(f"{other}/vectors")
+    assert I.ingest(docs, other).chunks_stored == first.chunks_stored - 5 and key(store(other).select(cols)) == key(chunks.select(cols))
