@@ -257,3 +257,24 @@ def test_windows_are_written_where_they_are_made(spark, tmp_path, monkeypatch):
     assert key(store(base).select("chunk_id", "vector", "cell")) == key(read_table(spark, f"{base}/vectors_by_cell", "chunk_id string, vector array<float>, cell int"))
     store(base).where("chunk_index = 0 and doc_id <> 'd0'").write.parquet(f"{other}/vectors")
     assert I.ingest(docs, other).chunks_stored == first.chunks_stored - 5 and key(store(other).select(cols)) == key(chunks.select(cols))
+
+
+def test_a_repeated_query_is_searched_once(spark, monkeypatch):
+    """Queries of one text have one row of the dense search, and each of them gets its hits."""
+    from lexlode.operators import vectors
+    from lexlode.operators.chunking import chunk_documents
+
+    searched, real = [], vectors.dense_search
+
+    def seen(q, *args):
+        searched.append(q.count())
+        return real(q, *args)
+
+    monkeypatch.setattr(vectors, "dense_search", seen)
+    q = spark.createDataFrame([(1, "compare the cache and the table"), (2, "compare the cache and the table"), (3, "compare harbour 3 and harbour 1"), (4, None)], "query_id int, query string")
+    index = O.Indexes.build(chunk_documents(_docs(spark, 5)), None)
+    final, counts, failures = O.retrieve_with(q, index)
+    hits = {(r.query_id, r.retriever): r.hits for r in counts.collect()}
+    assert failures == [] and searched == [2] and hits[(1, "dense")] == hits[(2, "dense")] > 0 and hits[(3, "dense")] > 0
+    rows = [(r.query_id, r.rank, r.chunk_id) for r in final.collect()]
+    assert {x[1:] for x in rows if x[0] == 1} == {x[1:] for x in rows if x[0] == 2} != set()
